@@ -101,10 +101,134 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, select = VIEWS[name]
-    return spark.sql(f"SELECT {select} FROM {{src}}", src=table(spark, sf_dir, base))
+    text = select.replace("{", "{{").replace("}", "}}")
+    return spark.sql(f"SELECT {text} FROM {{src}}", src=table(spark, sf_dir, base))
 
 
 def view_sql(name: str) -> str:
     """The same view as SQL text for another engine."""
     base, select = VIEWS[name]
     return f"SELECT {select.replace('AS STRING', 'AS VARCHAR')} FROM {base}"
+
+
+# ---- Raw, all-text sources for the cleaners ------------------------------
+# Mixed spellings, unparsable numbers, out-of-box points, missing values.
+
+def _lat(k, a):
+    return f"concat('40.', lpad(CAST(5000 + ({k} * {a}) % 4000 AS STRING), 4, '0'))"
+
+
+def _lon(k, b):
+    return (f"concat('-', CAST(CAST(floor((742000 - ({k} * {b}) % 5000) / 10000) AS BIGINT) AS STRING), '.', "
+            f"lpad(CAST((742000 - ({k} * {b}) % 5000) % 10000 AS STRING), 4, '0'))")
+
+
+def _pick_text(k, values):
+    whens = " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values))
+    return f"CASE {k} % {len(values)} {whens} END"
+
+
+def _text(values):
+    return ["CAST(NULL AS STRING)" if v is None else f"'{v}'" for v in values]
+
+
+_MESSY_BORO = _text(["Manhattan", " brooklyn ", "The Bronx", "2", "3", "QUEENS", "Staten Island", None, "Nassau"])
+_FAC_TYPES = _text(["Food Pantry", "Soup Kitchen", "Acute Care Hospital", "Mental Health Clinic",
+                    "Transitional Housing", "Public School", "Senior Center", "Group Day Care",
+                    "Legal Services", "Playground", "Compost", "Crisis Residence", "Meals On Wheels",
+                    "Program", "Branch", "Precinct", "Urgent Care", "Drop-In Site", "Office", None,
+                    "Summer Only Feeding Site", "Home Care", "Court House"])
+_FAC_GROUPS = _text(["Human Services", "Adult Services", "Health Care", "Schools (K-12)",
+                     "Day Care and Pre-Kindergarten", "Youth Services", "Higher Education", "Libraries",
+                     "Public Safety", "Transportation", "Historical Sites", "Parks and Plazas",
+                     "Justice", "Emergency Services", None, "Vocational", "Other"])
+_COORD = lambda k, good: f"CASE WHEN {k} % 31 = 0 THEN 'n/a' WHEN {k} % 37 = 0 THEN '39.9000' ELSE {good} END"
+_WKT = lambda k, a, b: (f"CASE WHEN {k} % 13 = 0 THEN 'no geometry' WHEN {k} % 2 = 0 THEN "
+                        f"concat('1 MAIN ST POINT (', {_lon(k, b)}, ' ', {_lat(k, a)}, ')') ELSE "
+                        f"concat('POINT(  ', {_lon(k, b)}, '   ', {_lat(k, a)}, ' )') END")
+
+VIEWS.update({
+    "raw_facilities": ("customer", f"""
+        c_custkey AS row_key, CASE WHEN c_custkey % 23 = 0 THEN CAST(NULL AS STRING) ELSE c_name END AS FacName,
+        {_pick_text('c_custkey', _FAC_TYPES)} AS FacType,
+        concat('SUB ', CAST(c_custkey % 5 AS STRING)) AS FacSubGrp,
+        {_pick_text('(c_custkey + CAST(floor(c_custkey / 23) AS BIGINT))', _FAC_GROUPS)} AS FacGroup,
+        c_mktsegment AS OpName, concat(CAST(c_custkey AS STRING), ' MAIN ST') AS Address,
+        {_pick_text('c_custkey', _MESSY_BORO)} AS Boro, CAST(10000 + c_custkey % 99 AS STRING) AS ZipCode,
+        {_COORD('c_custkey', _lat('c_custkey', 7919))} AS Latitude, {_lon('c_custkey', 10477)} AS Longitude,
+        CASE WHEN c_custkey % 6 = 0 THEN 'unknown' ELSE CAST(c_custkey % 150 AS STRING) END AS Capacity"""),
+    "raw_lots": ("part", f"""
+        CAST(p_partkey AS STRING) AS bbl, concat(CAST(p_partkey AS STRING), ' LOT ROAD') AS address,
+        {_pick_text('p_partkey', _text(['1', '2', '3', '4', '5', 'Brooklyn', 'mn']))} AS borough,
+        CAST(10000 + p_partkey % 99 AS STRING) AS zipcode,
+        CASE WHEN p_partkey % 11 = 0 THEN CAST(NULL AS STRING) ELSE CAST(p_size % 13 AS STRING) END AS landuse,
+        CASE WHEN p_partkey % 9 = 0 THEN 'n/a' ELSE CAST(1900 + p_partkey % 120 AS STRING) END AS yearbuilt,
+        CAST(p_size AS STRING) AS numfloors, CAST(p_partkey % 40 AS STRING) AS unitsres,
+        CAST(p_partkey * 3 AS STRING) AS lotarea, p_brand AS ownername,
+        {_COORD('p_partkey', _lat('p_partkey', 2699))} AS latitude,
+        CASE WHEN p_partkey % 41 = 0 THEN '-75.5000' ELSE {_lon('p_partkey', 3943)} END AS longitude"""),
+    "raw_hospitals": ("supplier", f"""
+        s_suppkey AS row_key, s_name AS Facility_Name,
+        {_pick_text('s_suppkey', _text(['Acute Care Hospital', 'Child Health Center', 'Trauma Unit', None, 'Nursing Home']))} AS Facility_Type,
+        {_pick_text('s_suppkey', _MESSY_BORO)} AS Borough,
+        concat(CAST(s_suppkey AS STRING), ' AVE & 1 ST') AS Cross_Streets,
+        concat('212-', CAST(1000 + s_suppkey % 9000 AS STRING)) AS Phone,
+        {_WKT('s_suppkey', 3571, 4391)} AS Location_1"""),
+    "raw_stations": ("supplier", f"""
+        s_suppkey AS row_key, s_name AS Stop_Name, CAST(s_suppkey AS STRING) AS Station_ID,
+        concat('G', CAST(s_suppkey AS STRING)) AS GTFS_Stop_ID,
+        {_COORD('s_suppkey', _lat('s_suppkey', 3571))} AS GTFS_Latitude, {_lon('s_suppkey', 4391)} AS GTFS_Longitude,
+        {_pick_text('s_suppkey', _text(['M', 'Bk', 'Bx', 'Q', 'SI']))} AS Borough,
+        CASE s_nationkey % 3 WHEN 0 THEN 'A C' WHEN 1 THEN 'C' ELSE '1 2 3' END AS Daytime_Routes,
+        {_pick_text('s_suppkey', _text(['0', '1', '2', 'True', None]))} AS ADA,
+        {_pick_text('s_suppkey', _text(['8th Av', 'Lexington', None]))} AS Line,
+        'IND' AS Division, 'Subway' AS Structure"""),
+    "raw_womens": ("customer", f"""
+        c_custkey AS row_key,
+        {_pick_text('c_custkey', _text(['Adult Literacy', 'Legal', 'After SCHOOL', 'GED prep', None, 'Health', 'Education']))} AS Category,
+        CASE WHEN c_custkey % 3 = 0 THEN concat('Customer#', lpad(CAST(c_custkey - c_custkey % 2 AS STRING), 9, '0')) ELSE c_name END AS Site_Name,
+        concat('Org ', CAST(c_custkey AS STRING)) AS Organization_Name,
+        concat(CAST(c_custkey AS STRING), ' WEST ST') AS Street_Address,
+        {_COORD('c_custkey', _lat('(c_custkey - c_custkey % 2)', 7919))} AS Lat, {_lon('c_custkey', 10477)} AS Lng,
+        {_pick_text('c_custkey', _MESSY_BORO)} AS Borough"""),
+    "raw_violence": ("supplier", f"""
+        s_suppkey AS row_key, concat('Program ', CAST(s_suppkey AS STRING)) AS Program_Name,
+        {_WKT('s_suppkey', 5501, 7703)} AS Location,
+        CAST(NULL AS STRING) AS Latitude, CAST(NULL AS STRING) AS Longitude,
+        {_pick_text('s_suppkey', _MESSY_BORO)} AS Borough,
+        {_pick_text('s_suppkey', _text(['1', '0', 'True', 'no', None]))} AS ADA_Accessible"""),
+    "raw_developments": ("supplier", f"""
+        s_suppkey AS row_key, concat('Houses ', CAST(s_suppkey AS STRING)) AS Developmen,
+        CASE WHEN s_suppkey % 10 = 3 THEN '{{}}' ELSE
+          concat('{{"type":"MultiPolygon","coordinates":[[[[', {_lon('s_suppkey', 1201)}, ',', {_lat('s_suppkey', 1303)}, '],[',
+                 {_lon('s_suppkey', 1409)}, ',', {_lat('s_suppkey', 1511)}, ']],[[', {_lon('s_suppkey', 1607)}, ',',
+                 {_lat('s_suppkey', 1709)}, ']]],[[[', {_lon('s_suppkey', 1801)}, ',', {_lat('s_suppkey', 1901)}, ']]]]}}') END AS the_geom,
+        {_pick_text('s_suppkey', _MESSY_BORO)} AS Borough,
+        CASE WHEN s_suppkey % 4 = 0 THEN 'n/a' ELSE CAST(s_suppkey * 7 AS STRING) END AS Total_Apartment_Units"""),
+    "raw_benefits": ("supplier", f"""
+        s_suppkey AS row_key, s_name AS Facility_Name, concat(CAST(s_suppkey AS STRING), ' PINE ST') AS Street_Address,
+        {_WKT('s_suppkey', 2203, 2309)} AS Location_1, concat('718-', CAST(s_suppkey AS STRING)) AS Telephone,
+        CASE WHEN s_suppkey % 3 = 0 THEN CAST(NULL AS STRING) ELSE '9-5' END AS Hours,
+        {_pick_text('s_suppkey', _MESSY_BORO)} AS Borough"""),
+    "raw_cooling": ("supplier", f"""
+        s_suppkey AS row_key, concat('Hall ', CAST(s_suppkey AS STRING)) AS PropertyName,
+        concat(CAST(s_suppkey AS STRING), ' ELM ST') AS Address,
+        {_lon('s_suppkey', 2411)} AS x, {_COORD('s_suppkey', _lat('s_suppkey', 2503))} AS y,
+        'Indoor' AS FeatureType, CASE WHEN s_suppkey % 2 = 0 THEN 'Activated' ELSE 'Closed' END AS Status,
+        {_pick_text('s_suppkey', _text(['1', 'true', 'no', None]))} AS Accessible,
+        {_pick_text('s_suppkey', _MESSY_BORO)} AS Borough"""),
+    "raw_dropin": ("supplier", f"""
+        s_suppkey AS row_key, concat('Center ', CAST(s_suppkey AS STRING)) AS Center_Name,
+        concat(CAST(s_suppkey AS STRING), ' OAK ST') AS Address, {_WKT('s_suppkey', 2609, 2707)} AS Location_1,
+        {_pick_text('s_suppkey', _MESSY_BORO)} AS Borough"""),
+    "raw_incidents": ("orders", f"""
+        CAST(o_orderkey AS STRING) AS CMPLNT_NUM, CAST(CAST(o_orderdate AS DATE) AS STRING) AS CMPLNT_FR_DT,
+        concat(' ', o_orderpriority, ' ') AS OFNS_DESC, {_pick_text('o_orderkey', _MESSY_BORO)} AS BORO_NM,
+        {_COORD('o_orderkey', _lat('o_orderkey', 6151))} AS Latitude, {_lon('o_orderkey', 9973)} AS Longitude"""),
+    "raw_complaints": ("events", f"""
+        CAST(event_id AS STRING) AS Unique_Key, CAST(CAST(ts AS DATE) AS STRING) AS Created_Date,
+        event_type AS Complaint_Type, CASE WHEN event_id % 4 = 3 THEN CAST(NULL AS STRING) ELSE 'PESTS' END AS Descriptor,
+        concat(CAST(user_id AS STRING), ' MAIN ST') AS Incident_Address,
+        {_pick_text('event_id', _MESSY_BORO)} AS Borough,
+        {_COORD('event_id', _lat('event_id', 5477))} AS Latitude, {_lon('event_id', 8467)} AS Longitude"""),
+})
