@@ -56,7 +56,7 @@ def nearest_station(df: DataFrame, stations: DataFrame, id_col="resource_id") ->
     """
     st = stations.withColumnRenamed("name", "nearest_transit_name")
     near = knn(df, st, 1, id_col, "station_id", carry=("nearest_transit_name",))
-    dist = round_even("dist_m")
+    dist = round_even("dist")
     near = near.select(F.col(id_col), F.col("station_id").alias("nearest_transit_id"),
                        "nearest_transit_name", dist.alias("nearest_transit_dist_m"),
                        round_even(dist / F.lit(WALK_M_PER_MIN), 1).alias("nearest_transit_walk_min"))

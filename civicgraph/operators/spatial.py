@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numeric import LAT_M, LON_M, col, degree_d2, planar_m2
+from ..functions.numeric import LAT_M, LON_M, col, degree_d2, haversine_miles, planar_m2
 
 # metric -> (distance^2, scale of a latitude degree, scale of a longitude degree)
 METRICS = {
@@ -135,70 +135,78 @@ def _levels(base, cap):
 
 
 def knn(queries, targets, k, query_id, target_id, cap=None, base=250.0,
-        exclude_self=False, carry=()) -> DataFrame:
-    """Exact k nearest targets per query in planar metres, ties by target id.
+        exclude_self=False, carry=(), by=(), metric="planar_m") -> DataFrame:
+    """Exact k nearest targets per query, ties by target id.
 
-    Rows out: query_id, target_id, dist_m, rank (1-based) and ``carry`` target
-    columns; with ``cap`` only targets at most that far away.
+    Rows out: ``by``, query_id, target_id, dist (metres, or miles when
+    ``metric="miles"`` ranks by great-circle distance), rank (1-based) and the
+    ``carry`` target columns. ``by`` columns must be equal on both sides. With
+    ``cap`` (planar metres) only targets at most that far away.
 
     How it scales. A pyramid counts targets per cell at widths base*2^l. Each
     occupied query cell picks the smallest width at which its own cell already
     holds enough targets, which bounds the answer's distance by that cell's
     diagonal, so the 5x5 block at that width is enough - exactly, without
     trial rounds. Candidates then come from an equi-join on (level, cell).
+    Great-circle order needs no wider block: between the equator and 55 degrees
+    it differs from planar by a factor below 2/sqrt(2), which the block allows.
     Targets at one position are reduced to the k first ids before the join,
     and crowded query cells are split into salts.
     """
+    by = list(by)
     need = k + (1 if exclude_self else 0)
     levels = _levels(base, cap)
+    cell = by + ["_cx", "_cy"]
+    at_level = by + ["_l", "_lx", "_ly"]
     q = with_cells(queries.select(F.col(query_id).alias("_q"), F.col("latitude").alias("_qlat"),
-                                  F.col("longitude").alias("_qlon")),
+                                  F.col("longitude").alias("_qlon"), *by),
                    base, "planar_m", "_qlat", "_qlon")
     t = with_cells(targets.select(F.col(target_id).alias("_t"), F.col("latitude").alias("_tlat"),
-                                  F.col("longitude").alias("_tlon"), *carry), base,
+                                  F.col("longitude").alias("_tlon"), *carry, *by), base,
                    lat="_tlat", lon="_tlon")
     # A rank filter on a window is applied before the shuffle as well (per map
     # task), so one crowded position never reaches a single task whole.
-    spot = W.partitionBy("_tlat", "_tlon").orderBy("_t")
+    spot = W.partitionBy("_tlat", "_tlon", *by).orderBy("_t")
     t = t.withColumn("_rn", F.row_number().over(spot)).where(F.col("_rn") <= need).drop("_rn")
 
-    lv = F.array(*[F.lit(i) for i in range(levels)])
+    lv = F.expr(f"sequence(0, {levels - 1})")
     up = lambda c: F.expr(f"shiftright({c}, _l)")
-    pyramid = (t.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_n"))
+    pyramid = (t.groupBy(*cell).agg(F.count(F.lit(1)).alias("_n"))
                .withColumn("_l", F.explode(lv))
-               .groupBy("_l", up("_cx").alias("_lx"), up("_cy").alias("_ly"))
+               .groupBy(*by, "_l", up("_cx").alias("_lx"), up("_cy").alias("_ly"))
                .agg(F.sum("_n").alias("_n")).where(F.col("_n") >= need))
-    qcells = q.groupBy("_cx", "_cy").agg(F.count(F.lit(1)).alias("_qn"))
+    qcells = (q.groupBy(*cell).agg(F.count(F.lit(1)).alias("_qn"))
+              .select(*cell, F.ceil(F.col("_qn") / F.lit(SALT_ROWS)).cast("int").alias("_salts")))
     best = (qcells.withColumn("_l", F.explode(lv))
             .withColumn("_lx", up("_cx")).withColumn("_ly", up("_cy"))
-            .join(pyramid.select("_l", "_lx", "_ly"), ["_l", "_lx", "_ly"], "left_semi")
-            .groupBy("_cx", "_cy").agg(F.min("_l").alias("_l")))
-    cover = (qcells.join(best, ["_cx", "_cy"], "left")
+            .join(pyramid.select(*at_level), at_level, "left_semi")
+            .groupBy(*cell).agg(F.min("_l").alias("_l")))
+    cover = (qcells.join(best, cell, "left")
              .withColumn("_l", F.coalesce(F.col("_l"), F.lit(levels - 1)))
-             .withColumn("_salts", F.ceil(F.col("_qn") / F.lit(SALT_ROWS)).cast("int"))
-             .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
+             .withColumn("_salt", F.explode(F.expr("sequence(0, _salts - 1)")))
              .withColumn("_b", F.explode(_block("shiftright(_cx, _l)", "shiftright(_cy, _l)", 2)))
-             .select("_cx", "_cy", "_salt", "_salts", "_l", F.col("_b.x").alias("_lx"),
-                     F.col("_b.y").alias("_ly")))
+             .select(*cell, "_salt", "_l", F.col("_b.x").alias("_lx"), F.col("_b.y").alias("_ly")))
     by_level = (t.withColumn("_l", F.explode(lv)).withColumn("_lx", up("_cx"))
                 .withColumn("_ly", up("_cy")).drop("_cx", "_cy"))
-    cand = cover.join(by_level, ["_l", "_lx", "_ly"]).drop("_l", "_lx", "_ly", "_salts")
-    salted = (q.join(qcells.withColumn("_salts", F.ceil(F.col("_qn") / F.lit(SALT_ROWS)).cast("int"))
-                     .select("_cx", "_cy", "_salts"), ["_cx", "_cy"])
+    cand = cover.join(by_level, at_level).drop("_l", "_lx", "_ly")
+    salted = (q.join(qcells, cell)
               .withColumn("_salt", F.pmod(F.xxhash64("_q"), F.col("_salts")).cast("int"))
               .drop("_salts"))
-    pairs = (salted.join(cand, ["_cx", "_cy", "_salt"])
-             .withColumn("_d2", planar_m2("_tlat", "_tlon", "_qlat", "_qlon")))
+    pairs = salted.join(cand, cell + ["_salt"])
+    if metric == "miles":
+        pairs = pairs.withColumn("_d", haversine_miles("_qlat", "_qlon", "_tlat", "_tlon"))
+    else:
+        pairs = pairs.withColumn("_d", planar_m2("_tlat", "_tlon", "_qlat", "_qlon"))
     if exclude_self:
         pairs = pairs.where(F.col("_q") != F.col("_t"))
     if cap is not None:
-        pairs = pairs.where(F.col("_d2") <= F.lit(float(cap) * float(cap)))
+        pairs = pairs.where(planar_m2("_tlat", "_tlon", "_qlat", "_qlon") <= F.lit(float(cap) * float(cap)))
     if k == 1:
-        first = F.min(F.struct("_d2", "_t", *carry)).alias("_m")
-        top = (pairs.groupBy("_q").agg(first)
-               .select("_q", "_m.*").withColumn("rank", F.lit(1)))
+        top = (pairs.groupBy(*by, "_q").agg(F.min(F.struct("_d", "_t", *carry)).alias("_m"))
+               .select(*by, "_q", "_m.*").withColumn("rank", F.lit(1)))
     else:
-        order = W.partitionBy("_q").orderBy("_d2", "_t")
+        order = W.partitionBy(*by, "_q").orderBy("_d", "_t")
         top = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return top.select(F.col("_q").alias(query_id), F.col("_t").alias(target_id),
-                      F.sqrt("_d2").alias("dist_m"), F.col("rank"), *carry)
+    dist = F.col("_d") if metric == "miles" else F.sqrt("_d")
+    return top.select(*by, F.col("_q").alias(query_id), F.col("_t").alias(target_id),
+                      dist.alias("dist"), F.col("rank"), *carry)

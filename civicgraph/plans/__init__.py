@@ -1,6 +1,6 @@
 """Named queries: one per operator, each over the driver's tables."""
 
-from . import mart_queries, clean_queries  # noqa: F401
+from . import mart_queries, clean_queries, lookup_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
