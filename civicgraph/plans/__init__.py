@@ -1,6 +1,12 @@
 """Named queries: one per operator, each over the driver's tables."""
 
-from . import mart_queries, clean_queries, lookup_queries  # noqa: F401
+from . import (  # noqa: F401
+    clean_queries,
+    lookup_queries,
+    mart_queries,
+    source_queries,
+    travel_queries,
+)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -232,3 +232,16 @@ VIEWS.update({
         {_pick_text('event_id', _MESSY_BORO)} AS Borough,
         {_COORD('event_id', _lat('event_id', 5477))} AS Latitude, {_lon('event_id', 8467)} AS Longitude"""),
 })
+
+VIEWS["trips"] = ("customer", f"""
+    c_custkey AS trip_id, {_ll('c_custkey', 6011, 7307).replace('AS latitude', 'AS from_lat').replace('AS longitude', 'AS from_lon')},
+    {_ll('c_custkey', 7919, 10477).replace('AS latitude', 'AS to_lat').replace('AS longitude', 'AS to_lon')},
+    CASE c_custkey % 4 WHEN 1 THEN CAST(0 AS DOUBLE) WHEN 2 THEN CAST(2.5 AS DOUBLE)
+         WHEN 3 THEN CAST(10 AS DOUBLE) END AS budget""")
+VIEWS["walk_steps"] = ("lineitem", """
+    l_partkey AS route_id, l_orderkey * 10 + l_linenumber AS step_no,
+    CASE l_suppkey % 6 WHEN 0 THEN 'Main St' WHEN 1 THEN ' Ramp' WHEN 2 THEN 'Grand Central Parkway Ramp'
+         WHEN 3 THEN '' WHEN 4 THEN 'Broadway' ELSE 'Cross Bronx Expressway' END AS name,
+    CASE l_linenumber WHEN 1 THEN 'depart' WHEN 2 THEN 'turn' WHEN 3 THEN 'fork' WHEN 4 THEN 'arrive'
+         WHEN 5 THEN 'roundabout' ELSE 'new name' END AS type,
+    l_quantity * CAST(17 AS DOUBLE) AS distance_m, l_quantity * CAST(13 AS DOUBLE) AS duration_s""")
