@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     mart_queries,
     source_queries,
     travel_queries,
+    triple_queries,
 )
 from .registry import ORACLES, QUERIES
 
