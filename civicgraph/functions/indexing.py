@@ -19,10 +19,11 @@ def sequential_index(df: DataFrame, order, key=None, width=100_000, out="idx",
     df = df.withColumn("_block", F.floor(F.col(key) / F.lit(width)))
     sizes = df.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n"))
     before = W.orderBy(*blocks).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*blocks, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    offsets = sizes.select(*[F.col(b).alias(f"_o_{b}") for b in blocks],
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     within = F.row_number().over(W.partitionBy(*blocks).orderBy(*order)) - 1
     numbered = df.withColumn("_rn", within)
-    cond = [numbered[b].eqNullSafe(offsets[b]) for b in blocks]
+    cond = [F.col(b).eqNullSafe(F.col(f"_o_{b}")) for b in blocks]
     joined = numbered.join(offsets, cond, "inner")
-    keep = [numbered[c] for c in numbered.columns if c not in ("_block", "_rn")]
+    keep = [c for c in numbered.columns if c not in ("_block", "_rn")]
     return joined.select(*keep, (F.col("_off") + F.col("_rn")).cast("long").alias(out))

@@ -2,11 +2,13 @@
 
 from . import (  # noqa: F401
     clean_queries,
+    graph_queries,
     lookup_queries,
     mart_queries,
     source_queries,
     travel_queries,
     triple_queries,
+    vector_queries,
 )
 from .registry import ORACLES, QUERIES
 
