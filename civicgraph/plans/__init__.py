@@ -6,6 +6,7 @@ from . import (  # noqa: F401
     lookup_queries,
     mart_queries,
     source_queries,
+    text_queries,
     travel_queries,
     triple_queries,
     vector_queries,
