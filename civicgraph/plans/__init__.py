@@ -5,6 +5,7 @@ from . import (  # noqa: F401
     graph_queries,
     lookup_queries,
     mart_queries,
+    rule_queries,
     source_queries,
     text_queries,
     travel_queries,
