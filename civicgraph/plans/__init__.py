@@ -1,6 +1,7 @@
 """Named queries: one per operator, each over the driver's tables."""
 
 from . import (  # noqa: F401
+    case_queries,
     clean_queries,
     graph_queries,
     lookup_queries,
