@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from ..functions.session import cut_lineage
+from ..functions.session import cut_lineage, work_path
 from ..functions.text import in_set, lookup
 
 # ---- Fixed values -------------------------------------------------------
@@ -95,11 +95,21 @@ def _clean(pdf):
 TRANSITION_COLUMNS = ["case_id", "event_id", "ts", "category", "action", "resource", "from_status", "to_status", "priority"]
 
 
+def _changes(pdf, state):
+    return [(e.case_id, e.event_id, e.ts, c, e.action, e.resource, a, b, state[c][2])
+            for e, c, a, b in replay(_ordered(_clean(pdf)), state)]
+
+
 def _transitions(pdf):
+    return pd.DataFrame(_changes(pdf, {}), columns=TRANSITION_COLUMNS)
+
+
+def _slice_transitions(pdf):
+    """Changes of one slice, and a last row holding the state it ends with."""
     state = load_state(pdf["start"].iloc[0])
-    rows = [(e.case_id, e.event_id, e.ts, c, e.action, e.resource, a, b, state[c][2])
-            for e, c, a, b in replay(_ordered(_clean(pdf)), state)]
-    return pd.DataFrame(rows, columns=TRANSITION_COLUMNS)
+    rows = [(*r, None) for r in _changes(pdf, state)]
+    rows.append((pdf["case_id"].iloc[0], *[None] * (len(TRANSITION_COLUMNS) - 1), dump_state(state)))
+    return pd.DataFrame(rows, columns=TRANSITION_COLUMNS + ["end"]).astype({"event_id": "Int64", "priority": "Int32"})
 
 
 def with_event_columns(events: DataFrame) -> DataFrame:
@@ -117,62 +127,53 @@ def transition_schema(events: DataFrame) -> str:
 def fold_case_events(events: DataFrame, chunk_rows=CHUNK_ROWS) -> DataFrame:
     """Every change of every need, in event-time order with event_id ties.
 
-    A case is folded in one group. A case with more than ``chunk_rows``
-    events is cut into time chunks that are folded in parallel: all chunks
-    start from a guess, each then takes the previous chunk's end as its start,
-    and only chunks whose start changed are folded again. When no start
-    changes the result is exactly the sequential fold, and no task ever holds
-    a whole crowded case.
+    A case is folded in one group. A case with more than ``chunk_rows`` events
+    is cut into time slices of about that many, which are folded one after
+    the other for all such cases at once; only the small need state passes
+    from slice to slice, so no task ever holds a whole crowded case.
     """
     ev = with_event_columns(events)
     schema = transition_schema(ev)
-    crowded = ev.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_rows).select("case_id")
-    crowded = cut_lineage(crowded)
+    crowded = cut_lineage(ev.groupBy("case_id").agg(F.count(F.lit(1)).alias("_n"))
+                          .where(F.col("_n") > chunk_rows).select("case_id"))
     if crowded.isEmpty():
-        return ev.withColumn("start", F.lit("")).groupBy("case_id").applyInPandas(_transitions, schema)
-    plain = ev.join(crowded, "case_id", "left_anti").withColumn("start", F.lit(""))
-    chunked = _chunked(ev.join(crowded, "case_id", "left_semi"), chunk_rows)
-    started = chunked.join(_chunk_starts(chunked), ["case_id", "chunk"])
-    return (plain.groupBy("case_id").applyInPandas(_transitions, schema)
-            .unionByName(started.groupBy("case_id", "chunk").applyInPandas(lambda p: _transitions(p), schema)))
+        return ev.groupBy("case_id").applyInPandas(_transitions, schema)
+    plain = ev.join(crowded, "case_id", "left_anti").groupBy("case_id").applyInPandas(_transitions, schema)
+    return plain.unionByName(_fold_slices(ev.join(crowded, "case_id", "left_semi"), chunk_rows, schema))
 
 
-def _chunked(ev, chunk_rows):
-    """Add ``chunk``: the hour of the event, or its second in a crowded hour."""
+def _sliced(ev, chunk_rows):
+    """Add ``slice``: consecutive hours (seconds of a crowded hour) packed
+    until they hold about ``chunk_rows`` events of the case."""
     kind = ev.schema["ts"].dataType.simpleString()
     second = F.expr(f"timestampdiff(SECOND, CAST('1970-01-01 00:00:00' AS {kind}), ts)")
     ev = ev.withColumn("_s", second).withColumn("_h", F.floor(F.col("_s") / 3600) * 3600)
     busy = (ev.groupBy("case_id", "_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > chunk_rows)
             .select("case_id", "_h", F.lit(True).alias("_busy")))
     ev = ev.join(busy, ["case_id", "_h"], "left")
-    return cut_lineage(ev.withColumn("chunk", F.when(F.col("_busy"), F.col("_s")).otherwise(F.col("_h"))).drop("_s", "_h", "_busy"))
-
-
-def _chunk_starts(chunked) -> DataFrame:
-    """case_id, chunk, start: the state each chunk begins with."""
-    kind = chunked.schema["case_id"].dataType.simpleString()
-
-    def end_of(pdf):
-        state = load_state(pdf["start"].iloc[0])
-        for _ in replay(_ordered(_clean(pdf)), state):
-            pass
-        return pd.DataFrame({"case_id": [pdf["case_id"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "end": [dump_state(state)]})
-
-    def fold(starts):
-        return (chunked.join(starts, ["case_id", "chunk"]).groupBy("case_id", "chunk")
-                .applyInPandas(end_of, f"case_id {kind}, chunk long, end string"))
-    # one row per chunk: small next to the events, however crowded the case
-    known = chunked.select("case_id", "chunk").distinct().withColumn("start", F.lit(""))
-    known = cut_lineage(known.join(fold(known), ["case_id", "chunk"]))
-    before = W.partitionBy("case_id").orderBy("chunk")
-    while True:
-        nxt = cut_lineage(known.withColumn("_next", F.coalesce(F.lag("end").over(before), F.lit(""))))
-        stale = nxt.where(F.col("_next") != F.col("start")).select("case_id", "chunk", F.col("_next").alias("start"))
-        if stale.isEmpty():
-            return known.select("case_id", "chunk", "start")
-        redone = stale.join(fold(stale), ["case_id", "chunk"])
-        same = nxt.where(F.col("_next") == F.col("start")).select("case_id", "chunk", "start", "end")
-        known = cut_lineage(same.unionByName(redone))
+    ev = ev.withColumn("_c", F.when(F.col("_busy"), F.col("_s")).otherwise(F.col("_h"))).drop("_s", "_h", "_busy")
+    sizes = ev.groupBy("case_id", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("case_id").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)
+    slices = sizes.select("case_id", "_c", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / chunk_rows).alias("slice"))
+    return ev.join(slices, ["case_id", "_c"]).drop("_c")
+
+
+def _fold_slices(ev, chunk_rows, schema) -> DataFrame:
+    spark = ev.sparkSession
+    src, out = work_path(spark, "case-slices"), work_path(spark, "case-changes")
+    _sliced(ev, chunk_rows).write.partitionBy("slice").parquet(src)
+    sliced = spark.read.parquet(src)
+    last = sliced.agg(F.max("slice")).first()[0]
+    starts = sliced.select("case_id").distinct().withColumn("start", F.lit(""))
+    for i in range(last + 1):
+        part = sliced.where(F.col("slice") == i).drop("slice").join(starts, "case_id")
+        done = part.groupBy("case_id").applyInPandas(_slice_transitions, schema + ", end string")
+        done.write.parquet(f"{out}/slice={i}")
+        ends = (spark.read.parquet(f"{out}/slice={i}").where("end IS NOT NULL")
+                .select("case_id", F.col("end").alias("start")))
+        # a case without events in this slice keeps its state
+        starts = cut_lineage(ends.unionByName(starts.join(ends, "case_id", "left_anti")))
+    return spark.read.parquet(out).where("end IS NULL").drop("end", "slice")
 
 
 def current_needs(transitions: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from . import (  # noqa: F401
     mart_queries,
     rule_queries,
     source_queries,
+    stream_queries,
     text_queries,
     travel_queries,
     triple_queries,

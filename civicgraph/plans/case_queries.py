@@ -83,9 +83,9 @@ def case_fold(spark, sf_dir):
     return folded(spark, sf_dir)
 
 
-@query("case_fold_chunked", FOLD_SQL)   # the path of crowded cases, forced by a low bound
-def case_fold_chunked(spark, sf_dir):
-    return folded(spark, sf_dir, chunk_rows=60)
+@query("case_fold_sliced", FOLD_SQL)   # the path of crowded cases, forced by a low bound
+def case_fold_sliced(spark, sf_dir):
+    return folded(spark, sf_dir, chunk_rows=40)
 
 
 COUNT = lambda s: f"count(*) FILTER (status = '{s}')"
