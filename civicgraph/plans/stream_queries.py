@@ -64,8 +64,8 @@ def followups(spark, sf_dir):
     return S.followups(Views(spark, sf_dir).case_events)
 
 
-@query("followup_stream", FOLLOW)
-def followup_stream(spark, sf_dir):
+@query("followup_once", FOLLOW)
+def followup_once(spark, sf_dir):
     return S.run_to_table(S.followup_stream(log(spark, sf_dir)), "followups")
 
 
