@@ -4,6 +4,8 @@ Building them as text keeps large rule sets to one call into the JVM; the
 result is ordinary codegen'd Catalyst expressions.
 """
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +39,31 @@ def any_pattern(expr: str, patterns) -> str:
     return f"coalesce({tests}, false)"
 
 
+def _leading(pattern: str) -> str:
+    """The pattern up to its first white space outside parentheses."""
+    depth = 0
+    for i, ch in enumerate(pattern):
+        depth += {"(": 1, ")": -1}.get(ch, 0)
+        if depth == 0 and pattern.startswith("\\s", i):
+            return pattern[:i]
+    return pattern
+
+
+def pattern_words(pattern: str) -> list:
+    """Words of a pattern of which every match holds at least one."""
+    pattern = pattern.removeprefix("(?U)")
+    bare = lambda p: re.sub(r"[a-z]\?", "", re.sub(r"\\.|\(\?:", " ", p))
+    words = lambda p: re.findall(r"[a-z'-]{2,}", bare(p))
+    return words(_leading(pattern)) or words(pattern)
+
+
+def any_worded_pattern(expr: str, patterns) -> str:
+    """any_pattern for patterns made of words: a regular expression runs only
+    where one of its words occurs, which a plain substring search decides."""
+    tests = " OR ".join(f"({any_word(expr, pattern_words(p))} AND rlike({expr}, {quote(p)}))" for p in patterns)
+    return f"coalesce({tests}, false)"
+
+
 def in_set(expr: str, values) -> str:
     """Null-safe membership: null is not a member."""
     return f"coalesce({expr} IN ({', '.join(quote(v) for v in values)}), false)"

@@ -51,14 +51,16 @@ def _block(cx, cy, reach) -> Column:
 
 def _gap(v, cell, size) -> Column:
     """Distance along one axis from a value to the nearest edge of a cell."""
-    lo = cell * F.lit(size)
-    return F.greatest(lo - v, v - lo - F.lit(size), F.lit(0.0))
+    size = size if isinstance(size, Column) else F.lit(size)
+    lo = cell * size
+    return F.greatest(lo - v, v - lo - size, F.lit(0.0))
 
 
 def _reach(v, cell, size) -> Column:
     """Distance along one axis from a value to the far edge of a cell."""
-    lo = cell * F.lit(size)
-    return F.greatest(F.abs(v - lo), F.abs(lo + F.lit(size) - v))
+    size = size if isinstance(size, Column) else F.lit(size)
+    lo = cell * size
+    return F.greatest(F.abs(v - lo), F.abs(lo + size - v))
 
 
 def radius_count(left, points, radius, left_id, metric="planar_m", by=None,
@@ -182,10 +184,11 @@ def knn(queries, targets, k, query_id, target_id, cap=None, base=250.0,
             .join(pyramid.select(*at_level), at_level, "left_semi")
             .groupBy(*cell).agg(F.min("_l").alias("_l")))
     cover = (qcells.join(best, cell, "left")
+             .withColumn("_w", F.expr(f"CAST({base} AS DOUBLE) * shiftleft(1L, _l)"))
              .withColumn("_l", F.coalesce(F.col("_l"), F.lit(levels - 1)))
              .withColumn("_salt", F.explode(F.expr("sequence(0, _salts - 1)")))
              .withColumn("_b", F.explode(_block("shiftright(_cx, _l)", "shiftright(_cy, _l)", 2)))
-             .select(*cell, "_salt", "_l", F.col("_b.x").alias("_lx"), F.col("_b.y").alias("_ly")))
+             .select(*cell, "_salt", "_l", "_w", F.col("_b.x").alias("_lx"), F.col("_b.y").alias("_ly")))
     by_level = (t.withColumn("_l", F.explode(lv)).withColumn("_lx", up("_cx"))
                 .withColumn("_ly", up("_cy")).drop("_cx", "_cy"))
     cand = cover.join(by_level, at_level).drop("_l", "_lx", "_ly")
@@ -193,6 +196,14 @@ def knn(queries, targets, k, query_id, target_id, cap=None, base=250.0,
               .withColumn("_salt", F.pmod(F.xxhash64("_q"), F.col("_salts")).cast("int"))
               .drop("_salts"))
     pairs = salted.join(cand, cell + ["_salt"])
+    # The query's own cell of width _w holds enough targets, so nothing past
+    # that cell's farthest corner can be among the answers; _w is null when
+    # even the widest cell holds too few, and then every candidate counts.
+    corner = F.pow(_reach(_x("_qlon", "planar_m"), F.floor(_x("_qlon", "planar_m") / F.col("_w")), F.col("_w")), 2) + \
+        F.pow(_reach(_y("_qlat", "planar_m"), F.floor(_y("_qlat", "planar_m") / F.col("_w")), F.col("_w")), 2)
+    slack = 2.0 if metric == "miles" else 2.0 - FULL_CELL_MARGIN
+    d2 = planar_m2("_tlat", "_tlon", "_qlat", "_qlon")
+    pairs = pairs.where(F.col("_w").isNull() | (d2 <= corner * F.lit(slack))).drop("_w")
     if metric == "miles":
         pairs = pairs.withColumn("_d", haversine_miles("_qlat", "_qlon", "_tlat", "_tlon"))
     else:

@@ -142,15 +142,19 @@ def service_protocol(spark, sf_dir):
 NEED_ROWS = """SELECT c_custkey AS request_id, 'housing' AS category, 3 AS priority FROM {t} UNION ALL
     SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'food' WHEN 1 THEN 'medical' WHEN 2 THEN 'school' WHEN 3 THEN 'benefits' WHEN 4 THEN 'pets' ELSE 'hospital+x' END, 2 FROM {t} UNION ALL
     SELECT c_custkey, 'senior_services', 1 FROM {t} WHERE c_custkey % 3 = 0"""
-RESULT_ROWS = """SELECT c_custkey AS request_id, k.result_key, k.key_order, r.rank, concat('Site ', CAST((c_custkey * 7 + k.key_order * 3 + r.rank) % 500 AS {s})) AS name, k.kind AS resource_type
-    FROM {t} JOIN (SELECT 'shelter+nycha' AS result_key, 0 AS key_order, 'shelter' AS kind UNION ALL SELECT 'food_bank', 1, 'food_bank'
+RESULT_ROWS = """SELECT c_custkey AS request_id, k.result_key, k.key_order, r.rank, concat('Site ', CAST((c_custkey * 7 + k.key_order * 3 + r.rank) % 500 AS VARCHAR)) AS name, k.kind AS resource_type
+    FROM customer JOIN (SELECT 'shelter+nycha' AS result_key, 0 AS key_order, 'shelter' AS kind UNION ALL SELECT 'food_bank', 1, 'food_bank'
                    UNION ALL SELECT 'hospital', 2, 'hospital' UNION ALL SELECT 'school', 3, 'school') k ON (c_custkey + k.key_order) % 4 < 2
     JOIN (SELECT 1 AS rank UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) r ON r.rank <= c_custkey % 5 + 1"""
+RESULT_SETS = """array(named_struct('result_key', 'shelter+nycha', 'key_order', 0, 'kind', 'shelter'),
+    named_struct('result_key', 'food_bank', 'key_order', 1, 'kind', 'food_bank'),
+    named_struct('result_key', 'hospital', 'key_order', 2, 'kind', 'hospital'),
+    named_struct('result_key', 'school', 'key_order', 3, 'kind', 'school'))"""
 PRIO = "CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in K.PRIORITY_ORDER.items()) + " ELSE priority END"
 FRAME = "CASE prio " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in K.TIME_FRAMES.items()) + " ELSE 'SOON' END"
 
 
-@query("action_plan", ctes("households", ("needs", NEED_ROWS.format(t="customer")), ("results", RESULT_ROWS.format(s="VARCHAR", t="customer")),
+@query("action_plan", ctes("households", ("needs", NEED_ROWS.format(t="customer")), ("results", RESULT_ROWS),
     EXPAND, RIGHT, ("p", programs_sql("households", "household_id")), body=f"""
     , lv AS (SELECT n.request_id, n.category, r.result_key, r.key_order, CASE WHEN r.result_key = n.category THEN 0
              WHEN EXISTS (SELECT 1 FROM expand e WHERE e.cat = lower(n.category) AND contains(r.result_key, e.t))
@@ -173,7 +177,11 @@ FRAME = "CASE prio " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in K.TIME_FRAMES
 def action_plan(spark, sf_dir):
     cust = spark.read.parquet(f"{sf_dir}/customer.parquet")
     needs = spark.sql(NEED_ROWS.format(t="{c}"), c=cust)
-    results = spark.sql(RESULT_ROWS.format(s="STRING", t="{c}"), c=cust)
+    results = (cust.select("c_custkey", F.expr(RESULT_SETS).alias("k")).select("c_custkey", F.explode("k").alias("k"))
+               .where("(c_custkey + k.key_order) % 4 < 2").select("c_custkey", "k", F.expr("explode(sequence(1, 5))").alias("rank"))
+               .where("rank <= c_custkey % 5 + 1").selectExpr(
+                   "c_custkey AS request_id", "k.result_key", "k.key_order", "rank", "k.kind AS resource_type",
+                   "concat('Site ', CAST((c_custkey * 7 + k.key_order * 3 + rank) % 500 AS STRING)) AS name"))
     programs = K.benefit_totals(Views(spark, sf_dir).households).withColumnRenamed("household_id", "request_id")
     return K.action_plan(needs, results, programs)
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.session import spread
 from ..operators import textrules as X
 from .registry import Views, ctes, query
 
@@ -228,13 +229,15 @@ def guardrail_screen(spark, sf_dir):
 
 @query("guardrail_documents", f"SELECT doc_id, {screen_sql('text')} AS reason FROM documents")
 def guardrail_documents(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", X.screen_reason("text").alias("reason"))
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return docs.select("doc_id", X.screen_reason("text").alias("reason"))
 
 
 @query("guardrail_summary", f"""
     SELECT role, coalesce(reason, 'allowed') AS reason, count(*) AS n FROM (SELECT role, {screen_sql('text')} AS reason FROM conversations) GROUP BY 1, 2""")
 def guardrail_summary(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", X.screen_reason("text").alias("reason"))
+    df = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", "text"))
+    df = df.select("role", X.screen_reason("text").alias("reason"))
     return df.groupBy("role", F.coalesce("reason", F.lit("allowed")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
