@@ -136,11 +136,11 @@ def profile_topk(spark, sf_dir):
     , x AS (SELECT resource_id, sqrt({dot('vec', 'vec')}) AS l, unnest(vec) AS value, generate_subscripts(vec, 1) AS i FROM v),
     z AS (SELECT *, count(*) OVER (PARTITION BY resource_id) AS n,
                  row_number() OVER (PARTITION BY resource_id ORDER BY abs(value) DESC, i) AS rank FROM x WHERE value <> 0)
-    SELECT resource_id, CAST(n AS INT) AS nonzero_features, {r_even('l', 4)} AS vector_norm, CAST(rank AS INT) AS rank,
+    SELECT resource_id, CAST(n AS INT) AS nonzero_features, {r_even('l', 6)} AS vector_norm, CAST(rank AS INT) AS rank,
            {NAME_LIST}[i] AS feature, {r_even('value', 5)} AS value FROM z WHERE rank <= 15"""))
 def explain_vector(spark, sf_dir):
     out = V.explain_vector(feature_table(spark, sf_dir), NAMES)
-    return out.withColumn("vector_norm", round_even("vector_norm", 4)).withColumn("value", round_even("value", 5))
+    return out.withColumn("value", round_even("value", 5))
 
 
 HASH = "CAST(('0x' || substring(md5({c}), 1, 15)) AS BIGINT)"
