@@ -74,7 +74,8 @@ def radius_count(left, points, radius, left_id, metric="planar_m", by=None,
     Cells are ``radius/split`` wide. A cell wholly inside the circle adds its
     pre-summed count, so a cell holding a large share of all points costs one
     row per left row; only the ring of cells the circle cuts through is
-    compared point by point, on distinct positions.
+    compared point by point. Both sides are reduced to distinct positions
+    first, so copies on one spot are counted once and joined back.
     """
     dist2, _, _ = METRICS[metric]
     size = radius / split
@@ -84,11 +85,11 @@ def radius_count(left, points, radius, left_id, metric="planar_m", by=None,
            .agg(F.count(F.lit(1)).alias("_w")))
     cells = pos.groupBy("_cx", "_cy", *keys).agg(F.sum("_w").alias("_w"))
 
-    base = left.select(F.col(left_id).alias("_lid"), F.col("latitude").alias("_lat"),
-                       F.col("longitude").alias("_lon"))
-    near = (with_cells(base, size, metric, "_lat", "_lon", "_ox", "_oy")
+    spots = (left.select(F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+             .where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct())
+    near = (with_cells(spots, size, metric, "_lat", "_lon", "_ox", "_oy")
             .withColumn("_c", F.explode(_block("_ox", "_oy", split + 1)))
-            .select("_lid", "_lat", "_lon", F.col("_c.x").alias("_cx"), F.col("_c.y").alias("_cy")))
+            .select("_lat", "_lon", F.col("_c.x").alias("_cx"), F.col("_c.y").alias("_cy")))
     vx, vy = _x("_lon", metric), _y("_lat", metric)
     far = F.pow(_reach(vx, F.col("_cx"), size), 2) + F.pow(_reach(vy, F.col("_cy"), size), 2)
     close = F.pow(_gap(vx, F.col("_cx"), size), 2) + F.pow(_gap(vy, F.col("_cy"), size), 2)
@@ -96,16 +97,17 @@ def radius_count(left, points, radius, left_id, metric="planar_m", by=None,
     near = (near.where(close <= F.lit(r2 * (2.0 - FULL_CELL_MARGIN)))
             .withColumn("_whole", far <= F.lit(r2 * FULL_CELL_MARGIN)))
 
-    whole = (near.where("_whole").join(cells, ["_cx", "_cy"])
-             .select("_lid", *keys, "_w"))
+    spot = ["_lat", "_lon", *keys]
+    whole = near.where("_whole").join(cells, ["_cx", "_cy"]).select(*spot, "_w")
     cut = (near.where(~F.col("_whole")).join(pos, ["_cx", "_cy"])
            .where(dist2(F.col("_lat"), F.col("_lon"), F.col("latitude"), F.col("longitude")) <= F.lit(r2))
-           .select("_lid", *keys, "_w"))
-    counts = (whole.unionByName(cut).groupBy("_lid", *keys)
-              .agg(F.sum("_w").cast("long").alias(out)))
+           .select(*spot, "_w"))
+    counts = whole.unionByName(cut).groupBy(*spot).agg(F.sum("_w").cast("long").alias(out))
+    here = (F.col("latitude") == F.col("_lat")) & (F.col("longitude") == F.col("_lon"))
     if by:
-        return counts.withColumnRenamed("_lid", left_id)
-    return (left.join(counts, F.col(left_id) == F.col("_lid"), "left").drop("_lid")
+        return (left.select(left_id, "latitude", "longitude").join(counts, here)
+                .select(left_id, *keys, out))
+    return (left.join(counts, here, "left").drop("_lat", "_lon")
             .withColumn(out, F.coalesce(F.col(out), F.lit(0).cast("long"))))
 
 

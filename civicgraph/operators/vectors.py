@@ -207,7 +207,7 @@ def _hash_key(c) -> Column:
 def dense_ids(labels: DataFrame, c: str, out: str) -> DataFrame:
     """Consecutive ids of distinct labels, numbered in parallel hash blocks."""
     df = labels.select(c).distinct().withColumn("_h", _hash_key(c))
-    return sequential_index(df, ["_h", c], "_h", width=2**48, out=out).drop("_h")
+    return sequential_index(df, ["_h", c], "_h", width=2**46, out=out).drop("_h")
 
 
 def kge_triples(triples: DataFrame) -> DataFrame:
