@@ -14,7 +14,7 @@ FILES = 4
 
 def log(spark, sf_dir, copies=1):
     """The event log as it grows: one write per ten days, one batch per write."""
-    S.enable_state_store(spark)
+    S.prepare_session(spark)
     ev = Views(spark, sf_dir).case_events
     path = work_path(spark, "event-log")
     for i in range(3):

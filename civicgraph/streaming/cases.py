@@ -24,14 +24,16 @@ CLOSING_ACTIONS = ["checkin_yes", "checkin_no", "resolve"]
 DELAY = "1 hour"
 DELAY_MS = 3_600_000
 
-STATE_STORE = {
+# Timers compare event time with the watermark, so rows must show it in UTC.
+STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.session.timeZone": "UTC",
 }
 
 
-def enable_state_store(spark) -> None:
-    for k, v in STATE_STORE.items():
+def prepare_session(spark) -> None:
+    for k, v in STREAM_CONF.items():
         spark.conf.set(k, v)
 
 
