@@ -121,28 +121,90 @@ TIME_FRAMES = {1: "URGENT — NOW", 2: "TONIGHT", 3: "TODAY / TOMORROW", 4: "THI
 
 # ---- Fixed values: documents and protocols ------------------------------
 
-# type -> (document, required, first substitute)
+# type -> (document, required, accepted substitutes, note)
 DOCUMENTS = {
-    "shelter": [("Photo ID", True, "birth certificate"), ("Social Security card or number", False, "ITIN letter")],
-    "food_bank": [("Proof of address (sometimes)", False, "any mail with name")],
-    "hospital": [("ID (any form)", False, "verbal identification"), ("Insurance card", False, "Medicaid number")],
-    "clinic": [("ID", False, "any photo ID"), ("Proof of income or insurance", False, "sliding-scale self-pay")],
-    "benefits_center": [("Photo ID", True, "passport"), ("Proof of NYC address", True, "shelter placement letter"),
-                        ("Proof of income", True, "pay stubs (2 most recent)"), ("Social Security number", True, "ITIN")],
-    "school": [("Proof of age (birth certificate)", True, "baptismal record"),
-               ("Immunization records", True, "parent affidavit pending records"),
-               ("Proof of residency", False, "shelter placement letter")],
-    "childcare": [("Child's birth certificate", True, "passport"), ("Parent/guardian photo ID", True, "consular ID"),
-                  ("Income documentation for subsidy", True, "zero-income declaration")],
-    "legal_aid": [("Case/court documents (if applicable)", False, "verbal summary accepted"),
-                  ("ID (preferred but not required)", False, "verbal ID")],
-    "domestic_violence": [("No documentation required", False, "Contact intake supervisor")],
-    "mental_health": [("ID", False, "verbal ID"), ("Insurance", False, "Medicaid")],
-    "community_center": [("Proof of borough/neighborhood (sometimes)", False, "verbal address")],
-    "senior_services": [("Proof of age (60+)", True, "any ID showing birthdate"),
-                        ("Proof of income (for some programs)", False, "zero-income declaration")],
-    "default": [("ID (preferred)", False, "any government-issued ID")],
+    "shelter": [
+        ("Photo ID", True, ["birth certificate", "passport", "consular ID (Matricula)", "IDNYC card"],
+         "DHS accepts a wide range of IDs; no ID should never block emergency shelter"),
+        ("Social Security card or number", False,
+         ["ITIN letter", "signed declaration of no SSN", "pending-application notice"],
+         "Undocumented individuals may still access shelter — SSN not required for emergency intake")],
+    "food_bank": [
+        ("Proof of address (sometimes)", False,
+         ["any mail with name", "caseworker letter", "verbal address", "hotel/motel confirmation"],
+         "Most NYC food pantries do not require documents at all")],
+    "hospital": [
+        ("ID (any form)", False, ["verbal identification", "emergency waiver", "no ID required for emergency care"],
+         "EMTALA mandates emergency treatment regardless of ID or insurance"),
+        ("Insurance card", False, ["Medicaid number", "emergency Medicaid application on-site",
+                                   "sliding-scale self-pay", "NYC Health + Hospitals financial counselor"],
+         "NYC H+H hospitals offer financial counseling same-day")],
+    "clinic": [
+        ("ID", False, ["any photo ID", "letter from shelter", "utility bill", "verbal ID"],
+         "Federally Qualified Health Centers (FQHCs) serve all regardless of documentation"),
+        ("Proof of income or insurance", False,
+         ["sliding-scale self-pay", "FHCC eligibility application", "Medicaid application"],
+         "Income-based sliding scale available at most city clinics")],
+    "benefits_center": [
+        ("Photo ID", True, ["passport", "consular ID", "school ID + utility bill", "IDNYC"],
+         "IDNYC is free for NYC residents and accepted for most benefits applications"),
+        ("Proof of NYC address", True, ["shelter placement letter", "utility bill", "postmarked mail",
+                                        "signed statement from landlord or host"],
+         "Letter from shelter director is accepted at HRA offices"),
+        ("Proof of income", True, ["pay stubs (2 most recent)", "employer letter", "zero-income declaration (signed)",
+                                   "DHS shelter record as proof of homelessness"],
+         "Zero-income declaration is legally accepted; no documents required to prove $0 income"),
+        ("Social Security number", True, ["ITIN", "SSN application pending notice",
+                                          "exempt — undocumented may apply for emergency benefits"],
+         "Undocumented immigrants are eligible for emergency Medicaid and limited cash assistance")],
+    "school": [
+        ("Proof of age (birth certificate)", True, ["baptismal record", "passport", "hospital birth record",
+                                                    "parent sworn statement (McKinney-Vento)"],
+         "Under McKinney-Vento Act, homeless children must be enrolled immediately — documents can follow"),
+        ("Immunization records", True, ["parent affidavit pending records", "conditional enrollment up to 30 days",
+                                        "health center can provide records same-day"],
+         "Conditional enrollment allows 30-day grace period under McKinney-Vento"),
+        ("Proof of residency", False, ["shelter placement letter", "hotel/motel letter",
+                                       "McKinney-Vento liaison waiver (immediate enrollment)"],
+         "McKinney-Vento liaisons at each school district must facilitate immediate enrollment")],
+    "childcare": [
+        ("Child's birth certificate", True, ["passport", "baptismal record", "hospital birth record"], ""),
+        ("Parent/guardian photo ID", True, ["consular ID", "passport", "IDNYC"], ""),
+        ("Income documentation for subsidy", True, ["zero-income declaration", "shelter confirmation letter",
+                                                    "TANF/HRA letter as income proxy"],
+         "ACS child care subsidies available; processing takes 2–4 weeks")],
+    "legal_aid": [
+        ("Case/court documents (if applicable)", False, ["verbal summary accepted", "caseworker notes",
+                                                         "no documents required for intake"],
+         "Most legal aid orgs do intake with no documents — they help gather records"),
+        ("ID (preferred but not required)", False, ["verbal ID", "any form of ID"], "")],
+    "domestic_violence": [
+        ("No documentation required", False, [],
+         "Safety planning takes priority — no documents needed to access DV services or shelter")],
+    "mental_health": [
+        ("ID", False, ["verbal ID", "most NYC mental health clinics have no-ID policy for crisis"],
+         "988 crisis line requires no ID; ER mental health services covered under EMTALA"),
+        ("Insurance", False, ["Medicaid", "NYC mental health sliding scale", "uninsured accepted at NYC clinics"], "")],
+    "community_center": [
+        ("Proof of borough/neighborhood (sometimes)", False, ["verbal address", "any mail piece"],
+         "Most community centers are open to all NYC residents")],
+    "senior_services": [
+        ("Proof of age (60+)", True, ["any ID showing birthdate", "Medicare card", "Social Security statement"], ""),
+        ("Proof of income (for some programs)", False, ["zero-income declaration", "SSI/SSDI letter"], "")],
+    "default": [
+        ("ID (preferred)", False, ["any government-issued ID", "verbal identification"],
+         "Contact intake staff if no ID available")],
 }
+NO_SUBSTITUTE = "Contact intake supervisor"
+FALLBACK = "Request supervisor override or document waiver. "
+
+
+def document_rows() -> dict:
+    """type -> (document, required, best substitute, all substitutes, fallback)."""
+    return {t: [(doc, need, subs[0] if subs else NO_SUBSTITUTE, "; ".join(subs), FALLBACK + note)
+                for doc, need, subs, note in rows] for t, rows in DOCUMENTS.items()}
+
+
 PROTOCOLS = {
     "housing": "Intake: assess shelter type needed (single adult vs. family with children). "
                "Families: HRA PATH intake center (151 E. 151st St, Bronx). "
@@ -271,9 +333,10 @@ def rights_for_type(c: str, n=None) -> Column:
 
 def required_documents(c: str) -> Column:
     """Documents asked for at a resource type, with the risk of a gap."""
-    docs = _listing(DOCUMENTS, ["doc", "required", "substitute"], c)
+    docs = _listing(document_rows(), ["doc", "required", "substitute", "substitutes", "fallback_process"], c)
     return F.expr(f"transform({docs}, d -> named_struct('doc', d.doc, 'required', d.required, 'gap_risk', "
-                  "CASE WHEN d.required THEN 'high' ELSE 'low' END, 'substitute', d.substitute))")
+                  "CASE WHEN d.required THEN 'high' ELSE 'low' END, 'substitute', d.substitute, "
+                  "'substitutes', d.substitutes, 'fallback_process', d.fallback_process))")
 
 
 def stories_for_need(c: str, k=3) -> Column:

@@ -108,11 +108,12 @@ def profile_rights(spark, sf_dir):
     return df.select("household_id", F.explode(K.profile_rights()).alias("r")).select("household_id", "r.*")
 
 
-DOC = values("docs", [(t, i, *d) for t, ds in K.DOCUMENTS.items() for i, d in enumerate(ds)], "kind, i, doc, required, substitute")
+DOC = values("docs", [(t, i, *d) for t, ds in K.document_rows().items() for i, d in enumerate(ds)],
+             "kind, i, doc, required, substitute, substitutes, fallback_process")
 
 
 @query("required_documents", ctes("mart", DOC, body="""
-    SELECT resource_id, CAST(i AS INT) AS position, doc, required, CASE WHEN required THEN 'high' ELSE 'low' END AS gap_risk, substitute FROM
+    SELECT resource_id, CAST(i AS INT) AS position, doc, required, CASE WHEN required THEN 'high' ELSE 'low' END AS gap_risk, substitute, substitutes, fallback_process FROM
       (SELECT resource_id, CASE WHEN resource_id LIKE '%7' THEN 'library' ELSE resource_type END AS k FROM mart) m
     JOIN docs ON kind = CASE WHEN k IN (SELECT kind FROM docs) THEN k ELSE 'default' END"""))
 def required_documents(spark, sf_dir):
