@@ -99,6 +99,20 @@ def stories_for_need(spark, sf_dir):
     return df.withColumn("stories", F.array_join(K.stories_for_need("need"), ", "))
 
 
+STORY_ROWS = values("told", [(i, w, *K.STORY_TEXT[i]) for i, _, w in K.STORIES], "id, timeframe, name, age_range, situation, outcome, quote")
+
+
+@query("story_details", ctes("case_events", STORY, STORY_ROWS, body="""
+    , n AS (SELECT event_id, category AS need FROM case_events),
+    p AS (SELECT need, i, id, row_number() OVER (PARTITION BY need ORDER BY i) AS rank FROM story)
+    SELECT event_id, CAST(rank - 1 AS INT) AS position, t.* FROM n JOIN p USING (need) JOIN told t ON t.id = p.id WHERE rank <= 2
+    UNION ALL SELECT event_id, CAST(s.i AS INT), t.* FROM n, (SELECT DISTINCT i, id FROM story WHERE i < 2) s JOIN told t ON t.id = s.id
+      WHERE need NOT IN (SELECT need FROM story)"""))
+def story_details(spark, sf_dir):
+    df = Views(spark, sf_dir).case_events.select("event_id", K.stories_for_need("category", 2).alias("ids"))
+    return df.select("event_id", F.posexplode(K.story_details("ids")).alias("position", "s")).select("event_id", "position", "s.*")
+
+
 @query("profile_rights", ctes("households", body="""
     , h AS (SELECT *, household_id % 4 = 0 AS is_undocumented, household_id % 3 <> 0 AS has_insurance FROM households)
     """ + "\nUNION ALL ".join(f'SELECT household_id, {q(r)} AS "right", {q(d)} AS detail FROM h WHERE {c}' for c, r, d in K.PROFILE_RIGHTS)))
