@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.session import materialise
 from ..operators import lookup as L
 from ..operators import rules as K
 from ..operators import textrules as X
@@ -206,7 +207,8 @@ def request_plan(spark, sf_dir):
     """Requests: screen, plan, look up, rules, and one step per need."""
     v = Views(spark, sf_dir)
     asked = X.intent_rules(v.requests.where(X.screen_reason("text").isNull()))
-    asked = asked.where("intent = 'needs_assessment'")
+    # screened and planned once: searches, needs and profiles all read it
+    asked = materialise(asked.where("intent = 'needs_assessment'").drop("resource_types", "ada"), "asked")
     spot = X.landmark_geocode()
     searches = asked.withColumn("g", spot).select("request_id", "borough", "g", F.posexplode("searches").alias("key_order", "s"))
     searches = searches.select(
