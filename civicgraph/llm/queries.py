@@ -1,8 +1,6 @@
 """One query per operator, each over its whole table with production parameters."""
 
-from pyspark.sql import functions as F
-
-from . import jaccard
+from . import bpe, jaccard, quality, records, toxicity, vectors, warc
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -10,3 +8,34 @@ from .registry import ORACLES, QUERIES, query  # noqa: F401
 @query("op1_ngram_jaccard_join")
 def op1(spark, sf_dir):
     return jaccard.ngram_components(table(spark, sf_dir, "documents"))
+
+
+@query("op2_toxicity")
+def op2(spark, sf_dir):
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_byte_bpe")
+def op3(spark, sf_dir):
+    return bpe.encode_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op6_token_records")
+def op6(spark, sf_dir):
+    return records.read_back(records.write(table(spark, sf_dir, "documents")))
+
+
+@query("op7_warc")
+def op7(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return warc.read_back(warc.write(pages)).drop("url")
+
+
+@query("op9_quality")
+def op9(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_vector_near_copies")
+def op10(spark, sf_dir):
+    return vectors.near_copies(table(spark, sf_dir, "embeddings"))
