@@ -1,6 +1,6 @@
 """One query per operator, each over its whole table with production parameters."""
 
-from . import bpe, jaccard, quality, records, toxicity, vectors, warc
+from . import bpe, decontaminate, htmltext, jaccard, pii, quality, records, toxicity, vectors, warc
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -20,6 +20,16 @@ def op3(spark, sf_dir):
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+@query("op4_decontamination")
+def op4(spark, sf_dir):
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op5_pii")
+def op5(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+
+
 @query("op6_token_records")
 def op6(spark, sf_dir):
     return records.read_back(records.write(table(spark, sf_dir, "documents")))
@@ -27,8 +37,12 @@ def op6(spark, sf_dir):
 
 @query("op7_warc")
 def op7(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    return warc.read_back(warc.write(pages)).drop("url")
+    return warc.read_back(warc.write(table(spark, sf_dir, "pages"))).drop("url")
+
+
+@query("op8_html_text")
+def op8(spark, sf_dir):
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
 
 
 @query("op9_quality")
