@@ -12,7 +12,7 @@ Fitted on a bounded sample of labelled documents (``PER_CLASS`` of each label,
 texts up to ``MAX_BYTES``) by Adagrad; the intercept is then moved to the share
 of labels in all training rows. Scoring reads every whole text.
 
-Defined results: null and empty texts are scored from the intercept and an empty
+Defined results: null, empty and blank texts are scored from the intercept and an empty
 structure vector; without labels of both kinds the score is the share of label 1
 (0 without labels). Labels, language, source, ids and extra columns are no input.
 """
@@ -71,7 +71,7 @@ class _Slots(dict):
 
 def features(raw, slots):
     """(places, values): hashed words first, then the structure statistics."""
-    raw = raw or b""
+    raw = raw if raw and not raw.isspace() else b""
     words = raw.lower().split()
     n = len(words)
     h = np.fromiter(map(slots.__getitem__, words), dtype=np.int64, count=n)

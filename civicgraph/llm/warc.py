@@ -88,8 +88,7 @@ class _Members:
     def next_member(self):
         """Go to the next member; False at the end of the stream."""
         while self.unzip is not None and not self.unzip.eof:
-            if self._more() == b"":
-                raise BadRecord("gzip member is cut short")
+            self._more()
         self.ready = b""
         if self.unzip is not None:
             self.left = self.unzip.unused_data
