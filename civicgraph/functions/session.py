@@ -47,9 +47,5 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy row work on an input of fewer splits than cores.
-
-    Large inputs have more splits than cores and are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal rows of heavy work out evenly; Spark sizes and may split the partitions."""
+    return df.hint("rebalance")

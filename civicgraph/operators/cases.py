@@ -231,20 +231,25 @@ def case_list(needs: DataFrame, visits: DataFrame) -> DataFrame:
     return out.orderBy(F.desc_nulls_last("last_visit"), "case_id")
 
 
-def last_n(df: DataFrame, n: int, tie: str) -> DataFrame:
-    """The n latest rows per case; the rank filter is applied per task first."""
+def last_n(df: DataFrame, n, tie: str) -> DataFrame:
+    """The n latest rows per case, ranked; all with n None. The rank filter is applied per task first."""
     order = W.partitionBy("case_id").orderBy(F.desc("ts"), F.desc(tie))
-    return df.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= n)
+    ranked = df.withColumn("_rn", F.row_number().over(order))
+    return ranked if n is None else ranked.where(F.col("_rn") <= n)
 
 
-def case_summary(needs, visits, visited, feedback, tie="event_id") -> DataFrame:
-    """Last visit, open and resolved needs, last three places, complaints."""
+def case_summary(needs, visits, visited, feedback, tie="event_id", places=None, query_length=None) -> DataFrame:
+    """Last visit and its query, open and resolved needs, places in order of visit, complaints.
+
+    All places and the whole query, unless the two arguments cut them.
+    """
+    said = F.max_by("query", F.struct("ts", tie))
+    said = F.substring(said, 1, query_length) if query_length else said
     listed = lambda s, k: F.array_join(F.transform(F.array_sort(F.collect_list(
         F.when(F.col("status") == s, F.struct(k, "category")))), lambda x: x["category"]), ", ")
     n = needs.groupBy("case_id").agg(listed("open", "priority").alias("open_needs"), listed("resolved", "priority").alias("resolved"))
-    at = F.struct("ts", tie)
-    v = visits.groupBy("case_id").agg(F.max("ts").alias("last_visit"), F.substring(F.max_by("query", at), 1, 80).alias("last_query"))
-    places = last_n(visited, 3, tie).groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(
+    v = visits.groupBy("case_id").agg(F.max("ts").alias("last_visit"), said.alias("last_query"))
+    places = last_n(visited, places, tie).groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(
         F.collect_list(F.struct((-F.col("_rn")).alias("o"), "name"))), lambda x: x["name"]), ", ").alias("visited"))
     f = feedback.groupBy("case_id").agg(F.count_if(F.lower("feedback").rlike(NEGATIVE_WORDS)).alias("negative_reports"))
     return n.join(v, "case_id", "left").join(places, "case_id", "left").join(f, "case_id", "left").fillna(0, ["negative_reports"])
@@ -316,33 +321,39 @@ def active_destinations(destinations: DataFrame) -> DataFrame:
     return destinations.where(~F.expr(in_set("state", CLOSED_STATES)))
 
 
-def history_timeline(visits, feedback, failed, visited, tie="event_id") -> DataFrame:
-    """The latest entries of each kind as sorted lines per case."""
+def history_timeline(visits, feedback, failed, visited, tie="event_id", keep=None, query_length=None) -> DataFrame:
+    """Entries of each kind as sorted lines per case.
+
+    All of them in full; ``keep`` ({kind: latest entries}) and ``query_length`` cut.
+    """
+    keep = keep or {}
+    asked = F.substring("query", 1, query_length) if query_length else F.col("query")
     stamp = F.concat(F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit("] "))
     text = lambda *p: F.concat(stamp, *[F.lit(x) if isinstance(x, str) else x for x in p])
     kinds = [
-        ("visit", visits, text("Query: ", F.substring("query", 1, 100))),
+        ("visit", visits, text("Query: ", asked)),
         ("feedback", feedback, text("Feedback — ", F.col("resource"), ": ", F.col("feedback"))),
         ("failed", failed, text("Failed resource: ", F.col("name"), " — ", F.col("reason"))),
         ("visited", visited, text("Visited: ", F.col("name"), " — ", F.coalesce("feedback", F.lit("arrived")))),
     ]
     lines = None
     for kind, df, line in kinds:
-        part = last_n(df, HISTORY_KEEP[kind], tie).select("case_id", F.lit(kind).alias("kind"), tie, line.alias("line"))
+        part = last_n(df, keep.get(kind), tie).select("case_id", F.lit(kind).alias("kind"), tie, line.alias("line"))
         lines = part if lines is None else lines.unionByName(part)
     order = W.partitionBy("case_id").orderBy("line", tie, "kind")
     return lines.withColumn("position", F.row_number().over(order)).drop(tie)
 
 
-def case_filter(board: DataFrame, needs: DataFrame, level=None, open_need=None, limit=20) -> DataFrame:
-    """Cases of one urgency, or with one open need, critical and high first."""
+def case_filter(board: DataFrame, needs: DataFrame, level=None, open_need=None, limit=None) -> DataFrame:
+    """Cases of one urgency, or with one open need, critical and high first; all of them without a limit."""
     if level:
         board = board.where(F.col("urgency") == level.lower())
     if open_need:
         want = needs.where((F.lower("category") == open_need.lower()) & (F.col("status") != "resolved"))
         board = board.join(want.select("case_id").distinct(), "case_id", "left_semi")
     rank = F.least(urgency_rank(), F.lit(2))
-    return board.orderBy(rank, F.desc_nulls_last("last_visit"), "case_id").limit(limit)
+    ordered = board.orderBy(rank, F.desc_nulls_last("last_visit"), "case_id")
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def type_to_need(c: str) -> Column:

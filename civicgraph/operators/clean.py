@@ -189,9 +189,11 @@ def _pick(df, candidates, default=None, cast="string"):
 
 
 def _coordinates(df, spec):
-    """Add _lat/_lon: numeric columns, else geometry when they hold nothing.
+    """Add _lat/_lon: numeric columns, else geometry, row by row.
 
-    Geometry is found before any renaming, so an address rename cannot hide it.
+    A row keeps its numbers if it has both; geometry fills in for the others,
+    even where some rows of the table have numbers. Geometry is found before any
+    renaming, so an address rename cannot hide it.
     """
     lat_c, lon_c = first_present(df, spec.lat), first_present(df, spec.lon)
     lat = to_number(lat_c) if lat_c else None
@@ -206,7 +208,7 @@ def _coordinates(df, spec):
     if lat is None or lon is None:
         lat, lon = geo if geo else (F.lit(None).cast("double"),) * 2
     elif geo:
-        given = df.agg(F.coalesce(F.max(lat.isNotNull()), F.lit(False)).alias("_any")).scalar()
+        given = lat.isNotNull() & lon.isNotNull()
         lat, lon = F.when(given, lat).otherwise(geo[0]), F.when(given, lon).otherwise(geo[1])
     return df.withColumn("_lat", lat).withColumn("_lon", lon)
 

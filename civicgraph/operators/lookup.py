@@ -311,11 +311,12 @@ MAP_COLOURS = {
 DEFAULT_COLOUR = "200,200,200,200"
 
 
-def map_rows(mart: DataFrame, limit=2000, colours=MAP_COLOURS) -> DataFrame:
-    """The first rows with coordinates, coloured by type, for the first map view."""
+def map_rows(mart: DataFrame, limit=None, colours=MAP_COLOURS) -> DataFrame:
+    """Rows with coordinates, coloured by type; with ``limit`` the first by id, for a first view."""
     df = mart.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     colour = F.expr(lookup("resource_type", colours, quote(DEFAULT_COLOUR))).alias("color")
-    return df.select(*MAP_COLUMNS, colour).orderBy("resource_id").limit(limit)
+    rows = df.select(*MAP_COLUMNS, colour)
+    return rows if limit is None else rows.orderBy("resource_id").limit(limit)
 
 
 def map_centre(rows: DataFrame) -> DataFrame:

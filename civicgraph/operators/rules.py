@@ -92,36 +92,33 @@ RIGHTS = {
         ("Your info is protected", "NYC agencies cannot share your info with ICE or immigration enforcement."),
     ],
 }
-# id, needs, timeframe
+# id, needs, timeframe, name, age range, situation, outcome, quote
 STORIES = [
-    ("maria-housing", ["housing", "benefits", "school"], "1 week from crisis to stable"),
-    ("james-reentry", ["housing", "documents", "employment"], "30 days to housing + ID + job plan"),
-    ("linh-newcomer", ["housing", "food", "healthcare", "language"], "2 weeks to full safety net"),
-    ("dolores-senior", ["benefits", "healthcare", "housing_assistance"], "3 weeks to all benefits enrolled"),
-    ("ahmad-dv", ["safety", "housing", "legal", "immigration"], "24 hours to safety"),
-    ("tina-family", ["housing", "healthcare", "benefits", "school"], "10 days to full stability"),
+    ("maria-housing", ["housing", "benefits", "school"], "1 week from crisis to stable", "Maria", "30s",
+     "Single mom, 2 kids, evicted from Brooklyn apartment",
+     "Placed in family shelter in 2 days. Kids continued school. Got SNAP and Medicaid within a week.",
+     "I thought I had to figure it out alone. I didn't."),
+    ("james-reentry", ["housing", "documents", "employment"], "30 days to housing + ID + job plan", "James", "40s",
+     "Just released from prison, no ID, no money, no family in NYC",
+     "Moved into transitional housing same day. HRA got him new ID in 3 weeks. Started job training program.",
+     "I didn't think anyone would help a guy like me. They did."),
+    ("linh-newcomer", ["housing", "food", "healthcare", "language"], "2 weeks to full safety net", "Linh", "20s",
+     "Recently arrived from Vietnam, limited English, 1 toddler",
+     "Connected with Asian-American Family Services. Got WIC for toddler. Enrolled in ESL class. Found affordable apartment through HPD.",
+     "They spoke Vietnamese. That was everything."),
+    ("dolores-senior", ["benefits", "healthcare", "housing_assistance"], "3 weeks to all benefits enrolled", "Dolores", "70s",
+     "Widow, fixed income, couldn't afford prescription + rent",
+     "Qualified for SCRIE (Senior rent freeze). Got Medicare Extra Help for prescriptions. Meals on Wheels started weekly deliveries.",
+     "I can pay rent and eat now. I forgot what that felt like."),
+    ("ahmad-dv", ["safety", "housing", "legal", "immigration"], "24 hours to safety", "Ahmad", "30s",
+     "Fleeing domestic abuse with young daughter, undocumented",
+     "Moved to confidential DV shelter same night. Got free lawyer for U-visa application and order of protection. Daughter enrolled in school.",
+     "Being undocumented didn't matter. Being safe did."),
+    ("tina-family", ["housing", "healthcare", "benefits", "school"], "10 days to full stability", "Tina", "40s",
+     "4 kids, lost job, sister kicking her out, diabetic child",
+     "Emergency shelter that night. Pediatric diabetes clinic scheduled for son. SNAP + Medicaid approved in 10 days. Kids enrolled in nearest school.",
+     "I was scared, but one step at a time made it possible."),
 ]
-# id -> name, age range, situation, outcome, quote
-STORY_TEXT = {
-    "maria-housing": ("Maria", "30s", "Single mom, 2 kids, evicted from Brooklyn apartment",
-                      "Placed in family shelter in 2 days. Kids continued school. Got SNAP and Medicaid within a week.",
-                      "I thought I had to figure it out alone. I didn't."),
-    "james-reentry": ("James", "40s", "Just released from prison, no ID, no money, no family in NYC",
-                      "Moved into transitional housing same day. HRA got him new ID in 3 weeks. Started job training program.",
-                      "I didn't think anyone would help a guy like me. They did."),
-    "linh-newcomer": ("Linh", "20s", "Recently arrived from Vietnam, limited English, 1 toddler",
-                      "Connected with Asian-American Family Services. Got WIC for toddler. Enrolled in ESL class. Found affordable apartment through HPD.",
-                      "They spoke Vietnamese. That was everything."),
-    "dolores-senior": ("Dolores", "70s", "Widow, fixed income, couldn't afford prescription + rent",
-                       "Qualified for SCRIE (Senior rent freeze). Got Medicare Extra Help for prescriptions. Meals on Wheels started weekly deliveries.",
-                       "I can pay rent and eat now. I forgot what that felt like."),
-    "ahmad-dv": ("Ahmad", "30s", "Fleeing domestic abuse with young daughter, undocumented",
-                 "Moved to confidential DV shelter same night. Got free lawyer for U-visa application and order of protection. Daughter enrolled in school.",
-                 "Being undocumented didn't matter. Being safe did."),
-    "tina-family": ("Tina", "40s", "4 kids, lost job, sister kicking her out, diabetic child",
-                    "Emergency shelter that night. Pediatric diabetes clinic scheduled for son. SNAP + Medicaid approved in 10 days. Kids enrolled in nearest school.",
-                    "I was scared, but one step at a time made it possible."),
-}
 # (condition, right, detail) from the household profile
 PROFILE_RIGHTS = [
     ("NOT has_id", "Apply without ID", "You can apply for benefits without ID using a 'Request for Proof' form at HRA. Staff will help you get documents."),
@@ -363,7 +360,7 @@ def required_documents(c: str) -> Column:
 def stories_for_need(c: str, k=3) -> Column:
     """Ids of the first k stories about a need, or the first k of all."""
     rows = "array(" + ", ".join(
-        f"named_struct('id', {quote(i)}, 'needs', array({', '.join(map(quote, ns))}))" for i, ns, _ in STORIES) + ")"
+        f"named_struct('id', {quote(i)}, 'needs', array({', '.join(map(quote, ns))}))" for i, ns, *_ in STORIES) + ")"
     hits = f"filter({rows}, s -> array_contains(s.needs, {c}))"
     pick = f"CASE WHEN {c} IS NULL OR size({hits}) = 0 THEN {rows} ELSE {hits} END"
     return F.expr(f"transform(slice({pick}, 1, {k}), s -> s.id)")
@@ -373,7 +370,7 @@ def story_details(ids: str) -> Column:
     """The stories behind an array of ids: array<struct>, in the same order."""
     names = ["id", "timeframe", "name", "age_range", "situation", "outcome", "quote"]
     pairs = ", ".join(f"{quote(i)}, named_struct(" + ", ".join(
-        f"{quote(n)}, {quote(v)}" for n, v in zip(names, (i, when, *STORY_TEXT[i]))) + ")" for i, _, when in STORIES)
+        f"{quote(n)}, {quote(v)}" for n, v in zip(names, (i, *rest))) + ")" for i, _, *rest in STORIES)
     return F.expr(f"transform({ids}, i -> element_at(map({pairs}), i))")
 
 

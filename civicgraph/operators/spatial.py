@@ -1,8 +1,9 @@
 """Distributed spatial joins on plain equi-joins over grid cells.
 
 No join here is a nested loop and none collects a side. Both sides are hashed
-by grid cell, crowded cells are split by a salt, and identical points are
-collapsed into one weighted point before anything is shuffled.
+by grid cell, and identical points are collapsed into one weighted point before
+anything is shuffled. ``knn`` splits crowded query cells by a salt; the joins on
+other cells are sort-merge joins whose crowded cells Spark splits.
 """
 
 import math
@@ -132,6 +133,16 @@ def radius_pairs(left, right, radius, cell, metric="planar_m") -> DataFrame:
             .where(F.col("d2") <= r * r).drop("_cx", "_cy"))
 
 
+#: Latitudes for which great-circle neighbours follow from planar ones.
+GREAT_CIRCLE_BAND = (0.0, 55.0)
+
+
+def _in_band(df, lat) -> DataFrame:
+    low, high = GREAT_CIRCLE_BAND
+    wrong = F.raise_error(F.lit(f"great-circle neighbours need latitudes from {low} to {high}"))
+    return df.withColumn(lat, F.when(F.col(lat).between(low, high), F.col(lat)).otherwise(wrong.cast("double")))
+
+
 def _levels(base, cap):
     """Cell widths base*2^l: up to the cap, or until one cell covers the globe."""
     top = 360.0 * LAT_M if cap is None else cap
@@ -154,6 +165,7 @@ def knn(queries, targets, k, query_id, target_id, cap=None, base=250.0,
     trial rounds. Candidates then come from an equi-join on (level, cell).
     Great-circle order needs no wider block: between the equator and 55 degrees
     it differs from planar by a factor below 2/sqrt(2), which the block allows.
+    Latitudes outside that band raise an error with ``metric="miles"``.
     Targets at one position are reduced to the k first ids before the join,
     and crowded query cells are split into salts.
     """
@@ -168,6 +180,8 @@ def knn(queries, targets, k, query_id, target_id, cap=None, base=250.0,
     t = with_cells(targets.select(F.col(target_id).alias("_t"), F.col("latitude").alias("_tlat"),
                                   F.col("longitude").alias("_tlon"), *carry, *by), base,
                    lat="_tlat", lon="_tlon")
+    if metric == "miles":
+        q, t = (_in_band(df, c) for df, c in ((q, "_qlat"), (t, "_tlat")))
     # A rank filter on a window is applied before the shuffle as well (per map
     # task), so one crowded position never reaches a single task whole.
     spot = W.partitionBy("_tlat", "_tlon", *by).orderBy("_t")
@@ -191,7 +205,9 @@ def knn(queries, targets, k, query_id, target_id, cap=None, base=250.0,
              .withColumn("_salt", F.explode(F.expr("sequence(0, _salts - 1)")))
              .withColumn("_b", F.explode(_block("shiftright(_cx, _l)", "shiftright(_cy, _l)", 2)))
              .select(*cell, "_salt", "_l", "_w", F.col("_b.x").alias("_lx"), F.col("_b.y").alias("_ly")))
-    by_level = (t.withColumn("_l", F.explode(lv)).withColumn("_lx", up("_cx"))
+    # targets are copied to the widths that some query cell picked, not to all
+    used = best.agg(F.array_union(F.collect_set("_l"), F.array(F.lit(levels - 1))).alias("_u")).scalar()
+    by_level = (t.withColumn("_l", F.explode(used)).withColumn("_lx", up("_cx"))
                 .withColumn("_ly", up("_cy")).drop("_cx", "_cy"))
     cand = cover.join(by_level, at_level).drop("_l", "_lx", "_ly")
     salted = (q.join(qcells, cell)

@@ -113,12 +113,12 @@ def travel_advice(trips: DataFrame, transit: DataFrame, benefits: DataFrame) ->
         F.when(short & long_walk, F.col("_hra")).alias("free_fare_at"))
 
 
-def merge_steps(routes: DataFrame, steps="steps") -> DataFrame:
+def merge_steps(routes: DataFrame, steps="steps", most=None) -> DataFrame:
     """Fold an array of walk steps into the few that matter.
 
     ``steps``: array<struct<name, type, distance_m, duration_s>> in walking
     order, one route per row. Tiny steps go, unnamed and highway steps add to
-    the step before, and beyond eight only the longest stay.
+    the step before. With ``most``, only that many of the longest stay.
     """
     name = "lower(trim(s.name))"
     skip = f"({in_set(name, SKIP_STEP_NAMES)} OR {any_word(name, SKIP_STEP_WORDS)})"
@@ -134,9 +134,11 @@ def merge_steps(routes: DataFrame, steps="steps") -> DataFrame:
         CAST(array() AS array<struct<instruction: string, distance_ft: bigint, duration_min: double>>),
         (acc, s) -> CASE WHEN {skip} THEN CASE WHEN size(acc) > 0 THEN {grown} ELSE acc END
                          ELSE concat(acc, {fresh}) END)"""
+    if not most:
+        return routes.withColumn("merged", F.expr(fold))
     routes = routes.withColumn("_m", F.expr(fold))
     tagged = "transform(_m, (x, i) -> named_struct('f', -x.distance_ft, 'i', i, 'x', x))"
-    best = f"slice(array_sort({tagged}), 1, {MOST_STEPS})"
+    best = f"slice(array_sort({tagged}), 1, {most})"
     by_time = f"transform({best}, (r, j) -> named_struct('t', r.x.duration_min, 'j', j, 'x', r.x))"
     cut = f"transform(array_sort({by_time}), r -> r.x)"
-    return routes.withColumn("merged", F.expr(f"CASE WHEN size(_m) > {MOST_STEPS} THEN {cut} ELSE _m END")).drop("_m")
+    return routes.withColumn("merged", F.expr(f"CASE WHEN size(_m) > {most} THEN {cut} ELSE _m END")).drop("_m")

@@ -11,9 +11,8 @@ from .spatial import radius_count, radius_pairs
 # ---- Fixed values -------------------------------------------------------
 
 CONFIDENCE = {
-    "spatial_exact": 1.00, "spatial_derived": 0.85, "identity": 1.00, "classification": 0.95,
-    "cross_dataset": 0.80, "computed": 0.75, "temporal_fresh": 0.95, "temporal_stale": 0.60,
-    "text_extracted": 0.70, "zoning": 0.90,
+    "spatial_exact": 1.00, "identity": 1.00, "classification": 0.95, "cross_dataset": 0.80,
+    "computed": 0.75, "temporal_stale": 0.60, "pluto_zoning": 0.90,
 }
 RADIUS_DEGREES = 500 / 111320
 CRIME_CATEGORIES = {
@@ -175,16 +174,16 @@ def lot_rollup_triples(lots: DataFrame) -> DataFrame:
         F.concat(F.lit("LOTS_"), F.upper(F.expr(LANDUSE_LABEL))))
     return sets.select(F.concat(F.lit("boro_"), "borough").alias("subject"), pred.alias("predicate"),
                        F.col("n").cast("string").alias("object_val"),
-                       F.lit(CONFIDENCE["zoning"]).alias("confidence"), F.lit("pluto").alias("source"))
+                       F.lit(CONFIDENCE["pluto_zoning"]).alias("confidence"), F.lit("pluto").alias("source"))
 
 
 def lot_triples(lots: DataFrame) -> DataFrame:
     c = CONFIDENCE
     return emit(lots.where("is_overflow_candidate"), "CAST(bbl AS STRING)", [
-        ("IS_OVERFLOW_CANDIDATE", "'True'", c["zoning"], "pluto"),
+        ("IS_OVERFLOW_CANDIDATE", "'True'", c["pluto_zoning"], "pluto"),
         ("HAS_ADDRESS", "address", c["identity"], "pluto"),
         ("IN_BOROUGH", "borough", c["spatial_exact"], "pluto"),
-        ("LANDUSE", LANDUSE_LABEL, c["zoning"], "pluto"),
+        ("LANDUSE", LANDUSE_LABEL, c["pluto_zoning"], "pluto"),
         ("OWNER", "ownername", c["identity"], "pluto"),
         ("NUM_FLOORS", "CAST(numfloors AS BIGINT)", c["identity"], "pluto"),
         ("YEAR_BUILT", "CASE WHEN yearbuilt > 0 THEN CAST(yearbuilt AS BIGINT) END", c["identity"], "pluto"),
@@ -277,14 +276,19 @@ def issue_rules(complaints: DataFrame) -> DataFrame:
     return complaints.withColumn("_i", F.expr(rule)).select("*", "_i.*").drop("_i")
 
 
-def complaint_fact_triples(complaints: DataFrame) -> DataFrame:
-    """Three or four triples per complaint about its address."""
+def complaint_fact_triples(complaints: DataFrame, address_length=None) -> DataFrame:
+    """Three or four triples per complaint about its address.
+
+    Addresses are kept in full unless ``address_length`` cuts them.
+    """
     df = complaints.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
                           & F.col("complaint_type").isNotNull())
     conf = lambda f: lookup("severity", {s: round(v * f, 3) for s, v in SEVERITY_CONFIDENCE.items()},
                             literal(round(0.7 * f, 3)))
-    subject = ("concat('addr_', substring(replace(coalesce(incident_address, 'unknown'), ' ', '_'), 1, 50), "
-               "'_', coalesce(borough, ''))")
+    address = "replace(coalesce(incident_address, 'unknown'), ' ', '_')"
+    if address_length:
+        address = f"substring({address}, 1, {address_length})"
+    subject = f"concat('addr_', {address}, '_', coalesce(borough, ''))"
     return emit(issue_rules(df), subject, [
         ("HAS_ISSUE", "issue", conf(ISSUE_FACTOR), "311_txt2kg"),
         ("ISSUE_SEVERITY", "severity", conf(SEVERITY_FACTOR), "311_txt2kg"),

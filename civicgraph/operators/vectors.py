@@ -1,5 +1,7 @@
 """Feature vectors per resource, and similarity search over vectors."""
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W
@@ -17,16 +19,13 @@ COMPLAINTS = ["UNSANITARY", "HEATING", "STRUCTURAL", "SAFETY", "GENERAL"]
 PROFILE_SAFETY, PROFILE_QUALITY, PROFILE_WALK = 0.9, 0.9, 0.8
 TOP_FEATURES = 15
 
-# Query vectors one pass may hold in memory per task; more queries take more
-# passes, so nothing is ever dropped.
-PASS_QUERIES = 20_000
+# Rows of one block: a task holds two blocks and the table of their products.
+BLOCK_ROWS = 2_000
 
 
 def resource_types(mart: DataFrame) -> list:
-    """The sorted type names, a few dozen at most; they name the columns."""
-    rows = mart.select("resource_type").where("resource_type IS NOT NULL").distinct().orderBy("resource_type").limit(1001).collect()
-    if len(rows) > 1000:
-        raise ValueError("more than 1000 resource types: pass the types to encode")
+    """The sorted type names: a vocabulary of the schema, as they name the columns of a vector."""
+    rows = mart.select("resource_type").where("resource_type IS NOT NULL").distinct().orderBy("resource_type").collect()
     return [r[0] for r in rows]
 
 
@@ -86,80 +85,76 @@ def cosine(a: str, b: str) -> Column:
 
 
 def similar_topk(vectors: DataFrame, queries: DataFrame, k=5, group=None, id_col="id", vec="vec",
-                 per_pass=PASS_QUERIES) -> DataFrame:
+                 block_rows=BLOCK_ROWS) -> DataFrame:
     """The k most similar items of each query item by cosine, ties by id.
 
     ``group`` restricts candidates to the query's own value of that column
-    (same type, same borough) before the top k is taken. Exact: each task
-    multiplies its block of vectors with the block of queries and emits only
-    its k best per query, so pairs never exist as rows; the k-row lists are
-    then merged. Queries beyond one pass's bound are handled in further
-    passes over the vectors.
+    (same type, same borough) before the top k is taken; a query without a value
+    then has no candidates. Exact: both sides are hashed into blocks of about
+    ``block_rows`` rows, within their group only, and every pair of a query block
+    and a vector block is one matrix product in one task. Only its k best per
+    query leave the task, so pairs never exist as rows.
     """
-    cols = [id_col, vec] + ([group] if group else [])
-    n = queries.count()
-    passes = max(1, -(-n // per_pass))
-    vectors = vectors.select(*cols)
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    schema = f"query_id {id_type}, {id_col} {id_type}, similarity double"
-    out = None
-    for i in range(passes):
-        part = queries.select(*cols)
-        if passes > 1:
-            part = part.where(F.pmod(F.xxhash64(id_col), F.lit(passes)) == i)
-        q = part.toPandas()   # one bounded block of queries, shipped to every task
-        q_ids = q[id_col].to_numpy()
-        q_mat = _unit(q[vec])
-        q_grp = q[group].to_numpy() if group else None
-        shared = vectors.sparkSession.sparkContext.broadcast((q_ids, q_mat, q_grp))
-
-        def block(batches, shared=shared):
-            q_ids, q_mat, q_grp = shared.value
-            for pdf in batches:
-                if len(pdf) and len(q_ids):
-                    yield _block_best(pdf, q_ids, q_mat, q_grp, k, id_col, vec, group)
-        local = vectors.mapInPandas(block, schema)
-        out = local if out is None else out.unionByName(local)
-    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
-    best = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.withColumn("similarity", round_even("similarity", 4))
+    key = F.col(group) if group else F.lit(0)
+    v = vectors.select(F.col(id_col).alias("_id"), F.col(vec).alias("_vec"), key.alias("_g"))
+    q = queries.select(F.col(id_col).alias("_id"), F.col(vec).alias("_vec"), key.alias("_g"))
+    blocks = lambda df, out: df.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(out))
+    sizes = blocks(v, "_nv").join(blocks(q, "_nq"), "_g")
+    own = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = q.join(sizes, "_g").select("_g", own("_nq").alias("_i"), each("_nv").alias("_j"), F.lit(0).alias("_side"), "_id", "_vec")
+    right = v.join(sizes, "_g").select("_g", each("_nq").alias("_i"), own("_nv").alias("_j"), F.lit(1).alias("_side"), "_id", "_vec")
+    cell = ["_g", "_i", "_j"]
+    dealt = left.unionByName(right).repartition(*cell).sortWithinPartitions(*cell)
+    id_type = v.schema["_id"].dataType.simpleString()
+    best = dealt.mapInPandas(_best_of_blocks(k), f"query_id {id_type}, _id {id_type}, similarity double")
+    order = W.partitionBy("query_id").orderBy(F.desc("similarity"), "_id")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.select("query_id", F.col("_id").alias(id_col), round_even("similarity", 4).alias("similarity"), "rank")
 
 
 def _unit(column) -> np.ndarray:
     mat = np.array([np.asarray(v, dtype=np.float64) for v in column])
-    if not len(mat):
-        return mat.reshape(0, 0)
     length = np.linalg.norm(mat, axis=1, keepdims=True)
     length[length == 0] = 1.0
     return mat / length
 
 
-# Products held at once while a block is scored.
-BLOCK_CELLS = 4_000_000
-
-
-def _block_best(pdf, q_ids, q_mat, q_grp, k, id_col, vec, group):
-    ids = pdf[id_col].to_numpy()
-    order = np.argsort(ids, kind="stable")
-    ids, mat = ids[order], _unit(pdf[vec])[order]
-    grp = pdf[group].to_numpy()[order] if group else None
-    parts = []
-    step = max(1, BLOCK_CELLS // len(ids))
-    for lo in range(0, len(q_ids), step):
-        hi = min(lo + step, len(q_ids))
-        # nine decimals: equal vectors tie whatever the order of the sums
-        sims = np.round(q_mat[lo:hi] @ mat.T, 9)
-        allowed = q_ids[lo:hi, None] != ids[None, :]
-        if group:
-            allowed &= q_grp[lo:hi, None] == grp[None, :]
-        sims = np.where(allowed, sims, -np.inf)
-        # ids ascend, so a stable sort of -sims breaks ties by id
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        val = np.take_along_axis(sims, top, axis=1)
-        keep = np.isfinite(val)
-        parts.append(pd.DataFrame({"query_id": np.repeat(q_ids[lo:hi], keep.sum(axis=1)),
-                                   id_col: ids[top][keep], "similarity": val[keep]}))
-    return pd.concat(parts, ignore_index=True)
+def _best_of_blocks(k):
+    """Rows sorted by block pair in, the k best of each query of a pair out."""
+    def run(frames):
+        held = None
+        for pdf in itertools.chain(frames, [None]):
+            if pdf is not None:
+                held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if held is None or not len(held):
+                continue
+            change = held[["_g", "_i", "_j"]].ne(held[["_g", "_i", "_j"]].shift()).any(axis=1).to_numpy()
+            cuts = np.flatnonzero(change).tolist() + ([len(held)] if pdf is None else [])
+            for lo, hi in zip(cuts, cuts[1:]):
+                found = _block_best(held.iloc[lo:hi], k)
+                if found is not None:
+                    yield found
+            held = held.iloc[cuts[-1]:].reset_index(drop=True) if pdf is not None else None     # the last pair may go on
+    return run
+
+
+def _block_best(rows, k):
+    query = (rows["_side"] == 0).to_numpy()
+    if query.all() or not query.any():
+        return None
+    ids = rows["_id"].to_numpy()
+    q_ids, q_mat = ids[query], _unit(rows["_vec"][query])
+    v_ids, order = ids[~query], np.argsort(ids[~query], kind="stable")
+    v_ids, v_mat = v_ids[order], _unit(rows["_vec"][~query])[order]
+    # nine decimals: equal vectors tie whatever the order of the sums
+    sims = np.round(q_mat @ v_mat.T, 9)
+    sims = np.where(q_ids[:, None] != v_ids[None, :], sims, -np.inf)
+    # ids ascend, so a stable sort of -sims breaks ties by id
+    top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+    val = np.take_along_axis(sims, top, axis=1)
+    keep = np.isfinite(val)
+    return pd.DataFrame({"query_id": np.repeat(q_ids, keep.sum(axis=1)), "_id": v_ids[top][keep], "similarity": val[keep]})
 
 
 def profile_vector(types, wanted, borough) -> list:
@@ -207,19 +202,19 @@ def _hash_key(c) -> Column:
 def dense_ids(labels: DataFrame, c: str, out: str) -> DataFrame:
     """Consecutive ids of distinct labels, numbered in parallel hash blocks."""
     df = labels.select(c).distinct().withColumn("_h", _hash_key(c))
-    return sequential_index(df, ["_h", c], "_h", width=2**46, out=out).drop("_h")
+    return sequential_index(df, ["_h", c], "_h", out=out).drop("_h")
 
 
-def kge_triples(triples: DataFrame) -> DataFrame:
-    """head, relation, tail: nulls dropped, long names cut at 100 characters."""
+def kge_triples(triples: DataFrame, name_length=None) -> DataFrame:
+    """head, relation, tail without nulls; names in full unless a length is given."""
     df = triples.select("subject", "predicate", "object_val").dropna()
-    cut = lambda c: F.substring(F.col(c).cast("string"), 1, 100)
+    cut = lambda c: F.substring(F.col(c).cast("string"), 1, name_length) if name_length else F.col(c).cast("string")
     return df.select(cut("subject").alias("head"), F.col("predicate").alias("relation"), cut("object_val").alias("tail"))
 
 
-def kge_dataset(triples: DataFrame, seed=42) -> DataFrame:
+def kge_dataset(triples: DataFrame, seed=42, name_length=None) -> DataFrame:
     """Triples as dense ids with a 90/5/5 split decided by a seeded hash."""
-    t = kge_triples(triples)
+    t = kge_triples(triples, name_length)
     names = t.select(F.col("head").alias("label")).unionByName(t.select(F.col("tail").alias("label")))
     entities = dense_ids(names, "label", "id")
     relations = dense_ids(t, "relation", "relation_id")

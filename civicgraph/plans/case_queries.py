@@ -118,20 +118,30 @@ def case_list(spark, sf_dir):
     return C.case_list(t.needs, t.visits)
 
 
-@query("case_summary", ctes(*tables("needs", "visits", "visited", "feedback"), body="""
+def summary_sql(last_query, places):
+    return """
     , n AS (SELECT case_id, coalesce(string_agg(category, ', ' ORDER BY priority, category) FILTER (status = 'open'), '') AS open_needs,
             coalesce(string_agg(category, ', ' ORDER BY priority, category) FILTER (status = 'resolved'), '') AS resolved FROM needs GROUP BY 1),
-    v AS (SELECT case_id, max(ts) AS last_visit, substring(arg_max(query, (ts, event_id)), 1, 80) AS last_query FROM visits GROUP BY 1),
-    p AS (SELECT case_id, string_agg(name, ', ' ORDER BY ts, event_id) AS visited FROM (SELECT * FROM visited
-          QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY ts DESC, event_id DESC) <= 3) GROUP BY 1),
+    v AS (SELECT case_id, max(ts) AS last_visit, {QUERY} AS last_query FROM visits GROUP BY 1),
+    p AS (SELECT case_id, string_agg(name, ', ' ORDER BY ts, event_id) AS visited FROM (SELECT * FROM visited {PLACES}) GROUP BY 1),
     f AS (SELECT case_id, count(*) FILTER (regexp_matches(lower(feedback), 'full|closed|wrong|unsafe')) AS negative_reports FROM feedback GROUP BY 1)
     SELECT n.*, last_visit, last_query, visited, coalesce(negative_reports, 0) AS negative_reports
-    FROM n LEFT JOIN v USING (case_id) LEFT JOIN p USING (case_id) LEFT JOIN f USING (case_id)"""))
+    FROM n LEFT JOIN v USING (case_id) LEFT JOIN p USING (case_id) LEFT JOIN f USING (case_id)""".replace("{QUERY}", last_query).replace("{PLACES}", places)
+
+
+@query("case_summary", ctes(*tables("needs", "visits", "visited", "feedback"), body=summary_sql("arg_max(query, (ts, event_id))", "")))
 def case_summary(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return C.case_summary(t.needs, t.visits, t.visited, t.feedback)
 
 
+@query("case_summary_short", ctes(*tables("needs", "visits", "visited", "feedback"), body=summary_sql(
+    "substring(arg_max(query, (ts, event_id)), 1, 80)", "QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY ts DESC, event_id DESC) <= 3")))
+def case_summary_short(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return C.case_summary(t.needs, t.visits, t.visited, t.feedback, places=3, query_length=80)
+
+
 URGENT = ("urgent", """SELECT case_id, CASE WHEN crit THEN 'critical' WHEN hi THEN CASE WHEN f < 2 THEN 'high' ELSE 'critical' END
     WHEN op THEN 'medium' ELSE 'low' END AS urgency, f AS failed_count FROM (
     SELECT case_id, bool_or(status <> 'resolved' AND category IN ('safety', 'domestic_violence', 'emergency_services')) AS crit,
@@ -198,12 +208,17 @@ def active_destinations(spark, sf_dir):
 
 LAST = "QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY ts DESC, event_id DESC) <= {n}"
 STAMP = "concat('[', strftime(ts, '%Y-%m-%d %H:%M'), '] ', {0})"
-HISTORY = ("history", f"""
+def history_sql(last, asked):
+    return ("history", f"""
     SELECT case_id, kind, line, CAST(row_number() OVER (PARTITION BY case_id ORDER BY line, event_id, kind) AS INT) AS position FROM (
-      (SELECT case_id, 'visit' AS kind, event_id, {STAMP.format("'Query: ', query")} AS line FROM visits {LAST.format(n=8)})
-      UNION ALL (SELECT case_id, 'feedback', event_id, {STAMP.format("'Feedback — ', resource, ': ', feedback")} FROM feedback {LAST.format(n=5)})
-      UNION ALL (SELECT case_id, 'failed', event_id, {STAMP.format("'Failed resource: ', name, ' — ', reason")} FROM failed {LAST.format(n=5)})
-      UNION ALL (SELECT case_id, 'visited', event_id, {STAMP.format("'Visited: ', name, ' — ', coalesce(feedback, 'arrived')")} FROM visited {LAST.format(n=5)}))""")
+      (SELECT case_id, 'visit' AS kind, event_id, {STAMP.format(asked)} AS line FROM visits {last(8)})
+      UNION ALL (SELECT case_id, 'feedback', event_id, {STAMP.format("'Feedback — ', resource, ': ', feedback")} FROM feedback {last(5)})
+      UNION ALL (SELECT case_id, 'failed', event_id, {STAMP.format("'Failed resource: ', name, ' — ', reason")} FROM failed {last(5)})
+      UNION ALL (SELECT case_id, 'visited', event_id, {STAMP.format("'Visited: ', name, ' — ', coalesce(feedback, 'arrived')")} FROM visited {last(5)}))""")
+
+
+HISTORY = history_sql(lambda n: "", "'Query: ', query")
+SHORT_HISTORY = history_sql(lambda n: LAST.format(n=n), "'Query: ', substring(query, 1, 100)")
 
 
 @query("history_timeline", ctes(*tables("visits", "feedback", "failed", "visited"), HISTORY, body="SELECT * FROM history"))
@@ -212,14 +227,27 @@ def history_timeline(spark, sf_dir):
     return C.history_timeline(t.visits, t.feedback, t.failed, t.visited)
 
 
-@query("case_filter", ctes(*BOARD, body="""
-    SELECT * FROM board WHERE case_id IN (SELECT case_id FROM needs WHERE category = 'food' AND status <> 'resolved')
-    ORDER BY least(urgency_order, 2), last_visit DESC, case_id LIMIT 20"""))
+@query("history_timeline_short", ctes(*tables("visits", "feedback", "failed", "visited"), SHORT_HISTORY, body="SELECT * FROM history"))
+def history_timeline_short(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return C.history_timeline(t.visits, t.feedback, t.failed, t.visited, keep=C.HISTORY_KEEP, query_length=100)
+
+
+FOOD = "SELECT * FROM board WHERE case_id IN (SELECT case_id FROM needs WHERE category = 'food' AND status <> 'resolved')"
+
+
+@query("case_filter", ctes(*BOARD, body=FOOD))
 def case_filter(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return C.case_filter(board(t), t.needs, open_need="Food")
 
 
+@query("case_filter_first", ctes(*BOARD, body=FOOD + " ORDER BY least(urgency_order, 2), last_visit DESC, case_id LIMIT 20"))
+def case_filter_first(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return C.case_filter(board(t), t.needs, open_need="Food", limit=20)
+
+
 NEED = "CASE resource_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.TYPE_TO_NEED.items()) + " ELSE resource_type END"
 
 
@@ -232,8 +260,8 @@ def type_to_need(spark, sf_dir):
 
 ARRIVE = ("arrivals", """SELECT DISTINCT d.case_id, m.resource_id, m.name AS resource_name, m.resource_type, m.address
     FROM dest d JOIN mart m ON m.row_key = CAST(replace(d.resource, 'site_', '') AS BIGINT) WHERE d.state NOT IN ('resolved', 'cancelled')""")
-STORY_LIST = "CASE " + " ".join(f"WHEN first = '{n}' THEN {q(', '.join([i for i, ns, _ in K.STORIES if n in ns][:2]))}"
-                                for n in sorted({n for _, ns, _ in K.STORIES for n in ns})) + f" ELSE {q(', '.join(i for i, _, _ in K.STORIES[:2]))} END"
+STORY_LIST = "CASE " + " ".join(f"WHEN first = '{n}' THEN {q(', '.join([i for i, ns, *_ in K.STORIES if n in ns][:2]))}"
+                                for n in sorted({n for _, ns, *_ in K.STORIES for n in ns})) + f" ELSE {q(', '.join(i for i, *_ in K.STORIES[:2]))} END"
 PROTOCOL_FIRST = "list_filter(ol, lambda n: list_contains([" + ", ".join(q(k) for k in K.PROTOCOLS) + "], n))[1]"
 
 

@@ -283,7 +283,7 @@ def mart_status(spark, sf_dir):
 
 COLOUR = "CASE resource_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.MAP_COLOURS.items()) + " ELSE '200,200,200,200' END"
 MAP_SQL = f"""SELECT resource_id, resource_type, name, address, borough, latitude, longitude, safety_score, {COLOUR} AS color
-    FROM mart WHERE latitude IS NOT NULL AND longitude IS NOT NULL ORDER BY resource_id LIMIT 2000"""
+    FROM mart WHERE latitude IS NOT NULL AND longitude IS NOT NULL"""
 
 
 @query("map_rows", ctes("mart", body=MAP_SQL))
@@ -291,6 +291,11 @@ def map_rows(spark, sf_dir):
     return L.map_rows(Views(spark, sf_dir).mart)
 
 
+@query("map_first_view", ctes("mart", body=MAP_SQL + " ORDER BY resource_id LIMIT 2000"))
+def map_first_view(spark, sf_dir):
+    return L.map_rows(Views(spark, sf_dir).mart, limit=2000)
+
+
 @query("map_centre", ctes("mart", ("rows_", MAP_SQL), body=f"""
     SELECT {r_even('avg(latitude)', 6)} AS lat, {r_even('avg(longitude)', 6)} AS lon FROM rows_"""))
 def map_centre(spark, sf_dir):

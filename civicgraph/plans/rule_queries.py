@@ -86,7 +86,7 @@ def rights_for_type(spark, sf_dir):
     return m.select("resource_id", F.posexplode(K.rights_for_type("k", 3)).alias("position", "r")).select("resource_id", "position", "r.*")
 
 
-STORY = values("story", [(i, s, n) for i, (s, ns, _) in enumerate(K.STORIES) for n in ns], "i, id, need")
+STORY = values("story", [(i, s, n) for i, (s, ns, *_) in enumerate(K.STORIES) for n in ns], "i, id, need")
 
 
 @query("stories_for_need", ctes("case_events", STORY, body="""
@@ -100,7 +100,7 @@ def stories_for_need(spark, sf_dir):
     return df.withColumn("stories", F.array_join(K.stories_for_need("need"), ", "))
 
 
-STORY_ROWS = values("told", [(i, w, *K.STORY_TEXT[i]) for i, _, w in K.STORIES], "id, timeframe, name, age_range, situation, outcome, quote")
+STORY_ROWS = values("told", [(i, *rest) for i, _, *rest in K.STORIES], "id, timeframe, name, age_range, situation, outcome, quote")
 
 
 @query("story_details", ctes("case_events", STORY, STORY_ROWS, body="""

@@ -8,26 +8,44 @@ from .lookup_queries import lots
 from .registry import Views, ctes, query
 
 
-@query("land_datasets", """
-    SELECT 'incidents' AS dataset, least(500000, count(*)) AS n_rows, 3 AS n_columns FROM orders WHERE o_orderdate > TIMESTAMP '1995-01-01'
-    UNION ALL SELECT 'complaints', least(300000, count(*)), 3 FROM events WHERE event_type <> 'purchase'
-    UNION ALL SELECT 'lots', least(900000, count(*)), 6 FROM part""")
-def land_datasets(spark, sf_dir):
+FEEDS = """
+    SELECT 'incidents' AS dataset, o_orderkey AS id, concat(o_orderpriority, '|', CAST(CAST(o_orderdate AS DATE) AS VARCHAR)) AS content
+    FROM orders WHERE o_orderdate > TIMESTAMP '1995-01-01' 
+    UNION ALL SELECT 'complaints' AS dataset, event_id AS id, concat(event_type, '|', CAST(CAST(ts AS DATE) AS VARCHAR)) AS content FROM events WHERE event_type <> 'purchase'
+    UNION ALL SELECT 'lots' AS dataset, p_partkey AS id, concat(p_name, '|', p_brand) AS content FROM part"""
+
+
+def landed(spark, sf_dir, limits=(None, None, None)):
+    """All three sources landed and read back, with an id and the content of every row."""
     registry = {
-        "incidents": S.Dataset(f"{sf_dir}/orders.parquet", limit=500_000, where="o_orderdate > timestamp_ntz'1995-01-01'",
-                               select=("o_orderkey", "o_orderdate", "o_orderpriority")),
-        "complaints": S.Dataset(f"{sf_dir}/events.parquet", limit=300_000, where="event_type <> 'purchase'",
-                                select=("event_id", "ts", "event_type")),
-        "lots": S.Dataset(f"{sf_dir}/part.parquet", limit=900_000),
+        "incidents": S.Dataset(f"{sf_dir}/orders.parquet", limit=limits[0], where="o_orderdate > timestamp_ntz'1995-01-01'",
+                               select=("o_orderkey", "o_orderdate", "o_orderpriority"), order=("o_orderkey",)),
+        "complaints": S.Dataset(f"{sf_dir}/events.parquet", limit=limits[1], where="event_type <> 'purchase'",
+                                select=("event_id", "ts", "event_type"), order=("event_id",)),
+        "lots": S.Dataset(f"{sf_dir}/part.parquet", limit=limits[2], order=("p_partkey",)),
     }
+    content = {"incidents": ("o_orderkey AS id", "concat(o_orderpriority, '|', CAST(CAST(o_orderdate AS DATE) AS STRING)) AS content"),
+               "complaints": ("event_id AS id", "concat(event_type, '|', CAST(CAST(ts AS DATE) AS STRING)) AS content"),
+               "lots": ("p_partkey AS id", "concat(p_name, '|', p_brand) AS content")}
     folder = work_path(spark, "landing")
     S.land_all(spark, registry, folder)
-    landed = S.land_all(spark, registry, folder)   # already there: nothing is fetched again
-    parts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit(n).alias("dataset"), "n_rows", F.lit(len(df.columns)).alias("n_columns")) for n, df in landed.items()]
+    tables = S.land_all(spark, registry, folder)   # already there: nothing is fetched again
+    parts = [df.selectExpr(f"'{n}' AS dataset", *content[n]) for n, df in tables.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+@query("land_datasets", FEEDS)
+def land_datasets(spark, sf_dir):
+    return landed(spark, sf_dir)
+
+
+@query("land_datasets_limited", "WITH " + ", ".join(f"f{k} AS (SELECT * FROM ({part}) ORDER BY id LIMIT {n})" for k, (part, n) in enumerate(zip(
+    FEEDS.split("UNION ALL"), (500, 300, 90)))) + """
+    SELECT dataset, id, content FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2""")
+def land_datasets_limited(spark, sf_dir):
+    return landed(spark, sf_dir, (500, 300, 90))
+
+
 @query("scan_parquet", "SELECT o_orderkey, o_orderpriority FROM orders WHERE o_totalprice > 100000")
 def scan_parquet(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -55,14 +73,21 @@ def sink_parquet(spark, sf_dir):
 
 @query("scan_case_docs", """
     SELECT concat('case_', CAST(user_id AS VARCHAR)) AS case_id, concat('Client ', CAST(user_id AS VARCHAR)) AS name,
-           count(*) AS n_visits, max(event_type) AS last_query, NULL::VARCHAR AS admin_notes
+           count(*) AS n_visits, max(event_type) AS last_query, NULL::VARCHAR AS admin_notes, 'two kids' AS notes,
+           max(concat('site of ', event_type)) AS last_shown, CAST(40.5 AS DOUBLE) AS last_lat, concat('t', CAST(user_id AS VARCHAR)) AS thread_id,
+           'https://example.org/t' AS thread_url, user_id % 2 = 0 AS acknowledged
     FROM events WHERE user_id % 10 <> 3 GROUP BY user_id""")
 def scan_case_docs(spark, sf_dir):
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
-    visit = F.struct(F.col("event_type").alias("query"), F.lit("shown").alias("answer_summary"))
+    visit = F.struct(F.col("event_type").alias("query"), F.lit("shown").alias("answer_summary"),
+                     F.array(F.struct(F.concat(F.lit("site of "), "event_type").alias("name"), F.lit("shelter").alias("type"))).alias("resources_shown"),
+                     F.struct(F.lit(40.5).alias("lat"), F.lit(-73.9).alias("lon")).alias("location"))
+    intent = F.struct(F.lit("site").alias("resource_name"), F.concat(F.lit("t"), "user_id").alias("thread_id"),
+                      F.lit("https://example.org/t").alias("thread_url"), (F.col("user_id") % 2 == 0).alias("acknowledged"))
     doc = F.to_json(F.struct(F.concat(F.lit("case_"), "user_id").alias("case_id"),
                              F.concat(F.lit("Client "), "user_id").alias("name"),
-                             F.sort_array(F.collect_list(visit)).alias("visits"),
+                             F.sort_array(F.collect_list(visit)).alias("visits"), F.lit("two kids").alias("notes"),
+                             F.array(F.first(intent)).alias("destination_intents"),
                              F.lit("ignored").alias("field_of_a_later_version")))
     docs = ev.groupBy("user_id").agg(doc.alias("value"))
     # every tenth document was cut off while it was written
@@ -71,7 +96,10 @@ def scan_case_docs(spark, sf_dir):
     docs.select(broken.alias("value")).write.text(path)
     return S.scan_case_docs(spark, path).select(
         "case_id", "name", F.size("visits").cast("long").alias("n_visits"),
-        F.element_at("visits", -1)["query"].alias("last_query"), "admin_notes")
+        F.element_at("visits", -1)["query"].alias("last_query"), "admin_notes", "notes",
+        F.expr("visits[size(visits) - 1].resources_shown[0].name").alias("last_shown"),
+        F.expr("visits[size(visits) - 1].location.lat").alias("last_lat"),
+        *[F.col("destination_intents")[0][c].alias(c) for c in ("thread_id", "thread_url", "acknowledged")])
 
 
 @query("union_stages", ctes("sites", "stations", "households", body="""
@@ -92,16 +120,17 @@ def union_stages(spark, sf_dir):
 
 @query("lot_layer", ctes("lots", body="""
     SELECT borough, count(*) AS n_lots, count(*) FILTER (landuse_raw IN ('8', '9', '12')) AS n_candidates
-    FROM lots WHERE borough IN ('BK', 'QN') GROUP BY 1"""))
+    FROM lots GROUP BY 1"""))
 def lot_layer(spark, sf_dir):
     path = work_path(spark, "lots")
     S.save_lot_layer(lots(Views(spark, sf_dir)), path)
-    return (spark.read.parquet(path).where("borough IN ('BK', 'QN')").groupBy("borough")
+    return (spark.read.parquet(path).groupBy("borough")
             .agg(F.count(F.lit(1)).alias("n_lots"), F.count_if("is_overflow_candidate").alias("n_candidates")))
 
 
 @query("graph_tables", """
     SELECT 'LINE' AS edge_type, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS dst_sum FROM lineitem WHERE l_linenumber = 2
+    UNION ALL SELECT 'OTHER', count(*), CAST(sum(l_partkey) AS BIGINT) FROM lineitem WHERE l_linenumber <> 2
     UNION ALL SELECT 'ORDER', count(*), CAST(sum(o_custkey) AS BIGINT) FROM orders""")
 def graph_tables(spark, sf_dir):
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
@@ -113,5 +142,5 @@ def graph_tables(spark, sf_dir):
     folder = work_path(spark, "graph")
     S.save_graph(nodes, line.unionByName(order), folder)
     _, edges = S.load_graph(spark, folder)
-    return edges.where("edge_type IN ('LINE', 'ORDER')").groupBy("edge_type").agg(
+    return edges.groupBy("edge_type").agg(
         F.count(F.lit(1)).alias("n"), F.sum("dst").alias("dst_sum"))

@@ -9,19 +9,20 @@ from .case_queries import FOLD_SQL
 from .registry import Views, ctes, query
 
 
-FILES = 4
+#: Files of one micro-batch.
+FILES = 64
 
 
 def log(spark, sf_dir, copies=1):
-    """The event log as it grows: one write per ten days, one batch per write."""
+    """The event log as it grows: one write per ten days."""
     S.prepare_session(spark)
     ev = Views(spark, sf_dir).case_events
     path = work_path(spark, "event-log")
     for i in range(3):
         part = ev.where(f"least(2, floor((dayofmonth(ts) - 1) / 10)) = {i}")
         for _ in range(copies):
-            part.repartition(FILES).write.mode("append").parquet(path)
-    return S.event_stream(spark, path, ev.schema, FILES * copies)
+            part.write.mode("append").parquet(path)
+    return S.event_stream(spark, path, ev.schema, FILES)
 
 
 @query("case_state_stream", FOLD_SQL.replace(

@@ -50,26 +50,29 @@ BORO = "CASE " + " ".join(f"WHEN contains(q, {q(k)}) THEN '{v}'" for k, v in X.B
 NEEDS = "list_filter([" + ", ".join(
     f"CASE WHEN {words('q', ws)} THEN '{cat}:{p}:{'+'.join(ts)}:{top}' END" for ws, cat, p, ts, top in X.NEED_RULES) + "], lambda n: n IS NOT NULL)"
 KINDS = "flatten([" + ", ".join(f"CASE WHEN {words('q', ws)} THEN [{', '.join(q(t) for t in ts)}] ELSE [] END" for ws, ts in X.LOOKUP_RULES) + "])"
-INTENT = ("planned", f"""
+def intent_sql(needs):
+    return ("planned", f"""
     SELECT *, CASE WHEN intent = 'simulate' THEN CASE WHEN {words('q', X.GAP_WORDS)} THEN 'resource_gap' ELSE 'cold_emergency' END END AS scenario,
-           CASE WHEN len(n0) = 0 THEN ['housing:1:shelter:5'] ELSE n0[1:3] END AS n FROM (
+           CASE WHEN len(n0) = 0 THEN ['housing:1:shelter:5'] ELSE {needs} END AS n FROM (
       SELECT *, CASE WHEN {words('q', X.SCENARIO_WORDS)} THEN 'simulate' WHEN {words('q', X.SITUATION_WORDS)} THEN 'needs_assessment' ELSE 'lookup' END AS intent,
              {BORO} AS b, {NEEDS} AS n0, {KINDS} AS k FROM (SELECT *, lower(text) AS q FROM asked))""")
 
 
-@query("intent_rules", ctes("requests", ("asked", ASKED.format(s="VARCHAR")), INTENT, body=f"""
+INTENT = intent_sql("n0")
+PLAN_SQL = f"""
     SELECT request_id, intent, scenario,
            CASE WHEN scenario = 'cold_emergency' THEN coalesce(b, 'BK') WHEN intent <> 'simulate' THEN b END AS borough,
            CASE WHEN scenario = 'cold_emergency' THEN coalesce(CAST({rx('q', X.PEOPLE_PATTERN)} AS INT), 200) END AS people,
            CASE WHEN scenario = 'cold_emergency' THEN coalesce(CAST({rx('q', X.TEMPERATURE_PATTERN)} AS INT), 15) END AS temperature,
            CASE WHEN intent = 'needs_assessment' THEN CAST({rx('q', X.SIZE_PATTERN)} AS INT) + 1 END AS household_size,
-           CASE WHEN intent = 'needs_assessment' THEN substring(text, 1, 80) END AS situation,
+           CASE WHEN intent = 'needs_assessment' THEN text END AS situation,
            CASE WHEN intent = 'needs_assessment' THEN array_to_string(list_transform(n, lambda x: concat(split_part(x, ':', 1), ':', split_part(x, ':', 2))), ',') END AS needs,
            CASE WHEN intent = 'needs_assessment' THEN array_to_string(list_transform(n, lambda x: concat(split_part(x, ':', 3), ':', split_part(x, ':', 4))), ',') END AS searches,
            CASE WHEN intent = 'lookup' THEN CASE WHEN len(k) = 0 THEN 'shelter,food_bank,hospital' ELSE array_to_string(k, ',') END END AS resource_types,
-           CASE WHEN intent = 'lookup' AND {words('q', X.ADA_WORDS)} THEN true END AS ada FROM planned"""))
-def intent_rules(spark, sf_dir):
-    df = X.intent_rules(asked(spark, sf_dir))
+           CASE WHEN intent = 'lookup' AND {words('q', X.ADA_WORDS)} THEN true END AS ada FROM planned"""
+
+
+def planned(df):
     flat = lambda e: F.expr(f"array_join({e}, ',')")
     return df.select(
         "request_id", "intent", "scenario", "borough", "people", "temperature", "household_size", "situation",
@@ -78,6 +81,17 @@ def intent_rules(spark, sf_dir):
         F.array_join("resource_types", ",").alias("resource_types"), "ada")
 
 
+@query("intent_rules", ctes("requests", ("asked", ASKED.format(s="VARCHAR")), INTENT, body=PLAN_SQL))
+def intent_rules(spark, sf_dir):
+    return planned(X.intent_rules(asked(spark, sf_dir)))
+
+
+@query("intent_rules_first_needs", ctes("requests", ("asked", ASKED.format(s="VARCHAR")), intent_sql("n0[1:3]"),
+                                        body=PLAN_SQL.replace("THEN text END AS situation", "THEN substring(text, 1, 80) END AS situation")))
+def intent_rules_first_needs(spark, sf_dir):
+    return planned(X.intent_rules(asked(spark, sf_dir), most_needs=3, situation_length=80))
+
+
 PLANS = """event_id AS reply_id, CASE event_id % 7
     WHEN 0 THEN concat('<think>maybe {"intent":"x"}</think> {"intent":"lookup","resource_types":["shelter","', event_type, '"],"filters":{"borough":"BK","ada_accessible":true},"limit":', CAST(event_id % 9 AS STRING), '} hope {that} helps')
     WHEN 1 THEN concat('```json\n{"intent":"simulate","scenario":"cold_emergency","params":{"people":', CAST(user_id AS STRING), '}}\n```')
@@ -284,9 +298,9 @@ def transcript_df(spark, sf_dir):
 BLOCKS = [("t", transcripts("VARCHAR", "events")),
           ("blocks", "SELECT event_id, unnest(string_split(text, 'CLAIM:')[2:]) AS b, generate_subscripts(string_split(text, 'CLAIM:')[2:], 1) - 1 AS i FROM t"),
           ("claims", r"""SELECT event_id, CAST(i AS INT) AS position,
-              substring(regexp_replace(regexp_replace(regexp_extract(b, '(?s)^(.*?)(VERDICT:|$)', 1), '^\s+|\s+$', '', 'g'), '^"+|"+$', '', 'g'), 1, 200) AS claim,
+              regexp_replace(regexp_replace(regexp_extract(b, '(?s)^(.*?)(VERDICT:|$)', 1), '^\s+|\s+$', '', 'g'), '^"+|"+$', '', 'g') AS claim,
               coalesce(nullif(upper(regexp_extract(b, '(?i)VERDICT:\s*(VERIFIED|UNVERIFIED)', 1)), ''), 'UNKNOWN') AS verdict,
-              substring(regexp_replace(regexp_extract(b, '(?s)EVIDENCE:\s*(.*?)(CLAIM:|OVERALL:|$)', 1), '^\s+|\s+$', '', 'g'), 1, 200) AS evidence FROM blocks""")]
+              regexp_replace(regexp_extract(b, '(?s)EVIDENCE:\s*(.*?)(CLAIM:|OVERALL:|$)', 1), '^\s+|\s+$', '', 'g') AS evidence FROM blocks""")]
 
 
 @query("parse_claims", ctes(*BLOCKS, body="SELECT * FROM claims"))
@@ -295,6 +309,12 @@ def parse_claims(spark, sf_dir):
     return df.select("event_id", F.posexplode("claims").alias("position", "c")).select("event_id", "position", "c.*")
 
 
+@query("parse_claims_cut", ctes(*BLOCKS, body="SELECT * REPLACE (substring(claim, 1, 200) AS claim, substring(evidence, 1, 200) AS evidence) FROM claims"))
+def parse_claims_cut(spark, sf_dir):
+    df = X.parse_claims(transcript_df(spark, sf_dir), length=200)
+    return df.select("event_id", F.posexplode("claims").alias("position", "c")).select("event_id", "position", "c.*")
+
+
 @query("claims_rollup", ctes(*BLOCKS, body=r"""
     , g AS (SELECT t.event_id, any_value(text) AS text, CAST(count(*) FILTER (verdict = 'VERIFIED') AS INT) AS verified_count,
             CAST(greatest(count(claim), 1) AS INT) AS total_count, count(*) FILTER (verdict = 'UNVERIFIED') AS un
@@ -395,8 +415,13 @@ def id_text_names(spark, sf_dir):
 
 
 @query("form_answers", ctes(CARDS, body=f"""
-    , f AS (SELECT card_id, coalesce({rx('text', X.CARD_BIRTH)}, '') AS dob, coalesce(upper({rx('text', X.CARD_SEX)}), '') AS sex FROM cards)
-    SELECT card_id, 'date of birth' AS label, dob AS value FROM f UNION ALL SELECT card_id, 'sex', sex FROM f"""))
+    , n AS (SELECT card_id, coalesce({name_sql(LAST_SQL, X.CARD_LAST_TIGHT)}, '') AS last_name,
+                   coalesce({name_sql(X.CARD_FIRST, X.CARD_FIRST_TIGHT)}, '') AS first0,
+                   coalesce({rx('text', X.CARD_BIRTH)}, '') AS dob, coalesce(upper({rx('text', X.CARD_SEX)}), '') AS sex,
+                   coalesce(upper(trim(coalesce({rx('text', X.CARD_ADDRESS)}, {rx('text', X.CARD_ADDRESS_LINE)}))), '') AS address,
+                   coalesce(CASE WHEN {PLACED} THEN {token(rx('text', X.CARD_CITY, 1))} END, '') AS city FROM cards),
+    f AS (SELECT *, CASE WHEN first0 <> last_name THEN first0 ELSE '' END AS first_name FROM n)
+    """ + " UNION ALL ".join(f"SELECT card_id, '{label}' AS label, {c} AS value FROM f" for label, c in (
+        ("last name", "last_name"), ("first name", "first_name"), ("date of birth", "dob"), ("sex", "sex"), ("address", "address"), ("city", "city")))))
 def form_answers(spark, sf_dir):
-    rows = X.form_answers(X.id_text_fields(cards(spark, sf_dir)), "card_id")
-    return rows.where("label IN ('date of birth', 'sex')")
+    return X.form_answers(X.id_text_fields(cards(spark, sf_dir)), "card_id")

@@ -75,7 +75,7 @@ SKIP = ("(lower(trim(name)) IN ('', 'ramp', 'off ramp', 'on ramp', 'link') OR co
 VERB = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.STEP_VERBS.items()) + " ELSE 'Continue on' END"
 
 
-@query("merge_steps", ctes("walk_steps", body=f"""
+MERGED = f"""
     , s AS (SELECT *, {SKIP} AS skip FROM walk_steps WHERE distance_m >= 50 OR type = 'arrive'),
     g AS (SELECT *, count(*) FILTER (NOT skip) OVER (PARTITION BY route_id ORDER BY step_no, name, type, distance_m, duration_s ROWS UNBOUNDED PRECEDING) AS grp FROM s),
     m AS (SELECT route_id, grp, max(concat({VERB}, ' ', trim(name))) FILTER (NOT skip) AS instruction,
@@ -83,14 +83,27 @@ VERB = "CASE type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.STEP_VERBS
                  {r_even(f"sum(CASE WHEN skip THEN {r_even('duration_s / CAST(60 AS DOUBLE)', 1)} ELSE {r_even('distance_m / CAST(1609.34 AS DOUBLE) * CAST(20 AS DOUBLE)')} END)", 6)} AS duration_min
           FROM g WHERE grp > 0 GROUP BY 1, 2),
     r AS (SELECT *, count(*) OVER (PARTITION BY route_id) AS n,
-                 row_number() OVER (PARTITION BY route_id ORDER BY distance_ft DESC, grp) AS far FROM m)
-    SELECT route_id, CAST(CASE WHEN n > 8 THEN row_number() OVER (PARTITION BY route_id ORDER BY duration_min, far)
-                          ELSE grp END - 1 AS INT) AS position, instruction, distance_ft, duration_min
-    FROM r WHERE n <= 8 OR far <= 8"""))
-def merge_steps(spark, sf_dir):
+                 row_number() OVER (PARTITION BY route_id ORDER BY distance_ft DESC, grp) AS far FROM m)"""
+
+
+def merged_steps(spark, sf_dir, most=None):
     steps = Views(spark, sf_dir).walk_steps
     one = F.struct("step_no", "name", "type", "distance_m", "duration_s")
     routes = steps.groupBy("route_id").agg(F.array_sort(F.collect_list(one)).alias("steps"))
-    out = T.merge_steps(routes).select("route_id", F.posexplode("merged").alias("position", "m"))
+    out = T.merge_steps(routes, most=most).select("route_id", F.posexplode("merged").alias("position", "m"))
     return out.select("route_id", "position", "m.instruction", "m.distance_ft",
                       round_even("m.duration_min", 6).alias("duration_min"))
+
+
+@query("merge_steps", ctes("walk_steps", body=MERGED + """
+    SELECT route_id, CAST(grp - 1 AS INT) AS position, instruction, distance_ft, duration_min FROM r"""))
+def merge_steps(spark, sf_dir):
+    return merged_steps(spark, sf_dir)
+
+
+@query("merge_steps_longest", ctes("walk_steps", body=MERGED + """
+    SELECT route_id, CAST(CASE WHEN n > 8 THEN row_number() OVER (PARTITION BY route_id ORDER BY duration_min, far)
+                          ELSE grp END - 1 AS INT) AS position, instruction, distance_ft, duration_min
+    FROM r WHERE n <= 8 OR far <= 8"""))
+def merge_steps_longest(spark, sf_dir):
+    return merged_steps(spark, sf_dir, T.MOST_STEPS)

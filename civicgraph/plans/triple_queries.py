@@ -186,7 +186,7 @@ RULED = ("ruled", """
            coalesce(e.s, n.s, y.s, 'low') AS severity, coalesce(e.a, n.a, y.a, 'all') AS affects
     FROM complaints c LEFT JOIN impact e ON e.t = complaint_type AND e.d = descriptor
     LEFT JOIN impact n ON n.t = complaint_type AND n.d IS NULL LEFT JOIN typed y ON y.t = complaint_type""")
-SUBJ = "concat('addr_', substring(replace(coalesce(incident_address, 'unknown'), ' ', '_'), 1, 50), '_', coalesce(borough, ''))"
+SUBJ = "concat('addr_', replace(coalesce(incident_address, 'unknown'), ' ', '_'), '_', coalesce(borough, ''))"
 
 
 def sev(f):
@@ -212,6 +212,12 @@ def complaint_fact_triples(spark, sf_dir):
     return T.complaint_fact_triples(Views(spark, sf_dir).complaints)
 
 
+@query("complaint_fact_triples_cut", ctes(*FACT_PARTS[:-1], ("f", FACTS.replace(
+    "replace(coalesce(incident_address, 'unknown'), ' ', '_')", "substring(replace(coalesce(incident_address, 'unknown'), ' ', '_'), 1, 8)")), body="SELECT * FROM f"))
+def complaint_fact_triples_cut(spark, sf_dir):
+    return T.complaint_fact_triples(Views(spark, sf_dir).complaints, address_length=8)
+
+
 ISSUES = ("issues_", """
     SELECT subject, count(*) FILTER (predicate = 'HAS_ISSUE') AS issue_count,
            string_agg(DISTINCT object_val, ', ' ORDER BY object_val) FILTER (predicate = 'HAS_ISSUE') AS issues,

@@ -146,14 +146,27 @@ def explain_vector(spark, sf_dir):
 HASH = "CAST(('0x' || substring(md5({c}), 1, 15)) AS BIGINT)"
 
 
-@query("kge_dataset", ctes("mart", ("t", RESOURCE), body=f"""
-    , k AS (SELECT substring(subject, 1, 100) AS head, predicate AS relation, substring(object_val, 1, 100) AS tail FROM t),
+def kge_sql(cut):
+    return f"""
+    , k AS (SELECT {cut("subject")} AS head, predicate AS relation, {cut("object_val")} AS tail FROM t),
     n AS (SELECT DISTINCT head AS label FROM k UNION SELECT DISTINCT tail FROM k),
     ent AS (SELECT label, row_number() OVER (ORDER BY {HASH.format(c='label')}, label) - 1 AS id FROM n),
     rel AS (SELECT relation, row_number() OVER (ORDER BY {HASH.format(c='relation')}, relation) - 1 AS id FROM (SELECT DISTINCT relation FROM k)),
     d AS (SELECT *, {HASH.format(c="concat_ws('|', head, relation, tail, '42')")} % 100 AS draw FROM k)
     SELECT h.id AS head_id, rel.id AS relation_id, o.id AS tail_id,
            CASE WHEN draw < 90 THEN 'train' WHEN draw < 95 THEN 'valid' ELSE 'test' END AS split
-    FROM d JOIN ent h ON h.label = head JOIN ent o ON o.label = tail JOIN rel USING (relation)"""))
+    FROM d JOIN ent h ON h.label = head JOIN ent o ON o.label = tail JOIN rel USING (relation)"""
+
+
+def kge_triples(spark, sf_dir):
+    return materialise(T.resource_triples(Views(spark, sf_dir).mart), "kge-triples")
+
+
+@query("kge_dataset", ctes("mart", ("t", RESOURCE), body=kge_sql("{}".format)))
 def kge_dataset(spark, sf_dir):
-    return V.kge_dataset(materialise(T.resource_triples(Views(spark, sf_dir).mart), "kge-triples"))
+    return V.kge_dataset(kge_triples(spark, sf_dir))
+
+
+@query("kge_dataset_short_names", ctes("mart", ("t", RESOURCE), body=kge_sql("substring({}, 1, 10)".format)))
+def kge_dataset_short_names(spark, sf_dir):
+    return V.kge_dataset(kge_triples(spark, sf_dir), name_length=10)

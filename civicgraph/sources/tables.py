@@ -17,9 +17,10 @@ class Dataset:
 
     path: str
     format: str = "parquet"
-    limit: int = None          # the source's own row limit
+    limit: int = None          # the source's own row limit, of the first rows by ``order``
     where: str = None
     select: tuple = None
+    order: tuple = ()
 
 
 def land(spark: SparkSession, dataset: Dataset, out: str) -> DataFrame:
@@ -33,7 +34,9 @@ def land(spark: SparkSession, dataset: Dataset, out: str) -> DataFrame:
     if dataset.select:
         df = df.select(*dataset.select)
     if dataset.limit:
-        df = df.limit(dataset.limit)
+        if not dataset.order:
+            raise ValueError("a row limit needs an order")
+        df = df.orderBy(*dataset.order).limit(dataset.limit)
     df.write.mode("ignore").parquet(out)
     return spark.read.parquet(out)
 
@@ -57,20 +60,22 @@ def save(df: DataFrame, path: str, partition_by=()) -> int:
 
 _STRINGS = lambda *names: [T.StructField(n, T.StringType()) for n in names]
 _FAILED = T.ArrayType(T.StructType(_STRINGS("name", "reason", "timestamp")))
+_PLACE = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()),
+                       T.StructField("display_name", T.StringType())])
 CASE_SCHEMA = T.StructType(_STRINGS("case_id", "name", "created_at", "last_visit", "admin_notes") + [
-    T.StructField("current_location", T.StructType([
-        T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()),
-        T.StructField("display_name", T.StringType())])),
+    T.StructField("current_location", _PLACE), T.StructField("notes", T.StringType()),
     T.StructField("needs", T.ArrayType(T.StructType(
         _STRINGS("category", "status", "identified_at", "resolved_at", "chosen_resource",
                  "chosen_address", "chosen_type", "chosen_at", "notes")
         + [T.StructField("priority", T.IntegerType()), T.StructField("failed_resources", _FAILED)]))),
-    T.StructField("visits", T.ArrayType(T.StructType(_STRINGS("timestamp", "query", "answer_summary")))),
+    T.StructField("visits", T.ArrayType(T.StructType(_STRINGS("timestamp", "query", "answer_summary") + [
+        T.StructField("resources_shown", T.ArrayType(T.StructType(_STRINGS("name", "type", "address", "borough")))),
+        T.StructField("location", _PLACE)]))),
     T.StructField("resources_visited", T.ArrayType(T.StructType(_STRINGS("name", "visited_at", "feedback")))),
     T.StructField("feedback", T.ArrayType(T.StructType(_STRINGS("resource", "feedback", "timestamp")))),
     T.StructField("destination_intents", T.ArrayType(T.StructType(
         _STRINGS("resource_name", "resource_type", "address", "borough", "category", "state",
-                 "intent_at", "updated_at")))),
+                 "intent_at", "updated_at", "thread_id", "thread_url") + [T.StructField("acknowledged", T.BooleanType())]))),
     T.StructField("tickets", T.ArrayType(T.StructType(_STRINGS("type", "raised_at", "status", "reason")))),
     T.StructField("emergency_contact", T.MapType(T.StringType(), T.StringType())),
 ])

@@ -159,22 +159,37 @@ def test_walks_on_a_graph_with_a_hub(spark):
     assert [(r.node, r.dist) for r in G.sssp_topk(e, start, targets, 2).collect()] == [(101, 2.0), (102, 3.0)]
 
 
-def test_full_id_range_fails(spark):
-    df = spark.createDataFrame([(i, "x", 40.7, -73.9) for i in range(5)], "row_key long, resource_type string, latitude double, longitude double")
-    with pytest.raises(Exception, match="id range is full"):
-        G.graph_nodes(df, gap=3)[0].collect()
+def test_node_ids_stay_distinct_beyond_100_000_of_each_kind(spark):
+    n = 120_000
+    df = spark.range(2 * n).select(
+        F.col("id").alias("row_key"), F.when(F.col("id") % 2 == 0, "shelter").otherwise("transit_station").alias("resource_type"),
+        (F.lit(-60.0) + F.floor(F.col("id") / 2 / 400) * 0.02).alias("latitude"),
+        (F.lit(-170.0) + (F.floor(F.col("id") / 2) % 400) * 0.02).alias("longitude"))
+    resources, stations = G.graph_nodes(df)
+    tracts = G.grid_tracts(resources, stations)
+    ids = resources.select("node_id").union(stations.select("node_id")).union(tracts.select("node_id"))
+    low, high, distinct = ids.agg(F.min("node_id"), F.max("node_id"), F.countDistinct("node_id")).first()
+    assert (low, distinct) == (0, 3 * n) and high == 3 * n - 1
+    far = G.graph_nodes(df, station_offset=10 ** 9)[1].agg(F.min("node_id")).first()[0]
+    assert far == 10 ** 9
+    path = resources.where("node_id % 30000 = 0").select(F.col("node_id").alias("src"), (F.col("node_id") + 30000).alias("dst"))
+    levels = G.bfs_levels(path, spark.createDataFrame([(0,)], "node long"))
+    assert levels.agg(F.max("level")).first()[0] == 4
 
 
 # ---- Vectors ----
 
 
-def test_similar_in_passes(spark):
+def test_similar_in_blocks(spark):
     rnd = random.Random(8)
     rows = [(i, [rnd.random() for _ in range(6)], "ab"[i % 2]) for i in range(60)] + [(60, [0.0] * 6, "a"), (61, [1.0] * 6, "a"), (62, [2.0] * 6, "a")]
     df = spark.createDataFrame(rows, "id long, vec array<float>, kind string").repartition(3)
     key = lambda d: sorted((r.query_id, r["rank"], r.id, r.similarity) for r in d.collect())
     whole = key(V.similar_topk(df, df, 4, group="kind"))
-    assert whole == key(V.similar_topk(df, df, 4, group="kind", per_pass=10))
+    assert whole == key(V.similar_topk(df, df, 4, group="kind", block_rows=7))
+    assert key(V.similar_topk(df, df, 4)) == key(V.similar_topk(df, df, 4, block_rows=9))
+    plan = V.similar_topk(df, df, 4)._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
     assert (61, 1, 62, 1.0) in whole
 
 
@@ -317,7 +332,7 @@ def test_case_docs_one_per_file(spark, tmp_path):
 def test_landing_is_not_repeated(spark, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     spark.range(10).write.parquet(src)
-    d = S.Dataset(src, limit=4, where="id >= 3")
+    d = S.Dataset(src, limit=4, where="id >= 3", order=("id",))
     assert S.land(spark, d, out).count() == 4
     spark.range(100, 110).write.mode("overwrite").parquet(src)
     assert S.land(spark, d, out).agg(F.max("id")).first()[0] < 100
