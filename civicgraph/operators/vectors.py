@@ -98,12 +98,16 @@ def similar_topk(vectors: DataFrame, queries: DataFrame, k=5, group=None, id_col
     key = F.col(group) if group else F.lit(0)
     v = vectors.select(F.col(id_col).alias("_id"), F.col(vec).alias("_vec"), key.alias("_g"))
     q = queries.select(F.col(id_col).alias("_id"), F.col(vec).alias("_vec"), key.alias("_g"))
-    blocks = lambda df, out: df.groupBy("_g").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(out))
-    sizes = blocks(v, "_nv").join(blocks(q, "_nq"), "_g")
+    n_blocks = lambda out: F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias(out)
+    if group:
+        sizes = v.groupBy("_g").agg(n_blocks("_nv")).join(q.groupBy("_g").agg(n_blocks("_nq")), "_g")
+        sized = lambda df: df.join(sizes, "_g")
+    else:
+        sized = lambda df: df.withColumns({"_nv": v.agg(n_blocks("n")).scalar(), "_nq": q.agg(n_blocks("n")).scalar()})
     own = lambda n: F.pmod(F.xxhash64("_id"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = q.join(sizes, "_g").select("_g", own("_nq").alias("_i"), each("_nv").alias("_j"), F.lit(0).alias("_side"), "_id", "_vec")
-    right = v.join(sizes, "_g").select("_g", each("_nq").alias("_i"), own("_nv").alias("_j"), F.lit(1).alias("_side"), "_id", "_vec")
+    each = lambda n: F.explode(F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)))
+    left = sized(q).select("_g", own("_nq").alias("_i"), each("_nv").alias("_j"), F.lit(0).alias("_side"), "_id", "_vec")
+    right = sized(v).select("_g", each("_nq").alias("_i"), own("_nv").alias("_j"), F.lit(1).alias("_side"), "_id", "_vec")
     cell = ["_g", "_i", "_j"]
     dealt = left.unionByName(right).repartition(*cell).sortWithinPartitions(*cell)
     id_type = v.schema["_id"].dataType.simpleString()

@@ -68,10 +68,10 @@ def test_cleaner_accepts_missing_columns(spark):
     assert [r.resource_id for r in out.collect()] == ["shelter_0"]
 
 
-def test_geometry_only_when_no_numbers(spark):
+def test_geometry_fills_in_row_by_row(spark):
     df = spark.createDataFrame([(0, "40.7", "-73.9", "POINT (-73.5 40.5)"), (1, None, None, "POINT (-73.5 40.5)")],
                                "row_key long, latitude string, longitude string, location string")
-    assert B.clean_dropin(df).count() == 1
+    assert sorted((r.latitude, r.longitude) for r in B.clean_dropin(df).collect()) == [(40.5, -73.5), (40.7, -73.9)]
     assert B.clean_dropin(df.withColumn("latitude", F.lit(None).cast("string"))).count() == 2
 
 
