@@ -7,6 +7,7 @@ links, and the container it stands in.
   * Lines inside elements that are never article text (navigation, page header
     and footer, asides, forms, scripts, styles, ...) or whose class, id or role
     names such a thing (advert, sidebar, comments, notice, ...) are left out.
+    A header inside an article belongs to it.
   * Where the page marks its article (or main) element, the lines in it count.
   * The text-to-tag ratios of the remaining lines are smoothed by a Gaussian
     along the page. Lines over the threshold, one standard deviation of the
@@ -43,11 +44,14 @@ _ENDS_P = _BLOCK - {"html", "body"}
 #: Parts of class, id and role values that name what is not the article.
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments "
-    "consent cookie cookies disqus dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter "
+    "commentlist consent cookie cookies disqus dropdown footer gdpr header masthead menu modal nav navbar navigation newsletter "
     "notice notices notification pagination pager popup promo promoted promotion recommended related replies respond "
     "share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget "
     "alert contentinfo complementary search dialog".split())
-_PART = re.compile(r"[a-z]+")
+#: Those that take an article element out, too: comments and teasers are often articles of their own.
+_ARTICLE_NAMES = frozenset("ad ads advert comment comments promo recommended related reply sponsored teaser".split())
+#: Name parts that say what an element has or lacks, not what it is.
+_ABOUT = frozenset("has with without no is can".split())
 
 
 class _Lines(HTMLParser):
@@ -86,8 +90,8 @@ class _Lines(HTMLParser):
             self.links += 1
         out, container, article = self._state()
         if tag not in ("html", "body"):
-            named = not out and attrs and tag not in ("article", "main") and self._names(attrs)
-            out = out or tag in _NEVER or named or (tag == "header" and not article)
+            names = _ARTICLE_NAMES if tag in ("article", "main") else _NAMES - {"header"} if article else _NAMES
+            out = out or tag in _NEVER or (tag == "header" and not article) or (attrs and self._names(attrs, names))
         if tag in _CONTAINER:
             self.containers += 1
             container = self.containers
@@ -99,10 +103,14 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     @staticmethod
-    def _names(attrs):
+    def _names(attrs, names):
+        """Whether a class, id or role is one of the names, or begins or ends with one."""
         for key, value in attrs:
-            if key in ("class", "id", "role") and value and not _NAMES.isdisjoint(_PART.findall(value.lower())):
-                return True
+            if key in ("class", "id", "role") and value:
+                for word in re.sub("([a-z])([A-Z])", r"\1-\2", value).lower().split():
+                    parts = [part for part in re.split("[^a-z]+", word) if part]
+                    if parts and parts[0] not in _ABOUT and (parts[0] in names or parts[-1] in names):
+                        return True
             if key == "hidden" or key == "aria-hidden" and value == "true" or \
                     key == "style" and value and re.search(r"display\s*:\s*none", value.lower()):
                 return True

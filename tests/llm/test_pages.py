@@ -87,6 +87,15 @@ def test_article_is_taken_whole():
     assert htmltext.extract(PAGE % f"<main>{inner}</main>") == want
 
 
+def test_names_say_what_an_element_is():
+    kept = ("<div class='post has-sidebar with-comments'><header class='entry-header'><h1>Head</h1></header>"
+            "<p>Body of the article, some words.</p><p class='shareholder'>More of it here.</p></div>")
+    gone = ("<article class='comment'><p>A comment as an article.</p></article><div id='respondForm'><p>Reply</p></div>"
+            "<div class='cookieBanner'>Cookies</div><p class='ad-slot'>Ad</p><div role='complementary'>Side</div><p hidden>No</p>")
+    assert htmltext.extract(f"<body class='no-menu'><article>{kept}</article>{gone}</body>") == \
+        "Head\nBody of the article, some words.\nMore of it here."
+
+
 def test_article_without_a_mark_is_found_by_its_ratio():
     body = "".join(f"<p>{'Sentence of the story that carries on. ' * 4}{k}</p>" for k in range(5))
     links = "<div><ul>" + "".join(f"<li><a href='{k}'>go {k}</a></li>" for k in range(12)) + "</ul></div>"
