@@ -30,7 +30,7 @@ from .common import id_text, ids_of
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Keys for each displacement of the perfect hash, on average.
 LOAD = 2
-MEMO = 120_000
+MEMO = 300_000
 
 
 def read_ranks(path):
