@@ -46,6 +46,26 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+class Scratch:
+    """Tables that are needed only until a result has been written down."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = work_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def drop(self) -> None:
+        """Delete the tables; nothing that is still to run may read them."""
+        for path in self.paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.paths = []
+
+
 def held_out(col="doc_id"):
     """True where crc32 of the id's decimal text leaves no remainder by five."""
     return F.crc32(F.col(col).cast("string")) % 5 == 0

@@ -9,10 +9,10 @@ How it runs
      that order) into an inverted index. Any two sets that link share an entry.
      Entries carry the set's size and what is left of the set from that
      position on, and lists of one class are thrown away at once.
-  3. Answer-level skipping. A few rounds give each class one promising partner
-     from its lists, check that pair exactly, and merge linked classes. From
-     then on a class takes over the answers of the group it belongs to: two
-     classes already known to be connected are never compared.
+  3. Answer-level skipping. While lists are crowded, a round gives each group of
+     classes (at first each class) promising partners from its lists, checks
+     those pairs exactly, and merges what links. From then on a class takes over
+     the answers of its group: classes known to be connected are not compared.
   4. Index-level skipping. What is left is compared across groups. A list is
      cut into blocks ordered by size; a block is skipped as a whole when its
      sizes or its best remaining position cannot reach the overlap needed.
@@ -27,13 +27,14 @@ ignored. Shingles are compared by 64-bit hashes, sets by 128 bits.
 """
 
 import itertools
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import U64, id_text, ids_of, materialise, mix, partitions, raw_texts
+from .common import U64, Scratch, id_text, ids_of, materialise, mix, partitions, raw_texts
 from .components import components
 
 WORDS = 5
@@ -42,12 +43,22 @@ PERCENT = 75
 #: Counters of the order table; its size does not depend on the data.
 BUCKET_BITS = 20
 CHUNK = 1 << 14
-ROUNDS = 2
+#: Rounds of step 3 go on while the lists hold more than CROSSING pairs across groups
+#: for each of their entries and a round leaves at most GAIN of them, at most ROUNDS
+#: times. Step 4 is complete in any case.
+CROSSING = 16
+GAIN = 0.8
+ROUNDS = 8
+#: Proposals of each group in a round, from as many orders.
+ORDERS = 2
 #: Entries of one block of a long list.
 BLOCK = 1024
 #: Entries above which a list's counter makes it split before the shuffle.
 HOT = 1 << 20
-MEMO = 300_000
+#: Longest list whose entries are compared where the lists are made.
+WIDE = 32
+MEMO = 120_000
+SLICE = 200
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                      0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=U64)
@@ -88,6 +99,14 @@ def _slot(s):
     return (s >> U64(64 - BUCKET_BITS)).astype(np.int64)
 
 
+def _rows(batches, *ids):
+    """(ids..., text bytes) row by row, taking few rows of a batch at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            yield from zip(*(ids_of(part, c) for c in ids), raw_texts(part))
+
+
 # ---- pass 1: sizes, digests, counters ------------------------------------
 
 SCAN = "doc_id long, n long, cls long, alt long, chunk int, slots binary, counts binary"
@@ -96,24 +115,29 @@ SCAN = "doc_id long, n long, cls long, alt long, chunk int, slots binary, counts
 def _scan(batches):
     import pyarrow as pa
     counts, memo = np.zeros(1 << BUCKET_BITS, np.int64), _WordHash()
-    for batch in batches:
-        rows, pending, held = [], [], 0
-        for raw in raw_texts(batch):
-            s = shingle_set(raw, memo)
-            rows.append((len(s), *_digest(s)) if len(s) else (0, None, None))
-            pending.append(_slot(s))
-            held += len(s)
-            if held > 1 << 19:
-                counts += np.bincount(np.concatenate(pending), minlength=1 << BUCKET_BITS)
-                pending, held = [], 0
-        if held:
-            counts += np.bincount(np.concatenate(pending), minlength=1 << BUCKET_BITS)
-        n, cls, alt = zip(*rows) if rows else ((), (), ())
+    names = [c.split()[0] for c in SCAN.split(", ")]
+
+    def block(rows):
+        doc_id, n, cls, alt = zip(*rows)
         none = [None] * len(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids_of(batch, "doc_id"), pa.int64()), pa.array(n, pa.int64()), pa.array(cls, pa.int64()),
-             pa.array(alt, pa.int64()), pa.array(none, pa.int32()), pa.array(none, pa.binary()),
-             pa.array(none, pa.binary())], names=[c.split()[0] for c in SCAN.split(", ")])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.int64()) for c in (doc_id, n, cls, alt)] +
+            [pa.array(none, pa.int32()), pa.array(none, pa.binary()), pa.array(none, pa.binary())], names=names)
+    rows, pending, held = [], [], 0
+    for doc_id, raw in _rows(batches, "doc_id"):
+        s = shingle_set(raw, memo)
+        rows.append((doc_id, len(s), *_digest(s)) if len(s) else (doc_id, 0, None, None))
+        pending.append(_slot(s))
+        held += len(s)
+        if held > 1 << 18:
+            counts += np.bincount(np.concatenate(pending), minlength=1 << BUCKET_BITS)
+            pending, held = [], 0
+        if len(rows) >= 10_000:
+            yield block(rows)
+            rows = []
+    if rows:
+        counts += np.bincount(np.concatenate(pending), minlength=1 << BUCKET_BITS) if pending else 0
+        yield block(rows)
     for k in range(0, len(counts), CHUNK):
         part = counts[k:k + CHUNK]
         slots = np.flatnonzero(part)
@@ -121,7 +145,7 @@ def _scan(batches):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([None], pa.int64())] * 4 +
                 [pa.array([k // CHUNK], pa.int32()), pa.array([slots.astype(np.uint16).tobytes()], pa.binary()),
-                 pa.array([part[slots].tobytes()], pa.binary())], names=[c.split()[0] for c in SCAN.split(", ")])
+                 pa.array([part[slots].tobytes()], pa.binary())], names=names)
 
 
 def _add_up(batches):
@@ -188,24 +212,23 @@ def _postings(order, parts):
                  pa.array([e[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary())], names=["part", "packed"])
 
         entries, held = [], 0
-        for batch in batches:
-            for raw in raw_texts(batch):
-                s = shingle_set(raw, memo)
-                if not len(s):
-                    continue
-                cls = _digest(s)[0]
-                if cls in seen:     # a copy met in this task adds nothing
-                    continue
-                if len(seen) < MEMO:
-                    seen.add(cls)
-                sig, rest = _prefix(s, table)
-                e = np.empty(len(sig), _ENTRY)
-                e["sig"], e["cls"], e["size"], e["rest"] = sig, cls, len(s), rest
-                entries.append(e)
-                held += len(e)
-                if held > 1 << 19:
-                    yield flush(entries)
-                    entries, held = [], 0
+        for (raw,) in _rows(batches):
+            s = shingle_set(raw, memo)
+            if not len(s):
+                continue
+            cls = _digest(s)[0]
+            if cls in seen:             # a copy met in this task adds nothing
+                continue
+            if len(seen) < MEMO:
+                seen.add(cls)
+            sig, rest = _prefix(s, table)
+            e = np.empty(len(sig), _ENTRY)
+            e["sig"], e["cls"], e["size"], e["rest"] = sig, cls, len(s), rest
+            entries.append(e)
+            held += len(e)
+            if held > 1 << 18:
+                yield flush(entries)
+                entries, held = [], 0
         if held:
             yield flush(entries)
     return run
@@ -214,6 +237,23 @@ def _postings(order, parts):
 LISTS = "sig long, cls long, size int, rest int"
 
 
+def _has_partner(e):
+    """Which entries have another one in their list that they can link with.
+
+    Compares every entry with the next, the one after it, and so on, in all lists
+    at once; entries of lists longer than ``WIDE`` are all kept for later.
+    """
+    sig, size, rest = e["sig"], e["size"].astype(np.int64), e["rest"].astype(np.int64)
+    first = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+    length = np.diff(np.r_[first, len(e)])
+    found = np.repeat(length > WIDE, length)
+    for d in range(1, min(WIDE, int(length.max()))):
+        fit = (sig[d:] == sig[:-d]) & _fits(size[:-d], rest[:-d], size[d:], rest[d:])
+        found[:-d] |= fit
+        found[d:] |= fit
+    return found
+
+
 def _shared(order):
     """Keeps the entries of shingles that more than one class has."""
     def run(batches):
@@ -228,9 +268,7 @@ def _shared(order):
         e = e[np.lexsort((e["cls"], e["sig"]))]
         new = np.r_[True, (e["sig"][1:] != e["sig"][:-1]) | (e["cls"][1:] != e["cls"][:-1])]
         e = e[new]
-        first = np.r_[True, e["sig"][1:] != e["sig"][:-1]]
-        alone = first & np.r_[first[1:], True]
-        e = e[~alone | (table[_slot(e["sig"])] > HOT)]
+        e = e[_has_partner(e) | (table[_slot(e["sig"])] > HOT)]
         for k in range(0, len(e), 100_000):
             c = e[k:k + 100_000]
             yield pa.RecordBatch.from_arrays(
@@ -250,18 +288,20 @@ def _fits(size_a, rest_a, size_b, rest_b):
 
 
 def _promising(lists: DataFrame, turn: int) -> DataFrame:
-    """(a, b): for each class, the pivot it meets most often outside its group.
+    """(a, b): for each group, the outside pivot that one of its classes meets most often.
 
-    A list's pivot is its least class in an order that changes every turn.
+    A list's pivot is its least class in an order that changes every turn, so a
+    crowded list proposes one pair per group and not all its pairs.
     """
     rank = F.xxhash64("cls", F.lit(turn))
     pivot = lists.groupBy("sig").agg(F.min(F.struct(rank.alias("r"), "cls", "comp", "size", "rest")).alias("p"))
     met = lists.join(pivot, "sig").where("comp <> p.comp").where(
         f"100 * least(size, p.size) >= {PERCENT} * greatest(size, p.size)"
         f" and {100 + PERCENT} * least(rest, p.rest) >= {PERCENT} * (size + p.size)")
-    often = met.groupBy("cls", F.col("p.cls").alias("b"), F.col("p.r").alias("r")).agg(F.count("*").alias("times"))
-    best = often.groupBy("cls").agg(F.max(F.struct("times", -F.col("r"), "b")).alias("x"))
-    return best.select(F.col("cls").alias("a"), F.col("x.b").alias("b"))
+    often = met.groupBy("comp", "cls", F.col("p.cls").alias("b"), F.col("p.r").alias("r")) \
+        .agg(F.count("*").alias("times"))
+    best = often.groupBy("comp").agg(F.max(F.struct("times", -F.col("r"), "cls", "b")).alias("x"))
+    return best.select(F.col("x.cls").alias("a"), F.col("x.b").alias("b"))
 
 
 def _cross(batches):
@@ -356,22 +396,31 @@ def _blocks(batches):
 
 
 def _sets(batches):
-    """The full set of each chosen document, in blocks of bytes."""
+    """The full set of each chosen document, in blocks of bytes; rows come by doc_id."""
     import pyarrow as pa
     memo = _WordHash()
-    for batch in batches:
-        out, keys, held = [], [], 0
-        for cls, raw in zip(ids_of(batch, "cls"), raw_texts(batch)):
-            out.append(shingle_set(raw, memo).tobytes())
-            keys.append(cls)
-            held += len(out[-1])
-            if held > 1 << 23:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())],
-                                                 names=["cls", "shingles"])
-                out, keys, held = [], [], 0
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())],
-                                             names=["cls", "shingles"])
+
+    def block(keys, out):
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())],
+                                          names=["cls", "shingles"])
+    out, keys, held, last, done = [], [], 0, None, set()
+    for doc_id, cls, raw in _rows(batches, "doc_id", "cls"):
+        if doc_id != last:
+            last, done = doc_id, set()
+        if cls in done:
+            continue
+        s = shingle_set(raw, memo)
+        if not len(s) or _digest(s)[0] != cls:
+            continue                        # another row under the same id
+        done.add(cls)
+        out.append(s.tobytes())
+        keys.append(cls)
+        held += len(out[-1])
+        if held > 1 << 22:
+            yield block(keys, out)
+            out, keys, held = [], [], 0
+    if out:
+        yield block(keys, out)
 
 
 def _verify(batches):
@@ -388,17 +437,26 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([cols[0].take(at), cols[1].take(at)], names=["a", "b"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose full sets link. The first join moves a set per pair, not two."""
+def _links(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs whose full sets link. Written first, so that few pairs need no shuffle of the sets."""
+    pairs = scratch.write(pairs, "op1-pairs")
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right") \
         .mapInArrow(_verify, "a long, b long")
 
 
-def _relabel(spark, groups, links):
+def _crossing(lists: DataFrame) -> float:
+    """Pairs across groups in all lists, for each entry."""
+    alike = lists.groupBy("sig", "comp").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    each = alike.groupBy("sig").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    total = each.agg(F.sum((F.col("all") * F.col("all") - F.col("inside")) / 2).alias("x"), F.sum("all").alias("n")).first()
+    return (total.x or 0) / (total.n or 1)
+
+
+def _relabel(groups, links, scratch):
     """Group labels after more links; a class without a label is its own group."""
-    found = materialise(links, "op1-links")
+    found = scratch.write(links, "op1-links")
     if groups is not None:
         g = groups.select(F.col("node").alias("k"), F.col("comp").alias("c"))
         ends = found.join(g.toDF("a", "ca"), "a", "left").join(g.toDF("b", "cb"), "b", "left")
@@ -419,32 +477,39 @@ def ngram_components(docs: DataFrame, id_col="doc_id", text_col="text") -> DataF
     included; class_id is equal for equal shingle sets and null for empty ones.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts, scratch = partitions(spark), Scratch(spark)
     texts = id_text(docs, id_col, text_col)
     scan = materialise(texts.mapInArrow(_scan, SCAN), "op1-scan")
     order = spark.sparkContext.broadcast(_order_table(scan))
     rows = scan.where("chunk is null").select("doc_id", "n", "cls")
 
     packed = texts.select("text").mapInArrow(_postings(order, parts), "part int, packed binary")
-    lists = materialise(packed.repartition(parts, "part").mapInArrow(_shared(order), LISTS), "op1-lists")
+    lists = scratch.write(packed.repartition(parts, "part").mapInArrow(_shared(order), LISTS), "op1-lists")
 
     # one document stands for each class that shares an entry
     chosen = rows.join(lists.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    stand_in = texts.join(chosen, "doc_id").select("cls", "text").mapInArrow(_sets, "cls long, shingles binary")
-    sets = materialise(stand_in, "op1-sets").dropDuplicates(["cls"])
+    stand_in = texts.join(chosen, "doc_id").select("doc_id", "cls", "text")
+    sets = scratch.write(stand_in.mapInArrow(_sets, "cls long, shingles binary"), "op1-sets")
 
-    groups = None
+    groups, before = None, float("inf")
     for turn in range(ROUNDS):
         grouped = _with_groups(lists, groups)
-        groups = _relabel(spark, groups, _links(_promising(grouped, turn), sets))
+        crossing = _crossing(grouped)
+        if crossing <= CROSSING or crossing > GAIN * before:
+            break
+        before = crossing
+        proposals = [_promising(grouped, turn * ORDERS + k) for k in range(ORDERS)]
+        proposed = reduce(DataFrame.union, proposals).distinct()
+        groups = _relabel(groups, _links(proposed, sets, scratch), scratch)
     mixed = _with_groups(lists, groups).select("sig", "cls", "comp", "size", "rest")
     several = mixed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     several = mixed.join(several.select("sig"), "sig")
-    found = materialise(several.repartition(parts, "sig").sortWithinPartitions("sig", "size")
+    found = scratch.write(several.repartition(parts, "sig").sortWithinPartitions("sig", "size")
                         .mapInArrow(_cross, "a long, b long, left binary, right binary"), "op1-cross")
     dealt = found.where("a is null").select("left", "right").repartition(parts, F.crc32("left"), F.crc32("right"))
     pairs = found.where("a is not null").select("a", "b").union(dealt.mapInArrow(_blocks, "a long, b long")).distinct()
-    groups = _relabel(spark, groups, _links(pairs, sets))
+    groups = _relabel(groups, _links(pairs, sets, scratch), scratch)
+    scratch.drop()
 
     named = rows.join(groups.select(F.col("node").alias("cls"), "comp"), "cls", "left")
     named = named.select("doc_id", "n", "cls", F.coalesce("comp", "cls").alias("comp"))
@@ -464,10 +529,10 @@ def _with_groups(lists, groups):
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """``docs`` with one row of each component left: that of its smallest id.
 
-    Rows that repeat an id are told apart by nothing, so one of them stays.
-    Documents without words link with nothing and all stay.
+    An id names one document: of rows that repeat it one stays. Documents without
+    words link with nothing and all stay, and so do rows without an id.
     """
     comps = ngram_components(docs, id_col, text_col)
     best = comps.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(best, docs[id_col].cast("long") == F.col("_keep"), "left_semi")
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
