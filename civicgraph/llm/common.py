@@ -50,7 +50,7 @@ class Scratch:
     """Tables that are needed only until a result has been written down."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.tables = spark, [], []
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = work_path(self.spark, name)
@@ -58,12 +58,22 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.parquet(path)
 
+    def write_by(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """A table in buckets of ``key``: joins on it move only their other side."""
+        path, n = work_path(self.spark, name), partitions(self.spark)
+        self.paths.append(path)
+        self.tables.append(path.rsplit("/", 1)[1].replace("-", "_"))
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(self.tables[-1])
+        return self.spark.table(self.tables[-1])
+
     def drop(self) -> None:
         """Delete the tables; nothing that is still to run may read them."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         for path in self.paths:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        self.paths = []
+        self.paths, self.tables = [], []
 
 
 def held_out(col="doc_id"):

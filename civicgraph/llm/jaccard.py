@@ -9,10 +9,10 @@ How it runs
      that order) into an inverted index. Any two sets that link share an entry.
      Entries carry the set's size and what is left of the set from that
      position on, and lists of one class are thrown away at once.
-  3. Answer-level skipping. While lists are crowded, a round gives each group of
-     classes (at first each class) promising partners from its lists, checks
-     those pairs exactly, and merges what links. From then on a class takes over
-     the answers of its group: classes known to be connected are not compared.
+  3. Answer-level skipping. A round gives each group of classes (at first each
+     class) a promising partner from its lists, checks those pairs exactly, and
+     merges what links. From then on a class takes over the answers of its group:
+     classes known to be connected are not compared. Crowded lists get more rounds.
   4. Index-level skipping. What is left is compared across groups. A list is
      cut into blocks ordered by size; a block is skipped as a whole when its
      sizes or its best remaining position cannot reach the overlap needed.
@@ -27,7 +27,6 @@ ignored. Shingles are compared by 64-bit hashes, sets by 128 bits.
 """
 
 import itertools
-from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -46,11 +45,9 @@ CHUNK = 1 << 14
 #: Rounds of step 3 go on while the lists hold more than CROSSING pairs across groups
 #: for each of their entries and a round leaves at most GAIN of them, at most ROUNDS
 #: times. Step 4 is complete in any case.
-CROSSING = 16
+CROSSING = 64
 GAIN = 0.8
 ROUNDS = 8
-#: Proposals of each group in a round, from as many orders.
-ORDERS = 2
 #: Entries of one block of a long list.
 BLOCK = 1024
 #: Entries above which a list's counter makes it split before the shuffle.
@@ -287,21 +284,22 @@ def _fits(size_a, rest_a, size_b, rest_b):
             ((100 + PERCENT) * np.minimum(rest_a, rest_b) >= PERCENT * (size_a + size_b)))
 
 
-def _promising(lists: DataFrame, turn: int) -> DataFrame:
+def _promising(lists: DataFrame, turn: int, central: bool) -> DataFrame:
     """(a, b): for each group, the outside pivot that one of its classes meets most often.
 
-    A list's pivot is its least class in an order that changes every turn, so a
-    crowded list proposes one pair per group and not all its pairs.
+    A list's pivot is its least class in an order that changes every turn; a
+    central one comes from those with the most entries in all lists, texts close
+    to many others. A crowded list so proposes one pair per group and not all.
     """
-    rank = F.xxhash64("cls", F.lit(turn))
+    rank = F.struct(-F.floor(4 * F.log2("entries")) if central else F.lit(0), F.xxhash64("cls", F.lit(turn)))
     pivot = lists.groupBy("sig").agg(F.min(F.struct(rank.alias("r"), "cls", "comp", "size", "rest")).alias("p"))
     met = lists.join(pivot, "sig").where("comp <> p.comp").where(
         f"100 * least(size, p.size) >= {PERCENT} * greatest(size, p.size)"
         f" and {100 + PERCENT} * least(rest, p.rest) >= {PERCENT} * (size + p.size)")
     often = met.groupBy("comp", "cls", F.col("p.cls").alias("b"), F.col("p.r").alias("r")) \
         .agg(F.count("*").alias("times"))
-    best = often.groupBy("comp").agg(F.max(F.struct("times", -F.col("r"), "cls", "b")).alias("x"))
-    return best.select(F.col("x.cls").alias("a"), F.col("x.b").alias("b"))
+    best = often.groupBy("comp").agg(F.max(F.struct("times", "r", "cls", "b")).alias("x"))
+    return best.select(F.least("x.cls", "x.b").alias("a"), F.greatest("x.cls", "x.b").alias("b")).distinct()
 
 
 def _cross(batches):
@@ -485,23 +483,23 @@ def ngram_components(docs: DataFrame, id_col="doc_id", text_col="text") -> DataF
 
     packed = texts.select("text").mapInArrow(_postings(order, parts), "part int, packed binary")
     lists = scratch.write(packed.repartition(parts, "part").mapInArrow(_shared(order), LISTS), "op1-lists")
+    entries = lists.groupBy("cls").agg(F.count(F.lit(1)).alias("entries"))
+    lists = scratch.write(lists.join(entries, "cls"), "op1-ranked")
 
     # one document stands for each class that shares an entry
     chosen = rows.join(lists.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     stand_in = texts.join(chosen, "doc_id").select("doc_id", "cls", "text")
-    sets = scratch.write(stand_in.mapInArrow(_sets, "cls long, shingles binary"), "op1-sets")
+    sets = scratch.write_by(stand_in.mapInArrow(_sets, "cls long, shingles binary"), "op1-sets", "cls")
 
-    groups, before = None, float("inf")
+    mixed, groups, before = _with_groups(lists, None), None, float("inf")
     for turn in range(ROUNDS):
-        grouped = _with_groups(lists, groups)
-        crossing = _crossing(grouped)
+        proposed = _promising(mixed, turn, True).union(_promising(mixed, turn, False)).distinct()
+        groups = _relabel(groups, _links(proposed, sets, scratch), scratch)
+        mixed = scratch.write(_with_groups(lists, groups), "op1-mixed")
+        crossing = _crossing(mixed)
         if crossing <= CROSSING or crossing > GAIN * before:
             break
         before = crossing
-        proposals = [_promising(grouped, turn * ORDERS + k) for k in range(ORDERS)]
-        proposed = reduce(DataFrame.union, proposals).distinct()
-        groups = _relabel(groups, _links(proposed, sets, scratch), scratch)
-    mixed = _with_groups(lists, groups).select("sig", "cls", "comp", "size", "rest")
     several = mixed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
     several = mixed.join(several.select("sig"), "sig")
     found = scratch.write(several.repartition(parts, "sig").sortWithinPartitions("sig", "size")
@@ -523,7 +521,7 @@ def _with_groups(lists, groups):
     if groups is None:
         return lists.withColumn("comp", F.col("cls"))
     g = groups.select(F.col("node").alias("cls"), "comp")
-    return lists.join(g, "cls", "left").select("sig", "cls", "size", "rest", F.coalesce("comp", "cls").alias("comp"))
+    return lists.join(g, "cls", "left").select(*lists.columns, F.coalesce("comp", "cls").alias("comp"))
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
