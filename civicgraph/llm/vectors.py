@@ -144,7 +144,6 @@ def _count(k, tables, cosine):
 
         def one(same, node, m, side, units):
             x = np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
-            keys = _bucket_keys(x, k, tables)
             if same:                                # a block with itself
                 linked = x @ x.T >= cosine
                 np.fill_diagonal(linked, False)
@@ -157,15 +156,18 @@ def _count(k, tables, cosine):
                 linked |= linked.T
             if not len(i):
                 return None
-            return node, m, keys, i, j, _local_groups(linked)
+            some, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+            keys = _bucket_keys(x[some], k, tables)     # only of vectors that link here
+            return node, m, keys, i, j, at[:len(i)], at[len(i):], _local_groups(linked)
 
         def emit(found, bucket):
-            node, m, keys, i, j, group = found
+            node, m, keys, i, j, key_i, key_j, group = found
             links = np.zeros(len(node), np.int64)
-            for at in range(0, len(i), 1 << 16):
-                a, b = i[at:at + (1 << 16)], j[at:at + (1 << 16)]
-                first = np.argmax(keys[a] == keys[b], axis=1)
-                here = keys[a, first] == bucket
+            for at in range(0, len(i), 1 << 14):
+                some = slice(at, at + (1 << 14))
+                a, b = i[some], j[some]
+                first = np.argmax(keys[key_i[some]] == keys[key_j[some]], axis=1)
+                here = keys[key_i[some], first] == bucket
                 np.add.at(links, a[here], m[b[here]])
                 np.add.at(links, b[here], m[a[here]])
             low = node[group]
