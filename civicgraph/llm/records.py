@@ -35,7 +35,7 @@ from .common import id_text, ids_of, materialise, partitions, work_path
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 FILE_BYTES = 64 << 20
-MEMO = 120_000
+MEMO = 300_000
 MASK_DELTA = 0xA282EAD8
 NULL_ID = 0x80
 MAGIC = b"SEQX"
