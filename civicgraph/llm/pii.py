@@ -1,8 +1,8 @@
 """Personal data as format-preserving pseudonyms, by a keyed Feistel permutation.
 
 A pattern proposes a value and a validation accepts it: checksums of cards (Luhn)
-and bank accounts (mod 97), number plans of phones and social security numbers,
-octets of addresses, the calendar. The valid values of a format are numbered
+and bank accounts (mod 97), digit counts of phones, the number plan of social security
+numbers, octets of addresses, the calendar. The valid values of a format are numbered
 0..N-1; a keyed Feistel network on the next even number of bits, walked until it
 lands below N, permutes them, and the permuted number is written in the same
 format: same separators and letter case, checksum recomputed, and the same length
@@ -175,7 +175,7 @@ class Pseudonyms:
         return f"{area:03d}-{group + 1:02d}-{serial + 1:04d}"
 
     def phone(self, m):
-        """North American numbers keep to their plan; others keep their country code."""
+        """North American numbers stay in their plan or outside it; others keep their country code."""
         text = m.group()
         digits = "".join(filter(_is_digit, text))
         if text[0] == "+" and digits[0] != "1":
@@ -186,8 +186,10 @@ class Pseudonyms:
             new = digits[:keep] + str(self.permute("phone", 10 ** len(rest), int(rest))).zfill(len(rest))
             return _refill(text, new, _is_digit)
         local = digits[-10:]
-        if len(digits) not in (10, 11) or len(digits) == 11 and digits[0] != "1" or local[0] in "01" or local[3] in "01":
+        if len(digits) != (11 if text[0] == "+" else 10):
             return None
+        if local[0] in "01" or local[3] in "01":
+            return _refill(text, digits[:-10] + self._outside_plan(local), _is_digit)
         n, rest = 8 * 100 * 8 * 100 * 10_000, int(local[6:])
         x = ((int(local[0]) - 2) * 100 + int(local[1:3])) * 800 + (int(local[3]) - 2) * 100 + int(local[4:6])
         x, rest = divmod(self.permute("nanp", n, x * 10_000 + rest), 10_000)
@@ -195,6 +197,19 @@ class Pseudonyms:
         new = digits[:-10] + f"{area // 100 + 2}{area % 100:02d}{exchange // 100 + 2}{exchange % 100:02d}{rest:04d}"
         return _refill(text, new, _is_digit)
 
+    def _outside_plan(self, local):
+        """Ten digits whose area code or exchange starts with 0 or 1, permuted among themselves."""
+        first, n = 2 * 10 ** 9, 8 * 100 * 2 * 10 ** 6
+        x = int(local)
+        if x >= first:                      # only the exchange is outside
+            area, rest = divmod(x - first, 10 ** 7)
+            x = first + area * 2 * 10 ** 6 + rest
+        x = self.permute("outside nanp", first + n, x)
+        if x >= first:
+            area, rest = divmod(x - first, 2 * 10 ** 6)
+            x = first + area * 10 ** 7 + rest
+        return f"{x:010d}"
+
     def address(self, m):
         octets = [int(g) for g in m.group().split(".")]
         if max(octets) > 255:

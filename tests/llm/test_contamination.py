@@ -134,6 +134,30 @@ def test_neighbours_do_not_hide_values():
     assert counts == {"card": 2, "address": 1, "phone": 1} and "4405935324758010" not in text
 
 
+@pytest.mark.parametrize("value", ["+1 (017) 555-7713", "+1 (132) 555-1352", "(017) 555-7713", "132-555-1352", "+1 212 055 1352",
+                                   "212.155.1352", "+1 000-000-0000", "+1 9991999999"])
+def test_phones_outside_the_number_plan(value):
+    change = pii.Pseudonyms(b"k")
+    text, counts = change.replace(f"call {value}, {value}")
+    new = text[5:].split(", ")
+    assert counts == {"phone": 2} and new[0] == new[1] != value
+    assert re.sub(r"\d", "0", value) == re.sub(r"\d", "0", new[0])
+    local = "".join(re.findall(r"\d", new[0]))[-10:]
+    assert local[0] in "01" or local[3] in "01", "stays apart from the numbers of the plan"
+    own = "".join(re.findall(r"\d", value))[-10:]
+    assert change.replace(own[:3] + "-" + own[3:6] + "-" + own[6:])[0].replace("-", "") == local, "one map for every spelling"
+
+
+def test_numbers_outside_the_plan_are_permuted(monkeypatch):
+    change = pii.Pseudonyms(b"k")
+    seen = []
+    monkeypatch.setattr(change, "permute", lambda name, n, x: seen.append((n, x)) or x)
+    edges = ["0000000000", "1999999999", "2000000000", "2001999999", "2010000000", "9991999999"]
+    assert [change._outside_plan(x) for x in edges] == edges
+    assert [x for _, x in seen] == [0, 2 * 10 ** 9 - 1, 2 * 10 ** 9, 2 * 10 ** 9 + 1_999_999, 2 * 10 ** 9 + 2_000_000, 36 * 10 ** 8 - 1]
+    assert {n for n, _ in seen} == {36 * 10 ** 8}
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 365, 1000])
 def test_permutation(n):
     p = pii.Permutation(b"k", "t", n)
