@@ -21,6 +21,8 @@ out in a text are matched as the tokenizer file says.
 """
 
 import itertools
+import re
+import string
 import struct
 import zlib
 
@@ -39,8 +41,13 @@ MEMO = 300_000
 MASK_DELTA = 0xA282EAD8
 NULL_ID = 0x80
 MAGIC = b"SEQX"
-#: Marks that always form a token of their own after a letter.
+#: Marks that always form a token of their own after an ASCII letter. Others may
+#: turn into a letter and a mark in the normalizer, which such a mark then joins.
 TAIL = ".,!?;:%&*$#"
+LETTERS = frozenset(string.ascii_letters)
+#: White space to str.split but not to the tokenizer, and what is to both.
+CONTROLS = "\x1c\x1d\x1e\x1f"
+BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 def masked(crc):
@@ -89,6 +96,13 @@ def unpack(payload):
     return None if flag & NULL_ID else doc_id, ids
 
 
+def pieces(text):
+    """A text's pieces between what the tokenizer takes for white space."""
+    if any(c in text for c in CONTROLS):
+        return filter(None, BLANK.split(text))
+    return text.split()
+
+
 class Words(dict):
     """White-space delimited piece -> packed token ids, by the tokenizers library.
 
@@ -110,7 +124,7 @@ class Words(dict):
         found = self.old.pop(piece, None)
         if found is None:
             stem = piece.rstrip(TAIL)
-            if stem != piece and stem and stem[-1].isalpha():
+            if stem != piece and stem[-1:] in LETTERS:
                 found = self[stem] + self[piece[len(stem):]]
             else:
                 ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
@@ -122,7 +136,7 @@ class Words(dict):
         return found
 
     def encode(self, text):
-        return b"".join(map(self.__getitem__, text.split())) if text else b""
+        return b"".join(map(self.__getitem__, pieces(text))) if text else b""
 
 
 _WORDS = {}

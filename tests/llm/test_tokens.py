@@ -116,3 +116,20 @@ def test_pieces_equal_the_whole_text():
     for text in TEXTS:
         ids = words.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(words.encode(text), words.dtype).tolist() == ids
+
+
+@pytest.mark.parametrize("text", [
+    "a\x1cb", "\x1c", "a \x1d\x1e b\x1f", "\x1fa.\u2003b\x85c", "\u0130!", "\u0958.", "x\u09dc,", "\u09df;", "caf\u00e9.", "\u0130\x1c!",
+    "e\u0301!", "\u03a3.", "tail... \u0130?! end."])
+def test_rare_letters_and_controls_equal_the_whole_text(text):
+    words = records.Words(P.path(records.TOKENIZER))
+    ids = words.tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(words.encode(text), words.dtype).tolist() == ids
+
+
+def test_blanks_are_those_of_the_tokenizer():
+    words = records.Words(P.path(records.TOKENIZER))
+    whole = words.tokenizer.encode("a b", add_special_tokens=False).ids
+    chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
+    found = words.tokenizer.encode_batch([f"a{c}b" for c in chars], add_special_tokens=False)
+    assert [c for c, e in zip(chars, found) if e.ids == whole] == [c for c in chars if records.BLANK.fullmatch(c)]
