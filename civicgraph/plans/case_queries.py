@@ -301,12 +301,13 @@ def arrivals(t, mart):
 @query("intake_briefing_full")   # with evidence and alternatives, whose own queries are checked
 def intake_briefing_full(spark, sf_dir):
     from ..operators import evidence as G
-    from ..operators import triples as T
     from ..operators import vectors as V
+    from .triple_queries import whole_store
     from .vector_queries import feature_table
-    t, m = Tables(spark, sf_dir), Views(spark, sf_dir).mart
+    t, v = Tables(spark, sf_dir), Views(spark, sf_dir)
+    m = v.mart
     coming = materialise(arrivals(t, m), "arrivals")
-    facts = G.explain_recommendation(T.resource_triples(m).unionByName(T.score_triples(m)))
+    facts = G.explain_recommendation(whole_store(v))
     vectors = materialise(feature_table(spark, sf_dir).join(m.select("resource_id", "borough", "name"), "resource_id"), "vectors")
     asked = vectors.join(coming.select("resource_id").distinct(), "resource_id", "left_semi")
     near = V.similar_topk(vectors, asked, 3, group="borough", id_col="resource_id")

@@ -280,10 +280,21 @@ def query_triples(spark, sf_dir):
                            object_val="BK", min_confidence=0.9)
 
 
+def whole_store(v):
+    """The store, built once for what reads it several times."""
+    return materialise(store(v), "store")
+
+
+@query("query_triples_store", ctes(*EVERY, body="""
+    SELECT * FROM t WHERE predicate = 'IN_BOROUGH' AND object_val = 'BK' AND confidence >= 0.9"""))
+def query_triples_store(spark, sf_dir):
+    return G.query_triples(whole_store(Views(spark, sf_dir)), predicate="IN_BOROUGH", object_val="BK", min_confidence=0.9)
+
+
 HOPS = ["CO_LOCATED_WITH", "HAS_TYPE", "NEAREST_TRANSIT", "HAS_CAPACITY"]
 
 
-def traverse_sql():
+def traverse_sql(*named):
     parts, frm = [], "SELECT resource_id AS start, resource_id AS subject, CAST(1 AS DOUBLE) AS cum FROM mart"
     for i, p in enumerate(HOPS):
         parts.append((f"best{i}", f"SELECT * FROM t WHERE predicate = '{p}' QUALIFY row_number() OVER (PARTITION BY subject ORDER BY confidence DESC, object_val) = 1"))
@@ -294,16 +305,22 @@ def traverse_sql():
     body = "\nUNION ALL ".join(f"""SELECT start, hop, subject, predicate, coalesce(object_val, 'NOT_FOUND') AS object,
         coalesce({r_even('confidence', 3)}, 0) AS confidence, {r_even('cum', 3)} AS cumulative, coalesce(source, '—') AS source
         FROM step{i}""" for i in range(len(HOPS)))
-    return ctes("mart", ("t", union(RESOURCE, COLOCATED)), *parts, body=body)
+    return ctes(*named, *parts, body=body)
 
 
-@query("traverse_path", traverse_sql())
+@query("traverse_path", traverse_sql("mart", ("t", union(RESOURCE, COLOCATED))))
 def traverse_path(spark, sf_dir):
     m = Views(spark, sf_dir).mart
     triples = materialise(T.resource_triples(m).unionByName(T.colocation_triples(m)), "path-triples")
     return G.traverse_path(m, triples, HOPS, "resource_id")
 
 
+@query("traverse_path_store", traverse_sql(*EVERY))
+def traverse_path_store(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return G.traverse_path(v.mart, whole_store(v), HOPS, "resource_id")
+
+
 RUN = r_even("product(confidence) OVER (PARTITION BY {k} ORDER BY hop ROWS UNBOUNDED PRECEDING)", 3)
 
 
@@ -325,11 +342,14 @@ def explain_underserved(spark, sf_dir):
     return G.explain_underserved(T.density_triples(Views(spark, sf_dir).mart))
 
 
-@query("explain_recommendation", ctes("mart", "incidents", "complaints", ("t", union(RESOURCE, SCORES, CRIME, COMPLAINT)), body=f"""
+RECOMMENDED = f"""
     , o AS (SELECT unnest({G.PRIORITY_PREDICATES}) AS predicate, unnest(range(1, 9)) AS n),
     h AS (SELECT subject, CAST(n AS INT) AS hop, concat(predicate, ': ', object_val) AS fact, confidence, source FROM t JOIN o USING (predicate)),
     c AS (SELECT subject, count(*) AS total_triples FROM t GROUP BY 1)
-    SELECT *, {RUN.format(k='subject')} AS cumulative FROM h JOIN c USING (subject)"""))
+    SELECT *, {RUN.format(k='subject')} AS cumulative FROM h JOIN c USING (subject)"""
+
+
+@query("explain_recommendation", ctes("mart", "incidents", "complaints", ("t", union(RESOURCE, SCORES, CRIME, COMPLAINT)), body=RECOMMENDED))
 def explain_recommendation(spark, sf_dir):
     v = Views(spark, sf_dir)
     triples = (T.resource_triples(v.mart).unionByName(T.score_triples(v.mart))
@@ -337,6 +357,11 @@ def explain_recommendation(spark, sf_dir):
     return G.explain_recommendation(materialise(triples, "facts"))
 
 
+@query("explain_recommendation_store", ctes(*EVERY, body=RECOMMENDED))
+def explain_recommendation_store(spark, sf_dir):
+    return G.explain_recommendation(whole_store(Views(spark, sf_dir)))
+
+
 @query("explain_emergency", ctes("mart", "lots", LOTS_FLAG, POPS, ("t", union(DENSITY, LOT_ROLLUP)), body=f"""
     , b AS (SELECT *, substring(subject, 6) AS borough FROM t), bs AS (SELECT DISTINCT borough FROM b),
     h0 AS (SELECT borough, 1 AS o, concat('Shelters in ', borough, ': ', object_val) AS fact, {D(0.95)} AS confidence, 'mart_derived' AS source FROM b WHERE predicate = 'COUNT_SHELTER'

@@ -7,7 +7,7 @@ from ..functions.session import materialise
 from ..operators import triples as T
 from ..operators import vectors as V
 from .registry import Views, ctes, query, r_even
-from .triple_queries import COLOCATED, COMPLAINT, CRIME, RESOURCE, union
+from .triple_queries import COLOCATED, COMPLAINT, CRIME, EVERY, RESOURCE, union, whole_store
 
 D = "CAST({} AS DOUBLE)".format
 
@@ -170,3 +170,13 @@ def kge_dataset(spark, sf_dir):
 @query("kge_dataset_short_names", ctes("mart", ("t", RESOURCE), body=kge_sql("substring({}, 1, 10)".format)))
 def kge_dataset_short_names(spark, sf_dir):
     return V.kge_dataset(kge_triples(spark, sf_dir), name_length=10)
+
+
+@query("kge_dataset_store", ctes(*EVERY, body=kge_sql("{}".format)))
+def kge_dataset_store(spark, sf_dir):
+    return V.kge_dataset(whole_store(Views(spark, sf_dir)))
+
+
+@query("kge_dataset_store_short_names", ctes(*EVERY, body=kge_sql("substring({}, 1, 10)".format)))
+def kge_dataset_store_short_names(spark, sf_dir):
+    return V.kge_dataset(whole_store(Views(spark, sf_dir)), name_length=10)
