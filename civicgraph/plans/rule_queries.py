@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from ..functions.session import materialise
+from ..operators import evidence as E
 from ..operators import lookup as L
 from ..operators import rules as K
 from ..operators import textrules as X
-from .lookup_queries import EXPAND
+from ..operators import triples as T
+from .lookup_queries import EXPAND, lots
 from .registry import Views, ctes, query, r_even
 
 D = "CAST({} AS DOUBLE)".format
@@ -208,16 +210,97 @@ def request_plan(spark, sf_dir):
     v = Views(spark, sf_dir)
     asked = X.intent_rules(v.requests.where(X.screen_reason("text").isNull()))
     # screened and planned once: searches, needs and profiles all read it
-    asked = materialise(asked.where("intent = 'needs_assessment'").drop("resource_types", "ada"), "asked")
+    return assessed(materialise(asked.where("intent = 'needs_assessment'").drop("resource_types", "ada"), "asked"), v.mart)
+
+
+def assessed(asked, mart):
+    """One step per need of planned requests."""
     spot = X.landmark_geocode()
     searches = asked.withColumn("g", spot).select("request_id", "borough", "g", F.posexplode("searches").alias("key_order", "s"))
     searches = searches.select(
         F.struct("request_id", "key_order").alias("search_id"), F.col("s.types").alias("types"), "borough",
         F.lit(False).alias("ada"), F.col("s.top").alias("top"), "g.lat", "g.lon",
         F.array_join("s.types", "+").alias("result_key"))
-    found = L.batched_lookup(searches, v.mart, ("name", "resource_type"))
+    found = L.batched_lookup(searches, mart, ("name", "resource_type"))
     results = found.join(searches.select("search_id", "result_key"), "search_id").select(
         "search_id.request_id", "search_id.key_order", "result_key", "rank", "name", "resource_type")
     needs = asked.select("request_id", F.explode("needs").alias("n")).select("request_id", "n.category", "n.priority")
     profile = X.household_profile(asked.drop("household_size"))
     return K.action_plan(needs, results, K.benefit_totals(profile, "request_id"))
+
+
+OUTCOME = ["request_id", "outcome", "item", "kind", "name", "detail"]
+LOOKUP_TOP = 5
+
+
+def request_outcomes(requests, mart, lots):
+    """What every request comes to, at least one row each: stopped, lookup, simulate, assessed, or as it is planned.
+
+    ``item`` numbers the rows of a request. A stopped request has its reason as
+    kind and the reply as detail. Searches list the best sites; a cold emergency
+    the sites of its borough, with the people split over the shelters; a gap
+    question the boroughs, worst served first; an assessment one row per need.
+    The keyword rules plan no request as explain; a plan that does is answered
+    with the evidence on its borough, or on all boroughs. A request that no row
+    answers keeps one row with its intent and nulls.
+    """
+    screened = X.guardrail_screen(requests)
+    planned = materialise(X.intent_rules(screened), "planned")
+    stopped = planned.where("NOT allow").select(
+        "request_id", F.lit("stopped").alias("outcome"), F.lit(1).alias("item"), F.col("reason").alias("kind"),
+        F.lit(None).cast("string").alias("name"), F.col("replacement_response").alias("detail"))
+    passed = planned.where("allow").drop("allow", "reason", "crisis_type", "replacement_response")
+    answers = [answer(passed, mart, lots) for answer in (_looked_up, _emergencies, _gaps, _explained, _needs)]
+    found = answers[0]
+    for more in answers[1:]:
+        found = found.unionByName(more)
+    rest = passed.withColumn("outcome", F.expr("CASE intent WHEN 'needs_assessment' THEN 'assessed' ELSE intent END"))
+    return rest.select("request_id", "outcome").join(found, "request_id", "left").withColumn(
+        "item", F.coalesce("item", F.lit(1))).select(*OUTCOME).unionByName(stopped)
+
+
+def _rows(df, item, kind, name, detail):
+    return df.select("request_id", F.expr(item).cast("int").alias("item"), F.expr(kind).alias("kind"),
+                     F.expr(name).alias("name"), F.expr(detail).cast("string").alias("detail"))
+
+
+def _looked_up(passed, mart, lots):
+    asks = passed.where("intent = 'lookup'").withColumn("g", X.landmark_geocode()).select(
+        F.col("request_id").alias("search_id"), F.col("resource_types").alias("types"), "borough",
+        F.coalesce("ada", F.lit(False)).alias("ada"), F.lit(LOOKUP_TOP).alias("top"), "g.lat", "g.lon")
+    found = L.batched_lookup(asks, mart, ("name", "resource_type")).withColumnRenamed("search_id", "request_id")
+    return _rows(found, "rank", "resource_type", "name", "resource_id")
+
+
+def _emergencies(passed, mart, lots):
+    asks = passed.where("scenario = 'cold_emergency'").select("request_id", "borough", "people")
+    sites = asks.join(L.emergency_plan(mart, lots).drop("assigned_people"), "borough")
+    sites = L.even_allocation(sites, F.col("people"), ["request_id", "role"])
+    order = "row_number() OVER (PARTITION BY request_id ORDER BY CASE role WHEN 'shelter' THEN 1 WHEN 'overflow' THEN 2 ELSE 3 END, rank)"
+    return _rows(sites, order, "role", "detail", "CASE role WHEN 'shelter' THEN assigned_people END")
+
+
+def _gaps(passed, mart, lots):
+    asks = passed.where("scenario = 'resource_gap'").select("request_id")
+    gap = asks.crossJoin(L.resource_gap(mart))
+    order = "row_number() OVER (PARTITION BY request_id ORDER BY resources_per_100k, borough)"
+    return _rows(gap, order, "'resource_gap'", "borough", "resources_per_100k")
+
+
+def _explained(passed, mart, lots):
+    asks = passed.where("intent = 'explain'").select("request_id", F.col("borough").alias("asked"))
+    facts = asks.join(E.explain_underserved(T.density_triples(mart)), F.expr("coalesce(asked, borough) = borough"))
+    return _rows(facts, "row_number() OVER (PARTITION BY request_id ORDER BY borough, hop)", "'evidence'", "borough", "fact")
+
+
+def _needs(passed, mart, lots):
+    asked = passed.where("intent = 'needs_assessment'").drop("resource_types", "ada")
+    order = "row_number() OVER (PARTITION BY request_id ORDER BY priority, category)"
+    return _rows(assessed(asked, mart), order, "category", "top_resource", "concat_ws('; ', action, timeframe, eligibility)")
+
+
+@query("request_answers")   # request_plan holds the assessed requests only
+def request_answers(spark, sf_dir):
+    """Every request with what became of it."""
+    v = Views(spark, sf_dir)
+    return request_outcomes(v.requests, v.mart, lots(v))
