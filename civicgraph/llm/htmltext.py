@@ -41,6 +41,8 @@ _BLOCK = frozenset(
     "thead tr ul".split())
 _CONTAINER = frozenset("article body div main section td blockquote".split())
 _ENDS_P = _BLOCK - {"html", "body"}
+#: What can stand in a head; anything else ends a head whose end tag is left out.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: Parts of class, id and role values that name what is not the article.
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense adslot banner breadcrumb breadcrumbs comment comments "
@@ -76,7 +78,15 @@ class _Lines(HTMLParser):
                 self.lines.append((text, self.tags, self.linked, container, article))
             self.text, self.linked, self.tags = [], 0, 0
 
+    def _close_head(self):
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == "head":
+                del self.open[k:]
+                break
+
     def handle_starttag(self, tag, attrs):
+        if tag == "body" or self.open and self.open[-1][0] == "head" and tag not in _IN_HEAD:
+            self._close_head()
         if tag in _BLOCK:
             self._end_line()
         if tag in _ENDS_P:
@@ -145,6 +155,8 @@ class _Lines(HTMLParser):
                 break               # an inline end tag closes nothing beyond its container
 
     def handle_data(self, data):
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._close_head()
         if self.open and self.open[-1][1]:
             return
         self.text.append(data)

@@ -119,3 +119,12 @@ def test_table_of_pages(spark):
     assert (one.text, one.n_chars) == ("Hello there", 11)
     assert {r.text for r in got.where("page_id in (4, 5)").collect()} == {""}
     assert htmltext.main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("html", [
+    "<html><head><title>t</title><body>{}</body></html>", "<head><title>t</title><meta name=x><style>p {{}}</style>{}",
+    "<head><script>1 < 2</script><link rel=x><body class=page>{}", "<head><noscript><img src=x></noscript>\n<div>{}</div>"])
+def test_pages_without_the_end_of_their_head(html):
+    words = "This sentence of the article is long enough to be taken for its text, and it is one of two. "
+    assert htmltext.extract(html.format(f"<p>{words}</p><p>{words}</p>")) == "\n".join([words.strip()] * 2)
+    assert htmltext.extract(html.format("")) == ""
