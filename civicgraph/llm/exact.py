@@ -230,8 +230,9 @@ def exact_groups(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
     sent = early.write(texts.mapInArrow(_send(plan, folder), MESSAGE), "op12-sent")
     answers = sent.where("owner is not null").repartition(plan.owners, "owner").mapInArrow(_answer(plan), ANSWER)
     # a block has one bitmap for each owner, with one bit for each of its at most BLOCK_ROWS rows
-    mine = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "repeated")).alias("answers"))
-    marked = scratch.write(mine.repartition(parts, "block").mapInArrow(_mark(plan), MARKED), "op12-marked")
+    mine = answers.repartition(parts, "block").groupBy("block") \
+        .agg(F.collect_list(F.struct("owner", "repeated")).alias("answers"))
+    marked = scratch.write(mine.mapInArrow(_mark(plan), MARKED), "op12-marked")
     early.drop()
 
     suspects = marked.where("text is not null")

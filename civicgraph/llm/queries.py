@@ -1,6 +1,6 @@
 """One query per operator, each over its whole table with production parameters."""
 
-from . import bpe, decontaminate, exact, htmltext, jaccard, pii, quality, records, toxicity, vectors, warc
+from . import bpe, decontaminate, exact, htmltext, jaccard, pii, quality, records, spelling, toxicity, vectors, warc
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -55,6 +55,11 @@ def op10(spark, sf_dir):
     return vectors.near_copies(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_spelling_groups", spelling.ORACLE_SQL)
+def op11(spark, sf_dir):
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 @query("op12_exact_groups", exact.ORACLE_SQL)
 def op12(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
