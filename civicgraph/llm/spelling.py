@@ -12,7 +12,8 @@ How it runs
      is taken from the one that comes first.
   3. Join and verify. Chunks meet grams by text, place and length, and the edit
      distance of what meets is computed at once, so candidates are never
-     written. A pair that shares both chunks is taken by the first one only.
+     written. Hashes of the two parts beside a chunk, of which one edit spares
+     one, go along and save most of these computations. A pair that shares both chunks is taken by the first one only.
      The words of a chunk that more than LIST of them have are cut into pieces
      of about that size, and grams go to every piece, so that no task holds a
      crowded list alone.
@@ -58,36 +59,43 @@ def words(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     return counted.where(F.col("n") >= MIN_COUNT)
 
 
+def _signatures(size, shift):
+    """Both chunks of words of length ``size``, as a word with ``shift`` letters more has them as grams.
+
+    What is left of the word beside a chunk is cut in two as well: one edit spares one of its parts.
+    """
+    piece = lambda at, width: F.substring("word", at + 1, width)
+    cut = lambda x: F.floor(x / 2).cast("int")
+    half = cut(size)
+    rest, begin = cut(size - half), cut(half)
+    tail = size - half - rest
+    row = lambda place, at, one, two: F.struct(
+        size.alias("len"), place.alias("place"), piece(at, half).alias("chunk"),
+        F.xxhash64(one).alias("one"), F.xxhash64(two).alias("two"))
+    return [row(F.lit(0), F.lit(0), piece(half, rest), piece(size + shift - tail, tail)),
+            row(half, half + shift, piece(F.lit(0), begin), piece(begin + shift, half - begin))]
+
+
 def near_pairs(vocabulary: DataFrame, limit=LIST) -> DataFrame:
     """(a, na, b, nb): each two words that are one edit apart once, with their numbers."""
-    sized = vocabulary.select("word", "n", F.length("word").cast("int").alias("len"))
-    piece = lambda at, width: F.substring("word", at + 1, width)
-    half = F.floor(F.col("len") / 2).cast("int")
-    chunks = sized.select(F.col("word").alias("a"), F.col("n").alias("na"), "len", F.explode(F.array(
-        F.struct(F.lit(0).alias("place"), piece(F.lit(0), half).alias("chunk")),
-        F.struct(half.alias("place"), piece(half, half).alias("chunk")))).alias("c"))
-    chunks = chunks.select("a", "na", "len", "c.place", "c.chunk")
-
-    # a gram under the place that a chunk has: its own in a word of equal length, one before it in a longer word
-    equal, longer = F.col("len"), F.col("len") - 1
-    width = F.floor(longer / 2).cast("int")
-    gram = lambda size, place, at, wide: F.struct(
-        size.alias("len"), place.alias("place"), piece(at, wide).alias("chunk"))
-    grams = sized.select(F.col("word").alias("b"), F.col("n").alias("nb"), F.explode(F.array(
-        gram(equal, F.lit(0), F.lit(0), half), gram(equal, half, half, half),
-        gram(longer, F.lit(0), F.lit(0), width), gram(longer, width, width + 1, width))).alias("g"))
-    grams = grams.select("b", "nb", "g.len", "g.place", "g.chunk")
+    size = F.length("word").cast("int")
+    signed = lambda word, n, rows: vocabulary.select(
+        F.col("word").alias(word), F.col("n").alias(n), F.explode(F.array(*rows)).alias("s")).select(word, n, "s.*")
+    chunks = signed("a", "na", _signatures(size, 0))
+    grams = signed("b", "nb", _signatures(size, 0) + _signatures(size - 1, 1))
 
     key = ["len", "place", "chunk"]
     crowded = chunks.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("pieces")).where("pieces > 1")
     pieces = F.coalesce("pieces", F.lit(1))
     chunks = chunks.join(crowded, key, "left").withColumn("piece", F.pmod(F.xxhash64("a"), pieces).cast("int"))
     grams = grams.join(crowded, key, "left").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
-    met = chunks.drop("pieces").join(grams.drop("pieces"), [*key, "piece"])
+    grams = grams.drop("pieces").withColumnsRenamed({"one": "one_b", "two": "two_b"})
+    met = chunks.drop("pieces").join(grams, [*key, "piece"])
     half = F.floor(F.col("len") / 2).cast("int")
     first = F.substring("a", F.lit(1), half) == F.substring("b", F.lit(1), half)
     one_way = (F.length("b") > F.col("len")) | (F.col("a") < F.col("b"))
-    return met.where(one_way & ((F.col("place") == 0) | ~first)) \
+    spared = (F.col("one") == F.col("one_b")) | (F.col("two") == F.col("two_b"))
+    return met.where(spared & one_way & ((F.col("place") == 0) | ~first)) \
         .where(F.levenshtein("a", "b", 1) == 1).select("a", "na", "b", "nb")
 
 
