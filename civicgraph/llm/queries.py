@@ -1,6 +1,6 @@
 """One query per operator, each over its whole table with production parameters."""
 
-from . import bpe, decontaminate, exact, htmltext, jaccard, pii, quality, records, spelling, toxicity, vectors, warc
+from . import bpe, decontaminate, exact, htmltext, jaccard, merkle, pii, quality, records, spelling, toxicity, vectors, warc
 from .common import table
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 
@@ -63,3 +63,8 @@ def op11(spark, sf_dir):
 @query("op12_exact_groups", exact.ORACLE_SQL)
 def op12(spark, sf_dir):
     return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_manifest", merkle.ORACLE_SQL)
+def op13(spark, sf_dir):
+    return merkle.manifest(table(spark, sf_dir, "documents"))
