@@ -49,3 +49,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Deal rows of heavy work out evenly; Spark sizes and may split the partitions."""
     return df.hint("rebalance")
+
+
+def materialise_by(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Write a table in buckets of ``keys``: joins on them move and sort only their other side."""
+    spark = df.sparkSession
+    path, n = work_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+    return spark.table(table)

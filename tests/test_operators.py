@@ -159,6 +159,76 @@ def test_walks_on_a_graph_with_a_hub(spark):
     assert [(r.node, r.dist) for r in G.sssp_topk(e, start, targets, 2).collect()] == [(101, 2.0), (102, 3.0)]
 
 
+def dijkstra(edges, starts):
+    import heapq
+    out, heap = {}, [(0.0, n) for n in starts]
+    near = {}
+    for a, b, w in edges:
+        near.setdefault(a, []).append((b, w))
+    while heap:
+        d, n = heapq.heappop(heap)
+        if n not in out:
+            out[n] = d
+            for b, w in near.get(n, ()):
+                heapq.heappush(heap, (d + w, b))
+    return out
+
+
+def some_graph(seed, n=120, extra=90):
+    rnd = random.Random(seed)
+    edges = [(k, k + 1, float(rnd.randrange(1, 9))) for k in range(n - 1) if k % 37]         # long lines
+    edges += [(rnd.randrange(n), rnd.randrange(n), rnd.randrange(0, 50) / 4) for _ in range(extra)]
+    edges += [(5, rnd.randrange(n), 70.0) for _ in range(80)] + [(9, 9, 1.0), (8, 9, 3.0), (8, 9, 2.0)]
+    places = [(k, 40 + rnd.random() * (k % 3), -73.9 + rnd.random()) for k in range(0, n, 2)]
+    return edges, places
+
+
+def test_walks_equal_dijkstra_whatever_the_blocks(spark):
+    from civicgraph.operators import walks
+    edges, places = some_graph(3)
+    e = spark.createDataFrame(edges, "src long, dst long, weight double")
+    spots = spark.createDataFrame(places, "node long, latitude double, longitude double")
+    starts = [0, 70, 5000]
+    frame_of = spark.createDataFrame([(n, k // 2, k % 2) for k, n in enumerate(starts)], "node long, team long, col int")
+    for nodes, most, where in ((50, 1 << 20, None), (64, 30, spots)):
+        graph = walks.BlockGraph(e, frame_of, None, where, "weight", nodes, most)
+        got = {}
+        for r in walks.walk(graph, frame_of, 2).collect():
+            got.setdefault(starts[2 * r.team + r.col], {})[r.node] = r.dist
+        assert got == {n: dijkstra(edges, [n]) for n in starts}
+
+
+def test_levels_from_each_start_and_from_the_nearest(spark):
+    edges, _ = some_graph(4)
+    hops = [(a, b, 1.0) for a, b, _ in edges]
+    e = spark.createDataFrame(edges, "src long, dst long, weight double")
+    starts = spark.createDataFrame([(n,) for n in (3, 77, 9999, 3, None)], "node long")
+    got = {}
+    for r in G.bfs_from_each(e, starts, width=2).collect():
+        got.setdefault(r.start, {})[r.node] = r.level
+    assert got == {n: dijkstra(hops, [n]) for n in (3, 77, 9999)}
+    assert {r.node: r.level for r in G.bfs_levels(e, starts).collect()} == dijkstra(hops, [3, 77, 9999])
+    none = spark.createDataFrame([], "node long")
+    assert G.bfs_levels(e, none).count() == 0 and G.bfs_from_each(e, none).count() == 0
+
+
+def test_nearest_targets_stop_the_walk(spark, monkeypatch):
+    from civicgraph.operators import walks
+    monkeypatch.setattr(walks, "COMPACT_EVERY", 2)
+    edges, _ = some_graph(5)
+    e = spark.createDataFrame(edges, "src long, dst long, weight double").withColumn("edge_type", F.lit("A"))
+    want = dijkstra(edges, [0])
+    goals = [n for n in range(0, 120, 7)] + [4000]
+    targets = spark.createDataFrame([(n,) for n in goals], "node long")
+    for k in (4,):
+        got = [(r.node, r.dist) for r in G.sssp_topk(e, spark.createDataFrame([(0,)], "node long"), targets, k, ["A"]).collect()]
+        assert got == sorted(((n, want[n]) for n in goals if n in want), key=lambda x: (x[1], x[0]))[:k]
+    line = spark.range(400).selectExpr("id as src", "id + 1 as dst", "1.0 as weight")
+    far = walks.walk(walks.BlockGraph(line, G._together(targets.where("node = 0")), targets, block_nodes=40),
+                     G._together(targets.where("node = 0")), k=2)
+    assert far.agg(F.max("dist")).first()[0] < 50        # the second target is 7 away, its block ends at 40
+
+
 def test_node_ids_stay_distinct_beyond_100_000_of_each_kind(spark):
     n = 120_000
     df = spark.range(2 * n).select(
