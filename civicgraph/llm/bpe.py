@@ -165,6 +165,10 @@ class _Memo(dict):
         self[key] = found
         return found
 
+    def forget(self):
+        self.clear()
+        self.old = {}
+
 
 class Encoder:
     """Text -> ids, remembering what stands between blanks, up to a bound.
@@ -179,6 +183,11 @@ class Encoder:
         self.pieces = _Memo(lambda token: tuple(bpe.piece(token.encode())))
         self.chunks = _Memo(lambda chunk: self._whole(f" {chunk}"))
 
+    def forget(self):
+        """Drop what is remembered; the tables stay."""
+        self.pieces.forget()
+        self.chunks.forget()
+
     def _whole(self, text):
         return tuple(chain.from_iterable(map(self.pieces.__getitem__, self.split(text))))
 
@@ -256,6 +265,7 @@ def _apply(texts, bpe, schema, digest):
                     rows, held = [], 0
             if rows:
                 yield out(rows)
+        encode.forget()             # the process goes on to other work
     return texts.mapInArrow(run, schema)
 
 

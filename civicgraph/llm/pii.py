@@ -11,7 +11,9 @@ months take two. Equal
 values get equal pseudonyms in every document and spelling, different ones stay
 different. The permutation moves every value: it is the Feistel permutation
 applied to a shift, P^-1(P(x) + s) with s > 0, which is a permutation without
-fixed points wherever N > 1.
+fixed points wherever N > 1. Values of more than WIDE digits and letters take a
+Feistel network over their places instead of one large number, so their cost
+grows with their length and not with its square.
 
 Kinds: e-mail addresses (the part before the @), telephone numbers, payment
 cards, IBANs, US social security numbers, IPv4 addresses, dates, and two kinds of
@@ -27,6 +29,7 @@ import datetime
 import hashlib
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from .common import id_text, ids_of
@@ -34,6 +37,8 @@ from .common import id_text, ids_of
 #: Stands in for a secret key in tests and examples; deployments pass their own.
 EXAMPLE_KEY = b"example key, not a secret"
 ROUNDS = 8
+#: Values of more digits and letters are permuted place by place, not as one number.
+WIDE = 256
 
 
 class Permutation:
@@ -80,6 +85,47 @@ class Permutation:
         return self._backward((self._forward(x) - self.shift) % self.n)
 
 
+class WidePermutation:
+    """A keyed permutation of long sequences of digits in given bases, without fixed points, in linear time.
+
+    A Feistel network over the two halves: each round adds to one half, place
+    by place, a stream drawn from the other. Like Permutation it is applied to
+    a shift: its first place that has more than one digit moves on.
+    """
+
+    def __init__(self, key, name, bases):
+        self.bases = bases
+        self.cut = len(bases) // 2
+        self.key = hashlib.blake2b(name.encode() + bases.tobytes(), key=key[:64], digest_size=32).digest()
+        self.at = int(np.argmax(bases > 1))
+        self.shift = 1 + self.key[0] % (int(bases[self.at]) - 1)
+
+    def _stream(self, k, half, n):
+        out = hashlib.shake_256(self.key + bytes([k]) + half.astype(np.uint8).tobytes()).digest(4 * n)
+        return np.frombuffer(out, "<u4").astype(np.int64)
+
+    def _network(self, digits, sign, rounds):
+        left, right = digits[:self.cut], digits[self.cut:]
+        one, two = self.bases[:self.cut], self.bases[self.cut:]
+        for k in rounds:
+            if k % 2:
+                left = (left + sign * self._stream(k, right, len(left))) % one
+            else:
+                right = (right + sign * self._stream(k, left, len(right))) % two
+        return np.concatenate([left, right])
+
+    def _shifted(self, digits, by):
+        moved = self._network(digits, 1, range(ROUNDS))
+        moved[self.at] = (moved[self.at] + by) % self.bases[self.at]
+        return self._network(moved, -1, reversed(range(ROUNDS)))
+
+    def __call__(self, digits):
+        return self._shifted(digits, self.shift)
+
+    def undo(self, digits):
+        return self._shifted(digits, -self.shift)
+
+
 # ---- checks and numberings -------------------------------------------------
 
 def luhn_ok(digits):
@@ -124,6 +170,8 @@ class Pseudonyms:
         """Letters and digits permuted as one number, each place keeping its class."""
         bases = [(10, "0") if _is_digit(c) else (26, "a") if "a" <= c <= "z" else (26, "A") if "A" <= c <= "Z" else None
                  for c in text]
+        if sum(base is not None for base in bases) > WIDE:
+            return self._long(name, text, bases)
         n, x = 1, 0
         for c, base in zip(text, bases):
             if base:
@@ -139,6 +187,16 @@ class Pseudonyms:
             out.append(c)
         return "".join(reversed(out))
 
+    def _long(self, name, text, bases):
+        """Like characters, for values of any length."""
+        places = [k for k, base in enumerate(bases) if base]
+        sizes = np.array([bases[k][0] for k in places], np.int64)
+        digits = np.array([ord(text[k]) - ord(bases[k][1]) for k in places], np.int64)
+        out = list(text)
+        for k, d in zip(places, WidePermutation(self.key, name, sizes)(digits).tolist()):
+            out[k] = chr(ord(bases[k][1]) + d)
+        return "".join(out)
+
     # each takes a match and returns its replacement, or None to leave it alone
 
     def email(self, m):
@@ -247,6 +305,8 @@ class Pseudonyms:
     def credential(self, m):
         lead, value = m.group(1), m.group(2)
         if re.fullmatch(r"[0-9a-f]+", value) and len(value) >= 16:
+            if len(value) > WIDE:
+                return lead + self._long("hex", value.translate(_HEX), [(16, "a")] * len(value)).translate(_UNHEX)
             n = 16 ** len(value)
             return lead + format(self.permute("hex", n, int(value, 16)), "x").zfill(len(value))
         return lead + self.characters("credential", value)
@@ -308,6 +368,9 @@ _ANY = re.compile(_named())
 #: Every kind but the cloud keys has one of these.
 _MAYBE = re.compile(r"[0-9@=:]")
 
+#: Hexadecimal digits as sixteen letters in a row, and back.
+_HEX, _UNHEX = str.maketrans("0123456789abcdef", "abcdefghijklmnop"), str.maketrans("abcdefghijklmnop", "0123456789abcdef")
+
 ROW = "doc_id long, text string, n_replaced long, " + ", ".join(f"n_{kind} long" for kind in _KINDS)
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from civicgraph.llm import decontaminate as d
@@ -175,3 +176,27 @@ def test_pseudonyms_of_a_table(spark):
     kept = pii.replace_in(df)
     assert kept.schema == df.schema and "10.0.0.1" not in kept.where("doc_id = 4").first().text
     assert pii.pseudonymise(spark.createDataFrame([], df.schema)).count() == 0
+
+
+@pytest.mark.parametrize("n", [257, 3000, 10_000, 1_000_000])
+def test_long_values_keep_their_format_and_stay_linked(n):
+    change, other = pii.Pseudonyms(), pii.Pseudonyms(b"another key")
+    for lead, value, tail, kept in [("token=", "aZ9_-" * (n // 5), "", "[a-z][A-Z][0-9]_-"), ("secret: ", "0a9f" * (n // 4), "", "[0-9a-f]{4}"),
+                                    ("", "ab.c9" * (n // 5), "@example.com", "[a-z]{2}[.][a-z][0-9]")]:
+        text = f"{lead}{value}{tail}"
+        new, counts = change.replace(text)
+        assert sum(counts.values()) == 1 and len(new) == len(text) and new != text
+        assert re.fullmatch(f"{re.escape(lead)}(?:{kept})+{re.escape(tail)}", new)
+        assert change.replace(text)[0] == new != other.replace(text)[0]
+        near = text.replace("9", "8", 1)
+        assert change.replace(near)[0] != new
+
+
+@pytest.mark.parametrize("bases", [[10] * 3, [2, 3, 1, 4], [26, 10], [1, 5, 1]])
+def test_wide_permutation(bases):
+    import itertools
+    p = pii.WidePermutation(b"k", "name", np.array(bases))
+    all_of = list(itertools.product(*map(range, bases)))
+    images = [tuple(p(np.array(x)).tolist()) for x in all_of]
+    assert sorted(images) == all_of and all(x != y for x, y in zip(all_of, images))
+    assert all(tuple(p.undo(np.array(y)).tolist()) == x for x, y in zip(all_of, images))
