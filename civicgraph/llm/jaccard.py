@@ -2,7 +2,7 @@
 
 How it runs
   1. One pass over the texts makes every document's shingle set. It yields the
-     set's size and a 128-bit digest (equal sets share one *class* and are
+     set's size and a 64-bit digest (equal sets share one *class* and are
      joined only once) and adds the shingles into a counter table of fixed
      size, from which everybody takes the same order: rare shingles first.
   2. A second pass puts the prefix of each set (the first quarter plus one, in
@@ -23,7 +23,7 @@ Defined results: null, empty or blank text has no shingles and links with
 nothing; a text of one to four words is one shingle; rows that repeat an id
 count as one document each and share its class; a null id is kept and never
 chosen as a component's name unless all ids there are null. Extra columns are
-ignored. Shingles are compared by 64-bit hashes, sets by 128 bits.
+ignored. Shingles are compared by 64-bit hashes, equal sets by 64-bit digests.
 """
 
 import itertools
@@ -408,9 +408,12 @@ def _sets(batches):
         if cls in done:
             continue
         s = shingle_set(raw, memo)
-        if not len(s) or _digest(s)[0] != cls:
+        if not len(s) or cls is not None and _digest(s)[0] != cls:
             continue                        # another row under the same id
-        done.add(cls)
+        if cls is None:                     # a row without an id speaks for its own class
+            cls = _digest(s)[0]
+        else:
+            done.add(cls)
         out.append(s.tobytes())
         keys.append(cls)
         held += len(out[-1])
@@ -489,7 +492,12 @@ def ngram_components(docs: DataFrame, id_col="doc_id", text_col="text") -> DataF
     # one document stands for each class that shares an entry
     chosen = rows.join(lists.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     stand_in = texts.join(chosen, "doc_id").select("doc_id", "cls", "text")
-    sets = scratch.write_by(stand_in.mapInArrow(_sets, "cls long, shingles binary"), "op1-sets", "cls")
+    sets = stand_in.mapInArrow(_sets, "cls long, shingles binary")
+    # a class of which no row has an id is spoken for by any of its rows
+    nameless = texts.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("cls"), "text")
+    nameless = nameless.mapInArrow(_sets, "cls long, shingles binary") \
+        .join(chosen.where("doc_id is null").select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
+    sets = scratch.write_by(sets.unionByName(nameless), "op1-sets", "cls")
 
     mixed, groups, before = _with_groups(lists, None), None, float("inf")
     for turn in range(ROUNDS):

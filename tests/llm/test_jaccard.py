@@ -132,3 +132,18 @@ def test_components(spark, edges):
                 label[k] = x | y
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: min(v) for k, v in label.items()}
+
+
+def test_rows_without_an_id_link_others(spark):
+    words = [f"w{k}" for k in range(120)]
+    left, right = list(words), list(words)
+    for k in (10, 22):
+        left[k], right[k + 60] = "x", "y"
+    rows = [(1, " ".join(left)), (None, " ".join(words)), (3, " ".join(right)), (None, " ".join(words)), (None, "some other text here now"),
+            (8, "u " * 3), (None, None)]
+    one, two = shingles(rows[0][1]), shingles(rows[2][1])
+    assert 100 * len(one & two) < 75 * len(one | two)       # only the row without an id links them
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in
+           jaccard.ngram_components(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1, 116] == got[None, 116] == got[3, 116] == 1
+    assert got[None, 1] is None and got[8, 1] == 8 and got[None, 0] is None
