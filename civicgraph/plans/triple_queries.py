@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..functions.session import materialise
 from ..operators import evidence as G
 from ..operators import triples as T
+from ..operators.store import TripleStore
 from .lookup_queries import LOTS_FLAG, lots
 from .registry import Views, ctes, deg2, query, r_even
 
@@ -271,15 +272,6 @@ def model_triples_rejects(spark, sf_dir):
 # ---- Questions ----------------------------------------------------------
 
 
-@query("query_triples", ctes("mart", body=f"""
-    , t AS ({union(RESOURCE, SCORES)})
-    SELECT * FROM t WHERE predicate = 'IN_BOROUGH' AND object_val = 'BK' AND confidence >= 0.9"""))
-def query_triples(spark, sf_dir):
-    m = Views(spark, sf_dir).mart
-    return G.query_triples(T.resource_triples(m).unionByName(T.score_triples(m)), predicate="IN_BOROUGH",
-                           object_val="BK", min_confidence=0.9)
-
-
 def whole_store(v):
     """The store, built once for what reads it several times."""
     return materialise(store(v), "store")
@@ -291,6 +283,30 @@ def query_triples_store(spark, sf_dir):
     return G.query_triples(whole_store(Views(spark, sf_dir)), predicate="IN_BOROUGH", object_val="BK", min_confidence=0.9)
 
 
+@query("query_triples", ctes(*EVERY, body="""
+    SELECT * FROM t WHERE predicate = 'IN_BOROUGH' AND object_val = 'BK' AND confidence >= 0.9"""))
+def query_triples(spark, sf_dir):
+    """From the copy ordered by predicate and object."""
+    return TripleStore.write(store(Views(spark, sf_dir))).match(predicate="IN_BOROUGH", object_val="BK", min_confidence=0.9)
+
+
+@query("match_subject", ctes(*EVERY, body="SELECT * FROM t WHERE subject = 'boro_BK' AND object_val IS NOT NULL"))
+def match_subject(spark, sf_dir):
+    return TripleStore.write(store(Views(spark, sf_dir))).match(subject="boro_BK")
+
+
+@query("match_object", ctes(*EVERY, body="SELECT * FROM t WHERE object_val = 'shelter' AND subject IS NOT NULL"))
+def match_object(spark, sf_dir):
+    return TripleStore.write(store(Views(spark, sf_dir))).match(object_val="shelter")
+
+
+@query("subjects_with", ctes(*EVERY, body="""
+    SELECT subject FROM t WHERE predicate = 'HAS_TYPE' AND object_val = 'shelter' INTERSECT
+    SELECT subject FROM t WHERE predicate = 'IN_BOROUGH' AND object_val = 'BK'"""))
+def subjects_with(spark, sf_dir):
+    return TripleStore.write(store(Views(spark, sf_dir))).subjects_with(("HAS_TYPE", "shelter"), ("IN_BOROUGH", "BK"))
+
+
 HOPS = ["CO_LOCATED_WITH", "HAS_TYPE", "NEAREST_TRANSIT", "HAS_CAPACITY"]
 
 
@@ -308,13 +324,7 @@ def traverse_sql(*named):
     return ctes(*named, *parts, body=body)
 
 
-@query("traverse_path", traverse_sql("mart", ("t", union(RESOURCE, COLOCATED))))
-def traverse_path(spark, sf_dir):
-    m = Views(spark, sf_dir).mart
-    triples = materialise(T.resource_triples(m).unionByName(T.colocation_triples(m)), "path-triples")
-    return G.traverse_path(m, triples, HOPS, "resource_id")
-
-
+@query("traverse_path", traverse_sql(*EVERY))
 @query("traverse_path_store", traverse_sql(*EVERY))
 def traverse_path_store(spark, sf_dir):
     v = Views(spark, sf_dir)
@@ -349,14 +359,7 @@ RECOMMENDED = f"""
     SELECT *, {RUN.format(k='subject')} AS cumulative FROM h JOIN c USING (subject)"""
 
 
-@query("explain_recommendation", ctes("mart", "incidents", "complaints", ("t", union(RESOURCE, SCORES, CRIME, COMPLAINT)), body=RECOMMENDED))
-def explain_recommendation(spark, sf_dir):
-    v = Views(spark, sf_dir)
-    triples = (T.resource_triples(v.mart).unionByName(T.score_triples(v.mart))
-               .unionByName(T.crime_triples(v.mart, v.incidents)).unionByName(T.complaint_triples(v.mart, v.complaints)))
-    return G.explain_recommendation(materialise(triples, "facts"))
-
-
+@query("explain_recommendation", ctes(*EVERY, body=RECOMMENDED))
 @query("explain_recommendation_store", ctes(*EVERY, body=RECOMMENDED))
 def explain_recommendation_store(spark, sf_dir):
     return G.explain_recommendation(whole_store(Views(spark, sf_dir)))

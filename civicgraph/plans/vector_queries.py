@@ -3,11 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_even
-from ..functions.session import materialise
 from ..operators import triples as T
 from ..operators import vectors as V
 from .registry import Views, ctes, query, r_even
-from .triple_queries import COLOCATED, COMPLAINT, CRIME, EVERY, RESOURCE, union, whole_store
+from .triple_queries import COLOCATED, COMPLAINT, CRIME, EVERY, union, whole_store
 
 D = "CAST({} AS DOUBLE)".format
 
@@ -158,25 +157,13 @@ def kge_sql(cut):
     FROM d JOIN ent h ON h.label = head JOIN ent o ON o.label = tail JOIN rel USING (relation)"""
 
 
-def kge_triples(spark, sf_dir):
-    return materialise(T.resource_triples(Views(spark, sf_dir).mart), "kge-triples")
-
-
-@query("kge_dataset", ctes("mart", ("t", RESOURCE), body=kge_sql("{}".format)))
-def kge_dataset(spark, sf_dir):
-    return V.kge_dataset(kge_triples(spark, sf_dir))
-
-
-@query("kge_dataset_short_names", ctes("mart", ("t", RESOURCE), body=kge_sql("substring({}, 1, 10)".format)))
-def kge_dataset_short_names(spark, sf_dir):
-    return V.kge_dataset(kge_triples(spark, sf_dir), name_length=10)
-
-
+@query("kge_dataset", ctes(*EVERY, body=kge_sql("{}".format)))
 @query("kge_dataset_store", ctes(*EVERY, body=kge_sql("{}".format)))
 def kge_dataset_store(spark, sf_dir):
     return V.kge_dataset(whole_store(Views(spark, sf_dir)))
 
 
+@query("kge_dataset_short_names", ctes(*EVERY, body=kge_sql("substring({}, 1, 10)".format)))
 @query("kge_dataset_store_short_names", ctes(*EVERY, body=kge_sql("substring({}, 1, 10)".format)))
 def kge_dataset_store_short_names(spark, sf_dir):
     return V.kge_dataset(whole_store(Views(spark, sf_dir)), name_length=10)

@@ -11,3 +11,69 @@ def test_briefing_names_crime_and_complaint_facts(spark, sf_dir):
         *[F.count_if(F.contains("reasoning", F.lit(p))).alias(p) for p in ("CRIME_", "COMPLAINTS_")]).first()
     assert any(p.startswith("CRIME_") for p in G.PRIORITY_PREDICATES)
     assert seen["CRIME_"] > 0 and seen["COMPLAINTS_"] > 0
+
+
+def some_store(spark, sf_dir):
+    from civicgraph.operators.store import TripleStore
+    from civicgraph.plans.registry import Views
+    from civicgraph.plans.triple_queries import store
+    triples = store(Views(spark, sf_dir))
+    return triples, TripleStore.write(triples)
+
+
+def test_each_question_uses_the_copy_whose_first_columns_it_fixes(spark, sf_dir):
+    from civicgraph.operators.store import order_for
+    triples, found = some_store(spark, sf_dir)
+    asked = triples.where("predicate = 'HAS_TYPE'").orderBy("subject").first()
+    cases = {"spo": {"subject": asked.subject}, "pos": {"predicate": "HAS_TYPE", "object_val": asked.object_val},
+             "osp": {"object_val": asked.object_val}}
+    for order, fixed in cases.items():
+        assert order_for(**fixed) == order
+        df = found.match(**fixed)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert f"/{order}]" in plan
+        if order == "pos":
+            assert "PartitionFilters: [isnotnull(predicate" in plan and "EqualTo(o," in plan
+        else:
+            assert f"EqualTo({order[0]}," in plan
+        want = triples.where(" and ".join(f"{k} = '{v}'" for k, v in fixed.items()))
+        assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect())) != []
+    both = found.match(subject=asked.subject, object_val=asked.object_val, predicate="HAS_TYPE", source=asked.source)
+    assert [r.object_val for r in both.collect()] == [asked.object_val]
+    assert found.match(subject="no such term").count() == found.match(predicate="NO_SUCH").count() == 0
+    assert found.match().count() == triples.where("object_val is not null").count()
+
+
+def test_row_groups_without_the_number_are_skipped(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    from civicgraph.operators import store as S
+    rows = spark.range(200_000).selectExpr("concat('subject ', id % 5000) as subject", "concat('P', id % 3) as predicate",
+                                           "concat('object ', id % 20011) as object_val", "0.5D as confidence", "'x' as source")
+    before, S.GROUP_BYTES = S.GROUP_BYTES, 1 << 14
+    try:
+        store = S.TripleStore.write(rows, str(tmp_path / "store"))
+    finally:
+        S.GROUP_BYTES = before
+    for order, column in (("spo", "s"), ("osp", "o")):
+        number = store.number("subject 77" if column == "s" else "object 77")
+        groups = [g.column(j).statistics for f in glob.glob(f"{store.folder}/{order}/*.parquet")
+                  for g in [pq.ParquetFile(f).metadata.row_group(k) for k in range(pq.ParquetFile(f).num_row_groups)]
+                  for j in range(g.num_columns) if g.column(j).path_in_schema == column]
+        hit = [s for s in groups if s.min <= number <= s.max]
+        assert len(groups) >= 4 and 1 <= len(hit) <= 2
+    assert store.match(subject="subject 77").count() == 40
+
+
+def test_terms_sort_as_their_numbers_and_nulls_are_left_out(spark):
+    from civicgraph.operators.store import TripleStore
+    rows = [("b", "P", "é", .5, "x"), ("a", "P", "b", .5, None), ("a", "P", "b", .5, "y"), ("c", "Q", None, 1., "x"), (None, "P", "b", 1., "x"),
+            ("a", None, "b", 1., "x"), ("", "P", "", 1., "x")]
+    store = TripleStore.write(spark.createDataFrame(rows, "subject string, predicate string, object_val string, confidence double, source string"))
+    terms = [r.term for r in store.table("terms").orderBy("id").collect()]
+    assert terms == ["", "a", "b", "é"]
+    assert sorted(map(str, store.match().collect())) == sorted(map(str, store.match().collect()))
+    assert store.match().count() == 4 and store.match(subject="").first().object_val == ""
+    assert [r.subject for r in store.subjects_with(("P", "b"), ("P", "b")).collect()] == ["a"]
+    assert store.subjects_with(("P", "b"), ("P", "é")).count() == 0
