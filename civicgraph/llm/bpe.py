@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import id_text, ids_of
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -211,6 +212,7 @@ def _encoder(shared):
     if shared.value.key not in _ENCODERS:
         _ENCODERS.clear()
         _ENCODERS[shared.value.key] = Encoder(shared.value)
+        common.REMEMBERED["bpe"] = _ENCODERS[shared.value.key].forget
     return _ENCODERS[shared.value.key]
 
 
@@ -265,7 +267,6 @@ def _apply(texts, bpe, schema, digest):
                     rows, held = [], 0
             if rows:
                 yield out(rows)
-        encode.forget()             # the process goes on to other work
     return texts.mapInArrow(run, schema)
 
 

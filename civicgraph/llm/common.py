@@ -46,6 +46,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
+#: What drops the memos that operators keep in this process from task to task.
+REMEMBERED = {}
+
+
+def forget_memos():
+    """Called where a process turns to work that needs its memory: the memos of other operators go."""
+    for forget in REMEMBERED.values():
+        forget()
+
+
 class Scratch:
     """Tables that are needed only until a result has been written down."""
 

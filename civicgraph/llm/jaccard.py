@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import U64, Scratch, id_text, ids_of, materialise, mix, partitions, raw_texts
+from .common import U64, Scratch, forget_memos, id_text, ids_of, materialise, mix, partitions, raw_texts
 from .components import components
 
 WORDS = 5
@@ -111,6 +111,7 @@ SCAN = "doc_id long, n long, cls long, alt long, chunk int, slots binary, counts
 
 def _scan(batches):
     import pyarrow as pa
+    forget_memos()
     counts, memo = np.zeros(1 << BUCKET_BITS, np.int64), _WordHash()
     names = [c.split()[0] for c in SCAN.split(", ")]
 

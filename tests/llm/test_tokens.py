@@ -133,3 +133,14 @@ def test_blanks_are_those_of_the_tokenizer():
     chars = [chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000]
     found = words.tokenizer.encode_batch([f"a{c}b" for c in chars], add_special_tokens=False)
     assert [c for c, e in zip(chars, found) if e.ids == whole] == [c for c in chars if records.BLANK.fullmatch(c)]
+
+
+def test_memos_are_dropped_where_memory_is_needed(encoder):
+    from types import SimpleNamespace
+
+    from civicgraph.llm import common
+    encode = bpe._encoder(SimpleNamespace(value=encoder))
+    ids = encode("some text to remember")
+    assert encode.chunks and encode.pieces
+    common.forget_memos()
+    assert not encode.chunks and not encode.pieces and encode("some text to remember") == ids
