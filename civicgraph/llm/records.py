@@ -41,10 +41,12 @@ MEMO = 300_000
 MASK_DELTA = 0xA282EAD8
 NULL_ID = 0x80
 MAGIC = b"SEQX"
-#: Marks that always form a token of their own after an ASCII letter. Others may
-#: turn into a letter and a mark in the normalizer, which such a mark then joins.
+#: Letters that the normalizer turns into one letter, whatever stands beside them. Others
+#: may turn into a letter and a mark.
+LETTERS = frozenset(string.ascii_letters) | {chr(c) for c in range(0xC0, 0x100)} - {"\xd7", "\xf7"}
+WORD = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: Marks that always form a token of their own after such a letter; they would join a mark.
 TAIL = ".,!?;:%&*$#"
-LETTERS = frozenset(string.ascii_letters)
 #: White space to str.split but not to the tokenizer, and what is to both.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
@@ -103,6 +105,20 @@ def pieces(text):
     return text.split()
 
 
+def _spelled(tokenizer):
+    """Letter -> what the tokenizer's model is given for it; None where words are more than their letters."""
+    if tokenizer.normalizer is None or tokenizer.pre_tokenizer is None or \
+            any(token.content[:1].isalpha() for token in tokenizer.get_added_tokens_decoder().values()):
+        return None
+
+    def given(word):
+        found = tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(word))
+        return found[0][0] if len(found) == 1 else None
+    table = {ord(c): given(c) for c in LETTERS}
+    every = "".join(sorted(LETTERS)) * 2
+    return table if None not in table.values() and given(every) == every.translate(table) else None
+
+
 class Words(dict):
     """White-space delimited piece -> packed token ids, by the tokenizers library.
 
@@ -119,6 +135,7 @@ class Words(dict):
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.old = {}
+        self.model, self.spelled = self.tokenizer.model, _spelled(self.tokenizer)
 
     def __missing__(self, piece):
         found = self.old.pop(piece, None)
@@ -127,14 +144,19 @@ class Words(dict):
             if stem != piece and stem[-1:] in LETTERS:
                 found = self[stem] + self[piece[len(stem):]]
             else:
-                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-                found = np.array(ids, self.dtype).tobytes()
+                found = np.array(self._ids(piece), self.dtype).tobytes()
         if len(self) >= MEMO:
             self.old = dict(self)
             self.clear()
         self[piece] = found
         return found
 
+    def _ids(self, piece):
+        """The library's ids of a piece; a word of plain letters needs nothing but its model."""
+        if self.spelled and WORD.fullmatch(piece):
+            return [token.id for token in self.model.tokenize(piece.translate(self.spelled))]
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
     def encode(self, text):
         return b"".join(map(self.__getitem__, pieces(text))) if text else b""
 

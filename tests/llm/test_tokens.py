@@ -127,6 +127,19 @@ def test_rare_letters_and_controls_equal_the_whole_text(text):
     assert np.frombuffer(words.encode(text), words.dtype).tolist() == ids
 
 
+def test_plain_words_equal_the_library():
+    """Words that take the short way to the model, alone and beside letters and marks that must not."""
+    words = records.Words(P.path(records.TOKENIZER))
+    assert words.spelled
+    plain = "".join(sorted(records.LETTERS))
+    mixed = plain + "\u0301\u0308\u0327\u0345'.,!?;:-\u00b5\u00aa\u00df\u0130\u0391\u03a3\u09a10" + "eeiostn" * 8
+    dice = random.Random(7)
+    for k in range(20_000):
+        text = "".join(dice.choices(mixed if k % 2 else plain, k=dice.randint(1, 14)))
+        ids = words.tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(words.encode(text), words.dtype).tolist() == ids, ascii(text)
+
+
 def test_blanks_are_those_of_the_tokenizer():
     words = records.Words(P.path(records.TOKENIZER))
     whole = words.tokenizer.encode("a b", add_special_tokens=False).ids
