@@ -22,6 +22,8 @@ far as they go; character references are decoded, unknown ones kept as written.
 
 import math
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from html.parser import HTMLParser
 
 import numpy as np
@@ -41,6 +43,14 @@ _BLOCK = frozenset(
     "thead tr ul".split())
 _CONTAINER = frozenset("article body div main section td blockquote".split())
 _ENDS_P = _BLOCK - {"html", "body"}
+#: What keeps end tags and implied ends inside it from reaching further.
+_WALL = _CONTAINER | _NEVER
+_CLOSES_ITSELF = _BLOCK | _RAW
+#: An item, cell or row closes those before it, up to the list or table that they stand in.
+_SIBLINGS = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"),
+             "td": ("td", "th"), "th": ("td", "th")}
+_HOLDERS = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"),
+            "th": ("tr", "table")}
 #: What can stand in a head; anything else ends a head whose end tag is left out.
 _IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: Parts of class, id and role values that name what is not the article.
@@ -57,12 +67,18 @@ _ABOUT = frozenset("has with without no is can".split())
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, linked characters, container, in article) per line."""
+    """Collects (text, tags, linked characters, container, in article) per line.
+
+    Where each element name is open is kept beside the open elements, so that a tag
+    costs the same however many elements are open.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines = []
         self.open = []              # (tag, left out, container, in article)
+        self.places = defaultdict(list)     # places in ``open`` by tag, and those of all walls
+        self.walls = []
         self.text, self.linked, self.tags = [], 0, 0
         self.links = 0
         self.containers = 0
@@ -78,11 +94,27 @@ class _Lines(HTMLParser):
                 self.lines.append((text, self.tags, self.linked, container, article))
             self.text, self.linked, self.tags = [], 0, 0
 
+    def _push(self, tag, *state):
+        self.places[tag].append(len(self.open))
+        if tag in _WALL:
+            self.walls.append(len(self.open))
+        self.open.append((tag, *state))
+
+    def _cut(self, place):
+        """Closes the element at a place and all inside it."""
+        while len(self.open) > place:
+            tag = self.open.pop()[0]
+            self.places[tag].pop()
+            if tag in _WALL:
+                self.walls.pop()
+
+    def _last(self, tag):
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
     def _close_head(self):
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == "head":
-                del self.open[k:]
-                break
+        if self.places["head"]:
+            self._cut(self._last("head"))
 
     def handle_starttag(self, tag, attrs):
         if tag == "body" or self.open and self.open[-1][0] == "head" and tag not in _IN_HEAD:
@@ -105,11 +137,11 @@ class _Lines(HTMLParser):
         if tag in _CONTAINER:
             self.containers += 1
             container = self.containers
-        self.open.append((tag, bool(out), container, article or tag in ("article", "main")))
+        self._push(tag, bool(out), container, article or tag in ("article", "main"))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
-        if tag not in _VOID and tag in _BLOCK | _RAW:
+        if tag not in _VOID and tag in _CLOSES_ITSELF:
             self.handle_endtag(tag)
 
     @staticmethod
@@ -128,17 +160,18 @@ class _Lines(HTMLParser):
 
     def _close_implied(self, tag):
         """A block closes an open paragraph; an item or cell closes the one before."""
-        same = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"),
-                "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-        stop = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"),
-                "th": ("tr", "table")}.get(tag, ())
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == "p" or name in same:
-                del self.open[k:]
-                continue
-            if name in stop or name in _CONTAINER or name in _NEVER:
+        closed = ("p", *_SIBLINGS.get(tag, ()))
+        stop = max((self._last(name) for name in _HOLDERS.get(tag, ())), default=-1)
+        for wall in reversed(self.walls):       # those passed over are closed below
+            if wall <= stop or self.open[wall][0] not in closed:
+                stop = max(stop, wall)
                 break
+        first = len(self.open)
+        for name in closed:
+            places = self.places.get(name)
+            if places and places[-1] > stop:
+                first = min(first, places[bisect_right(places, stop)])
+        self._cut(first)
 
     def handle_endtag(self, tag):
         if tag in _BLOCK:
@@ -146,13 +179,10 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag == "a" and self.links:
             self.links -= 1
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                del self.open[k:]
-                break
-            if name in _CONTAINER | _NEVER and tag not in _CONTAINER | _NEVER | {"html"}:
-                break               # an inline end tag closes nothing beyond its container
+        place = self._last(tag)
+        inside = self.walls[-1] if self.walls and tag not in _WALL and tag != "html" else -1
+        if place > inside:          # an inline end tag closes nothing beyond its container
+            self._cut(place)
 
     def handle_data(self, data):
         if self.open and self.open[-1][0] == "head" and data.strip():
@@ -181,7 +211,9 @@ def extract(html):
     if not html:
         return ""
     parser = _Lines()
-    parser.feed(html)
+    # no tag can end after the last ">": the parser reads what is left as text, but tries each "<" to the end
+    whole = html.rfind(">") + 1
+    parser.feed(html[:whole] + html[whole:].replace("<", "&lt;"))
     lines = parser.finish()
     marked = any(line[4] for line in lines)
     if marked:
@@ -195,10 +227,8 @@ def extract(html):
     smooth = _smooth(ratio * (1 - np.minimum(1, linked / length)))
     seeds = set(container[smooth >= min(smooth.std(), smooth.mean())].tolist())
     if marked:
-        for c in set(container.tolist()) - seeds:
-            here = container == c
-            if linked[here].sum() <= .5 * length[here].sum():
-                seeds.add(c)
+        mostly_text = np.bincount(container, linked) <= .5 * np.bincount(container, length)
+        seeds.update(container[mostly_text[container]].tolist())
     return "\n".join(line[0] for line in lines if line[3] in seeds)
 
 

@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import io
+import random
+import time
 import zlib
 
 import pytest
@@ -128,3 +130,60 @@ def test_pages_without_the_end_of_their_head(html):
     words = "This sentence of the article is long enough to be taken for its text, and it is one of two. "
     assert htmltext.extract(html.format(f"<p>{words}</p><p>{words}</p>")) == "\n".join([words.strip()] * 2)
     assert htmltext.extract(html.format("")) == ""
+
+
+#: Markup that leaves ever more elements open, or never ends a tag.
+CROOKED = ["<i>|</b>x", "<i>|<h1>x", "<td>|<li>x", "<div>|<p>x", "<div>x|</div>", "<a |", "<a b='c' |", "<!--|", "a<b |", "</a |",
+           "<p>|<td>|</p>x", "<main><div>x</div></main>|", "<article>|<div>x</div>"]
+
+
+@pytest.mark.parametrize("crooked", CROOKED)
+def test_time_grows_with_the_page(crooked):
+    """Eight times the page in far less than the 64 times of a quadratic reader; a floor keeps noise out."""
+    def seconds(n):
+        page = "".join(part * n for part in crooked.split("|"))
+        began = time.process_time()
+        htmltext.extract(page)
+        return time.process_time() - began
+    assert seconds(16_000) < 30 * max(seconds(2_000), .03)
+
+
+def scanned(page):
+    """The open elements by plain scans of the whole stack at every tag: what the lines of a page rest on."""
+    class Plain(htmltext._Lines):
+        def _close_implied(self, tag):
+            closed = ("p", *htmltext._SIBLINGS.get(tag, ()))
+            stop = htmltext._HOLDERS.get(tag, ())
+            for place in range(len(self.open) - 1, -1, -1):
+                name = self.open[place][0]
+                if name in closed:
+                    self._cut(place)
+                elif name in stop or name in htmltext._WALL:
+                    break
+
+        def handle_endtag(self, tag):
+            if tag in htmltext._BLOCK:
+                self._end_line()
+            self.tags += 1
+            if tag == "a" and self.links:
+                self.links -= 1
+            for place in range(len(self.open) - 1, -1, -1):
+                name = self.open[place][0]
+                if name == tag:
+                    return self._cut(place)
+                if name in htmltext._WALL and tag not in htmltext._WALL and tag != "html":
+                    return None
+    parser = Plain()
+    parser.feed(page)
+    return parser.finish()
+
+
+def test_open_elements_equal_plain_scans():
+    dice = random.Random(11)
+    names = sorted(htmltext._BLOCK | htmltext._NEVER) + "i b a span p td li tr table ul div dd dt dl head body".split() * 6
+    for _ in range(3000):
+        page = "".join(dice.choice((f"<{dice.choice(names)}>", f"</{dice.choice(names)}>", f"word{dice.random()} "))
+                       for _ in range(dice.randint(1, 60)))
+        parser = htmltext._Lines()
+        parser.feed(page)
+        assert parser.finish() == scanned(page), page
