@@ -7,11 +7,13 @@ other cells are sort-merge joins whose crowded cells Spark splits.
 """
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import LAT_M, LON_M, col, degree_d2, haversine_miles, planar_m2
+from ..functions.session import materialise
 
 # metric -> (distance^2, scale of a latitude degree, scale of a longitude degree)
 METRICS = {
@@ -133,6 +135,94 @@ def radius_pairs(left, right, radius, cell, metric="planar_m") -> DataFrame:
             .where(F.col("d2") <= r * r).drop("_cx", "_cy"))
 
 
+#: Widths in metres of the nested cells in which pairs are counted; each divides the one before.
+COUNT_WIDTHS = (32_000, 8_000, 2_000, 500, 125)
+# Pairs of cells that hold no more pairs of points than this are not split: comparing the points is quicker.
+SPLIT_OVER = 1 << 16
+
+
+def _cost_nodes(points, side, speed, limit):
+    """One table per width: cells of position and cost, with their number of points and true bounds.
+
+    Cost is measured as the way that it is worth at ``speed``, so a cell is as wide in cost as in space.
+    """
+    x, y, at = _x("lon", "planar_m"), _y("lat", "planar_m"), F.col("cost")
+    points = (points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull() & at.between(0, limit))
+              .groupBy("lat", "lon", "cost").agg(F.sum("n").alias("n")))
+    width = COUNT_WIDTHS[-1]
+    cells = lambda by: [F.floor(F.col(c) / F.lit(by)).cast("long").alias(c) for c in ("cx", "cy", "cz")]
+    leaves = points.withColumns({"cx": _cell(x, width), "cy": _cell(y, width), "cz": _cell(at * F.lit(speed), width)})
+    leaves = materialise(leaves, f"count-{side}")
+    spans = {"x": x, "y": y, "c": at}
+    level = leaves.groupBy("cx", "cy", "cz").agg(
+        F.sum("n").alias("n"), *(f(v).alias(f"{k}{name}") for name, v in spans.items() for k, f in (("lo", F.min), ("hi", F.max))))
+    tables = [level]
+    for coarse, fine in zip(COUNT_WIDTHS[-2::-1], COUNT_WIDTHS[:0:-1]):
+        up = level.select(*cells(coarse // fine), "n", *(f"{k}{name}" for name in spans for k in ("lo", "hi")))
+        level = up.groupBy("cx", "cy", "cz").agg(
+            F.sum("n").alias("n"), *(f(f"{k}{name}").alias(f"{k}{name}") for name in spans for k, f in (("lo", F.min), ("hi", F.max))))
+        tables.append(level)
+    return leaves, tables[::-1]
+
+
+def _named(table, side):
+    return table.select([F.col(c).alias(f"{side}_{c}") for c in table.columns])
+
+
+def _under(pairs, children, side, by):
+    """The pairs again for every child cell (or point) of one side."""
+    up = [F.floor(F.col(f"{side}_{c}") / F.lit(by)).cast("long").alias(f"_{c}") for c in ("cx", "cy", "cz")]
+    kids = _named(children, side).select("*", *up)
+    mine = [f"{side}_{c}" for c in ("cx", "cy", "cz")]
+    kept = [c for c in pairs.columns if not c.startswith(f"{side}_")]
+    return pairs.select(*kept, *(F.col(c).alias("_" + c[-2:]) for c in mine)).join(kids, ["_cx", "_cy", "_cz"]).drop("_cx", "_cy", "_cz")
+
+
+def count_within_cost(left, right, speed, limit, split_over=SPLIT_OVER) -> DataFrame:
+    """One row (n): pairs whose costs and planar distance / ``speed`` add up to at most ``limit``.
+
+    Both sides have lat, lon, cost and n, the number of equal points. Rows with a null or negative
+    cost, or without a position, pair with nothing.
+
+    Cells of both sides meet from the widest down. Pairs of cells that lie wholly within the limit by
+    the bounds of their points are counted as a product, those wholly beyond it are dropped, and only
+    the others are split, down to cells of few points. So points meet points only where the limit
+    runs through a pair of small cells.
+    """
+    top = COUNT_WIDTHS[0]
+    lhs, l_levels = _cost_nodes(left, "left", speed, limit)
+    rhs, r_levels = _cost_nodes(right, "right", speed, limit)
+    reach = int(limit * speed // top) + 1
+    around = lambda c: F.explode(F.sequence(F.col(f"l_{c}") - reach, F.col(f"l_{c}") + reach))
+    pairs = (_named(l_levels[0], "l").withColumn("r_cx", around("cx")).withColumn("r_cy", around("cy"))
+             .join(_named(r_levels[0], "r"), ["r_cx", "r_cy"]))
+    gap = lambda a: F.greatest(F.col(f"l_lo{a}") - F.col(f"r_hi{a}"), F.col(f"r_lo{a}") - F.col(f"l_hi{a}"), F.lit(0.0))
+    far = lambda a: F.greatest(F.col(f"l_hi{a}") - F.col(f"r_lo{a}"), F.col(f"r_hi{a}") - F.col(f"l_lo{a}"))
+    total = lambda a, x, y: F.col(f"l_{a}c") + F.col(f"r_{a}c") + F.sqrt(x * x + y * y) / F.lit(speed)
+    least, most = total("lo", gap("x"), gap("y")), total("hi", far("x"), far("y"))
+    margin = limit * (1.0 - FULL_CELL_MARGIN) + 1e-6    # far above what rounding can move a sum by
+    way = F.sqrt(planar_m2(F.col("l_lat"), F.col("l_lon"), F.col("r_lat"), F.col("r_lon"))) / F.lit(speed)
+    held, sure = F.col("l_n") * F.col("r_n"), most <= limit - margin
+    keys = [f"{s}_{c}" for s in "lr" for c in ("cx", "cy", "cz")]
+    whole, parts = 0, []
+    for k, width in enumerate(COUNT_WIDTHS):
+        step = F.when(sure, "whole").when((held > split_over) & F.lit(width > COUNT_WIDTHS[-1]), "split").otherwise("points")
+        met = materialise(pairs.where(least <= limit + margin).withColumn("step", step), "count-pairs")
+        done = met.agg(F.sum(F.when(F.col("step") == "whole", held)).alias("n"), F.count_if(F.col("step") == "split").alias("split"),
+                       F.count_if(F.col("step") == "points").alias("points")).first()
+        whole += done.n or 0
+        if done.points:
+            close, by = met.where("step = 'points'").select(keys), width // COUNT_WIDTHS[-1]
+            close = _under(_under(close, lhs, "l", by), rhs, "r", by)
+            parts.append(close.where(F.col("l_cost") + way + F.col("r_cost") <= limit).agg(F.sum(held).alias("n")))
+        if not done.split:
+            break
+        pairs, by = met.where("step = 'split'").select(keys), width // COUNT_WIDTHS[k + 1]
+        pairs = _under(_under(pairs, l_levels[k + 1], "l", by), r_levels[k + 1], "r", by)
+    first = left.sparkSession.range(1).select(F.lit(whole).cast("long").alias("n"))
+    return reduce(DataFrame.union, parts, first).agg(F.sum("n").alias("n"))
+
+
 #: Latitudes for which great-circle neighbours follow from planar ones.
 GREAT_CIRCLE_BAND = (0.0, 55.0)
 

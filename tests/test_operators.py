@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from civicgraph.functions.indexing import sequential_index
-from civicgraph.functions.numeric import LAT_M, LON_M, round_even, zero_pad
+from civicgraph.functions.numeric import LAT_M, LON_M, planar_m2, round_even, zero_pad
 from civicgraph.operators import cases as C
 from civicgraph.operators import clean as B
 from civicgraph.operators import graph as G
@@ -427,3 +427,21 @@ def test_filters_and_columns_reach_the_scan(spark, sf_dir):
     import __spark_entry__ as entry
     text = plan(entry.queries()["scan_parquet"](spark, sf_dir))
     assert "GreaterThan(o_totalprice" in text and "o_orderdate" not in text
+
+
+@pytest.mark.parametrize("split_over", [0, 40, 1 << 16])
+def test_pairs_within_cost_equal_all_pairs(spark, split_over):
+    """Counted cell by cell at any depth; one place holds a third of the points, some have no cost or place."""
+    dice = random.Random(5)
+
+    def side(n):
+        rows = [(40.7, -73.9, 4.0, 1)] * (n // 3)
+        rows += [(40.5 + dice.random() * .5, -74.2 + dice.random() * .6, dice.random() * 30, dice.randint(1, 3)) for _ in range(n)]
+        return rows + [(None, -74.0, 1.0, 1), (40.7, None, 1.0, 1), (40.7, -74.0, None, 1), (40.7, -74.0, 61.0, 1), (40.7, -73.9, 60.0, 1)]
+    a, b = side(60), side(90)
+    frames = [spark.createDataFrame(x, "lat double, lon double, cost double, n long") for x in (a, b)]
+    expected = frames[0].alias("l").crossJoin(frames[1].alias("r")).where(
+        F.col("l.cost") + F.sqrt(planar_m2(F.col("l.lat"), F.col("l.lon"), F.col("r.lat"), F.col("r.lon"))) / 500.0 + F.col("r.cost")
+        <= 60.0).agg(F.sum(F.col("l.n") * F.col("r.n"))).first()[0]
+    assert spatial.count_within_cost(*frames, 500.0, 60.0, split_over=split_over).first().n == expected > 1000
+    assert spatial.count_within_cost(frames[0], frames[1].limit(0), 500.0, 60.0).first().n == 0
