@@ -13,11 +13,25 @@ How it runs
      class) a promising partner from its lists, checks those pairs exactly, and
      merges what links. From then on a class takes over the answers of its group:
      classes known to be connected are not compared. Crowded lists get more rounds.
-  4. Index-level skipping. What is left is compared across groups. A list is
-     cut into blocks ordered by size; a block is skipped as a whole when its
-     sizes or its best remaining position cannot reach the overlap needed.
-     Long lists are dealt out as pairs of blocks. All surviving pairs are
-     checked on the full sets, so no link between different texts is lost.
+  4. Answers by differences. Of the classes left in several groups each names a
+     similar class R that many others name too, and is kept as what it lacks of
+     R (d shingles) and adds to it (a shingles). Sets X and Z of one R have
+     |R| - d(X) - d(Z) + common differences in common, so they link just when
+     their differences share (w(X) + w(Z)) / 350 entries, where
+     w = 200 d + 150 a - 25 |R|. What R answers for X follows from w alone;
+     pairs that R links are connected by it; any other pair has to share
+     differences, and only an index over these proposes it. Texts
+     that were each changed elsewhere share hardly any, and are never paired.
+  5. Index-level skipping. What is left, classes of different R, is compared
+     across groups. A list is cut into blocks ordered by size; a block is
+     skipped as a whole when its sizes or its best remaining position cannot
+     reach the overlap needed. Long lists are dealt out as pairs of blocks.
+  6. Bounds first, full sets last. A set's sketch has one bit for the parity of
+     each of SKETCH classes of its shingles, so shingles in common cancel out: odd
+     bits of two sketches are no more than the shingles that only one set has.
+     Pairs that steps 4 and 5 propose and whose sketches allow a link are checked
+     on the full sets, so no link between different texts is lost. Sets of more
+     than about four SKETCH shingles have sketches that rule out little.
 
 Defined results: null, empty or blank text has no shingles and links with
 nothing; a text of one to four words is one shingle; rows that repeat an id
@@ -44,7 +58,7 @@ BUCKET_BITS = 20
 CHUNK = 1 << 14
 #: Rounds of step 3 go on while the lists hold more than CROSSING pairs across groups
 #: for each of their entries and a round leaves at most GAIN of them, at most ROUNDS
-#: times. Step 4 is complete in any case.
+#: times. Steps 4 and 5 are complete in any case.
 CROSSING = 64
 GAIN = 0.8
 ROUNDS = 8
@@ -54,6 +68,8 @@ BLOCK = 1024
 HOT = 1 << 20
 #: Longest list whose entries are compared where the lists are made.
 WIDE = 32
+#: Bits of a sketch.
+SKETCH = 512
 MEMO = 120_000
 SLICE = 200
 
@@ -276,6 +292,109 @@ def _shared(order):
     return run
 
 
+# ---- answers by differences ----------------------------------------------
+
+DIFFERENCES = "sig long, cls long, comp long, rep long, size int, rest int, need int, linked boolean, sketch binary"
+
+
+def _sketch(s):
+    """The parities of the shingles in each of SKETCH classes, as bytes."""
+    return np.packbits((np.bincount((mix(s ^ _FACTORS[4]) % U64(SKETCH)).astype(np.int64),
+                                    minlength=SKETCH) & 1).astype(bool)).tobytes()
+
+
+def _likenesses(several: DataFrame) -> DataFrame:
+    """(cls, comp, rep): the class that each class of a list is to be told apart from.
+
+    It names the most central of its lists' pivots, among those met at least half
+    as often as any, which names one in its turn: two jumps bring neighbours together.
+    """
+    rank = F.struct((-F.floor(4 * F.log2("entries"))).alias("near"), F.xxhash64("cls").alias("by"))
+    pivot = several.groupBy("sig").agg(F.min(F.struct(rank.alias("r"), "cls", "size")).alias("p"))
+    met = several.join(pivot, "sig").where("2 * least(size, p.size) >= greatest(size, p.size)")
+    often = met.groupBy("cls", "comp", F.col("p.r").alias("r"), F.col("p.cls").alias("b")) \
+        .agg(F.count(F.lit(1)).alias("times"))
+    most = often.withColumn("most", F.max("times").over(W.partitionBy("cls")))
+    best = most.where("2 * times >= most").groupBy("cls", "comp").agg(F.min(F.struct("r", "b")).alias("x"))
+    named = materialise(best.select("cls", "comp", F.col("x.b").alias("rep")), "op1-named")
+    for _ in range(2):
+        onto = named.select(F.col("cls").alias("rep"), F.col("rep").alias("to"))
+        named = materialise(named.join(onto, "rep", "left")
+                            .select("cls", "comp", F.coalesce("to", "rep").alias("rep")), "op1-named")
+    return named
+
+
+def _difference(base, s, order):
+    """(entries, rest, need) of a set told apart from ``base``, or None if they are too unlike.
+
+    Entries are hashes of what it adds, rare shingles first, and then of what it
+    lacks, common ones first, as few sets lack the same of those. Only the
+    positions stay from which a set that ``base`` does not answer for can be reached.
+    """
+    added = np.setdiff1d(s, base, assume_unique=True)
+    lacked = np.setdiff1d(base, s, assume_unique=True)
+    d, a, r = len(lacked), len(added), len(base)
+    if 2 * (r - d) < max(r, len(s)):            # less than half of the larger one in common
+        return None
+    need = 200 * d + 150 * a - 25 * r
+    added = added[np.lexsort((added, order[_slot(added)]))]
+    lacked = lacked[np.lexsort((lacked, -order[_slot(lacked)]))]
+    entries = np.concatenate([mix(added ^ _FACTORS[2]), mix(lacked ^ _FACTORS[3])])
+    rest = d + a - np.arange(d + a)
+    least = need + 25 * r if need <= 25 * r else need - 25 * r  # need of itself and of any partner in another group
+    far = 350 * rest >= least
+    return entries[far], rest[far], need
+
+
+def _differences(order):
+    """Index entries of each member's differences, after a row (without sig) for the member itself.
+
+    A member too unlike its class is told apart from itself and has no entries.
+    """
+    def run(batches):
+        import pyarrow as pa
+        schema = pa.schema([("sig", pa.int64()), ("cls", pa.int64()), ("comp", pa.int64()), ("rep", pa.int64()),
+                            ("size", pa.int32()), ("rest", pa.int32()), ("need", pa.int32()),
+                            ("linked", pa.bool_()), ("sketch", pa.binary())])
+        table = order.value
+        out, held = [], 0
+        for batch in batches:
+            raw, base = (batch.column(batch.schema.get_field_index(c)) for c in ("shingles", "base"))
+            for k, cls, comp, rep in zip(range(batch.num_rows), *(ids_of(batch, c) for c in ("cls", "comp", "rep"))):
+                s, b = np.frombuffer(raw[k].as_buffer(), U64), np.frombuffer(base[k].as_buffer(), U64)
+                entries, rest, need = _difference(b, s, table) or (np.empty(0, U64), np.empty(0, np.int64), None)
+                if need is None:
+                    rep, need, linked = cls, 0, False
+                else:
+                    linked = need <= 25 * len(b)
+                n = len(entries) + 1
+                key = mix(entries ^ np.array([rep], np.int64).view(U64)).view(np.int64)
+                out.append(pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([pa.nulls(1, pa.int64()), pa.array(key)])] +
+                    [pa.array(np.full(n, x), f.type) for x, f in zip((cls, comp, rep, len(s)), list(schema)[1:5])] +
+                    [pa.array(np.r_[0, rest], pa.int32()), pa.array(np.full(n, need), pa.int32()),
+                     pa.array(np.full(n, linked)), pa.array([_sketch(s)] * n, pa.binary())], schema=schema))
+                held += n
+                if held > 50_000:
+                    yield from pa.Table.from_batches(out, schema).combine_chunks().to_batches()
+                    out, held = [], 0
+        if held:
+            yield from pa.Table.from_batches(out, schema).combine_chunks().to_batches()
+    return run
+
+
+def _told_apart(several, sets, order, scratch):
+    """The rows of ``_differences`` for all classes of these lists; many members of one R go to several tasks."""
+    members = _likenesses(several)
+    crowd = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("lanes"))
+    base = crowd.join(sets.select(F.col("cls").alias("rep"), F.col("shingles").alias("base")), "rep") \
+        .withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+    full = members.join(crowd, "rep").withColumn("lane", F.pmod(F.xxhash64("cls"), "lanes").cast("int")) \
+        .drop("lanes").join(sets, "cls")
+    both = full.join(base.drop("lanes"), ["rep", "lane"]).select("cls", "comp", "rep", "shingles", "base")
+    return scratch.write(both.mapInArrow(_differences(order), DIFFERENCES), "op1-differences")
+
+
 # ---- candidates and exact checks -----------------------------------------
 
 def _fits(size_a, rest_a, size_b, rest_b):
@@ -306,8 +425,10 @@ def _promising(lists: DataFrame, turn: int, central: bool) -> DataFrame:
 def _cross(batches):
     """All pairs of a list that can link across groups; long lists as block pairs.
 
-    Rows come sorted by shingle and size. Yields pairs (a, b), or two packed
-    blocks that another task compares.
+    Rows come sorted by shingle and need. Yields pairs (a, b), or two packed
+    blocks that another task compares. Without other columns a set needs 150
+    times its size (two sets link at 350 common shingles for what they need
+    together), is told apart from itself and has an empty sketch.
     """
     import pyarrow as pa
     names = ["a", "b", "left", "right"]
@@ -316,21 +437,31 @@ def _cross(batches):
         none = pa.nulls(len(a), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none], names=names)
 
-    def one_list(cls, comp, size, rest):
-        n = len(cls)
+    def columns(batch):
+        found = {c: batch.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(batch.schema.names)}
+        rows, words = batch.num_rows, SKETCH // 64
+        found.setdefault("rep", found["cls"])
+        found.setdefault("need", 150 * found["size"].astype(np.int64))
+        sketch = np.frombuffer(b"".join(found["sketch"]), np.int64).reshape(rows, words) if "sketch" in found \
+            else np.zeros((rows, words), np.int64)
+        return [found["sig"], *(found[c].astype(np.int64) for c in ("cls", "comp", "rep", "size", "rest", "need")), *sketch.T]
+
+    def one_list(*cols):
+        size, rest, need = cols[3:6]
+        n = len(size)
         cuts = range(0, n, BLOCK)
         for i in cuts:
             for j in cuts:
                 if j < i:
                     continue
                 x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
-                if 100 * size[x].max() < PERCENT * size[y].min() or \
-                        (100 + PERCENT) * min(rest[x].max(), rest[y].max()) < PERCENT * (size[x].min() + size[y].min()):
+                if 100 * size[x].max() < PERCENT * size[y].min() or 100 * size[y].max() < PERCENT * size[x].min() or \
+                        350 * min(rest[x].max(), rest[y].max()) < need[x].min() + need[y].min():
                     continue    # no pair of these blocks can link
                 if n <= BLOCK:
-                    yield _block_pairs(cls[x], comp[x], size[x], rest[x], cls[y], comp[y], size[y], rest[y], i == j)
+                    yield _block_pairs([c[x] for c in cols], [c[y] for c in cols], i == j)
                 else:
-                    pack = [np.stack([cls[z], comp[z], size[z], rest[z]]).astype("<i8").tobytes() for z in (x, y)]
+                    pack = [np.stack([c[z] for c in cols]).astype("<i8").tobytes() for z in (x, y)]
                     yield pa.RecordBatch.from_arrays(
                         [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
                          pa.array([pack[0]], pa.binary()), pa.array([pack[1]], pa.binary())], names=names)
@@ -338,8 +469,7 @@ def _cross(batches):
     held, out_a, out_b, count = None, [], [], 0
     for batch in itertools.chain(batches, [None]):
         if batch is not None:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-                    for c in ("sig", "cls", "comp", "size", "rest")]
+            cols = columns(batch)
             if held is not None:
                 cols = [np.concatenate(z) for z in zip(held, cols)]
             sig = cols[0]
@@ -356,8 +486,7 @@ def _cross(batches):
         for i, j in zip(cuts[:-1], cuts[1:]):
             if j - i < 2:
                 continue
-            _, cls, comp, size, rest = (c[i:j] for c in done)
-            for found in one_list(cls, comp, size, rest):
+            for found in one_list(*(c[i:j] for c in done[1:])):
                 if isinstance(found, tuple):
                     out_a.append(found[0])
                     out_b.append(found[1])
@@ -376,12 +505,22 @@ def _unique(a, b):
     return both[0], both[1]
 
 
-def _block_pairs(cls, comp, size, rest, cls2, comp2, size2, rest2, same):
-    ok = _fits(size[:, None].astype(np.int64), rest[:, None].astype(np.int64),
-               size2[None].astype(np.int64), rest2[None].astype(np.int64)) & (comp[:, None] != comp2[None])
+def _block_pairs(left, right, same):
+    """The pairs of two blocks of a list that can link, of different groups and told apart from different classes."""
+    cls, comp, rep, size, rest, need = (c[:, None] for c in left[:6])
+    cls2, comp2, rep2, size2, rest2, need2 = (c[None] for c in right[:6])
+    ok = ((100 * np.minimum(size, size2) >= PERCENT * np.maximum(size, size2)) &
+          (350 * np.minimum(rest, rest2) >= need + need2) & (comp != comp2) & (rep != rep2))
+    cls, cls2 = cls[:, 0], cls2[0]
     if same:
         ok = np.triu(ok, 1)
     i, j = np.nonzero(ok)
+    odd = np.zeros(len(i), np.int64)
+    for one, two in zip(left[6:], right[6:]):
+        odd += np.bitwise_count((one[i] ^ two[j]).view(U64))
+    # linked sets differ in at most (100 - PERCENT) of (100 + PERCENT) parts of their sizes
+    may = (100 + PERCENT) * odd <= (100 - PERCENT) * (left[3][i] + right[3][j])
+    i, j = i[may], j[may]
     return np.minimum(cls[i], cls2[j]), np.maximum(cls[i], cls2[j])
 
 
@@ -389,8 +528,8 @@ def _blocks(batches):
     import pyarrow as pa
     for batch in batches:
         for left, right in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("left", "right"))):
-            x, y = (np.frombuffer(z, "<i8").reshape(4, -1) for z in (left, right))
-            a, b = _block_pairs(*x, *y, left == right)
+            x, y = (np.frombuffer(z, "<i8").reshape(6 + SKETCH // 64, -1) for z in (left, right))
+            a, b = _block_pairs(x, y, left == right)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
@@ -509,13 +648,19 @@ def ngram_components(docs: DataFrame, id_col="doc_id", text_col="text") -> DataF
         if crossing <= CROSSING or crossing > GAIN * before:
             break
         before = crossing
-    several = mixed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    several = mixed.join(several.select("sig"), "sig")
-    found = scratch.write(several.repartition(parts, "sig").sortWithinPartitions("sig", "size")
-                        .mapInArrow(_cross, "a long, b long, left binary, right binary"), "op1-cross")
+    several = scratch.write(_of_several(mixed, "comp"), "op1-several")
+    apart = _told_apart(several, sets, order, scratch)
+    members = apart.where("sig is null").select("cls", "rep", "linked", "sketch")
+    direct = several.join(members, "cls").withColumn("need", 150 * F.col("size"))
+    changed = _of_several(apart.where("sig is not null"), "comp").withColumn("rep", F.col("cls"))
+    columns = ["sig", "cls", "comp", "rep", "size", "rest", "need", "sketch"]
+    left = _of_several(direct, "rep").select(columns).unionByName(changed.select(columns))
+    found = scratch.write(left.repartition(parts, "sig").sortWithinPartitions("sig", "need")
+                          .mapInArrow(_cross, "a long, b long, left binary, right binary"), "op1-cross")
     dealt = found.where("a is null").select("left", "right").repartition(parts, F.crc32("left"), F.crc32("right"))
     pairs = found.where("a is not null").select("a", "b").union(dealt.mapInArrow(_blocks, "a long, b long")).distinct()
-    groups = _relabel(groups, _links(pairs, sets, scratch), scratch)
+    derived = members.where("linked and cls <> rep").select(F.col("cls").alias("a"), F.col("rep").alias("b"))
+    groups = _relabel(groups, _links(pairs, sets, scratch).union(derived), scratch)
     scratch.drop()
 
     named = rows.join(groups.select(F.col("node").alias("cls"), "comp"), "cls", "left")
@@ -526,6 +671,12 @@ def ngram_components(docs: DataFrame, id_col="doc_id", text_col="text") -> DataF
                       F.coalesce("least", "doc_id").alias("component_id"), F.col("cls").alias("class_id"))
 
 
+def _of_several(lists, by):
+    """The lists that hold more than one value of a column."""
+    ends = lists.groupBy("sig").agg(F.min(by).alias("lo"), F.max(by).alias("hi")).where("lo <> hi")
+    return lists.join(ends.select("sig"), "sig")
+
+
 def _with_groups(lists, groups):
     if groups is None:
         return lists.withColumn("comp", F.col("cls"))

@@ -147,3 +147,79 @@ def test_rows_without_an_id_link_others(spark):
            jaccard.ngram_components(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got[1, 116] == got[None, 116] == got[3, 116] == 1
     assert got[None, 1] is None and got[8, 1] == 8 and got[None, 0] is None
+
+
+def near_misses(seed, n, size, most):
+    """A set, and sets that differ from it in up to ``most`` of its entries, some by the same changes."""
+    import numpy as np
+    rng = np.random.default_rng(seed)
+    base = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+    changes = rng.integers(0, 1 << 64, 3 * most, dtype=np.uint64)
+    out = []
+    for _ in range(n):
+        k = rng.integers(0, most + 1)
+        kept = np.delete(base, rng.choice(len(base), k, replace=False))
+        out.append(np.unique(np.r_[kept, rng.choice(changes, k), rng.integers(0, 1 << 64, k // 4, dtype=np.uint64)]))
+        if rng.random() < 0.5:                                      # and some differ little from such a set
+            last = out[-1]
+            again = np.delete(last, rng.choice(len(last), len(last) // 12, replace=False))
+            out.append(np.unique(np.r_[again, rng.integers(0, 1 << 64, len(last) // 20, dtype=np.uint64)]))
+    return base, out
+
+
+@pytest.mark.parametrize("seed, size, most", [(1, 60, 30), (2, 200, 60), (3, 8, 6)])
+def test_differences_answer_for_pairs(seed, size, most):
+    import itertools
+    import numpy as np
+    base, sets = near_misses(seed, 60, size, most)
+    order = np.random.default_rng(9).integers(0, 50, 1 << jaccard.BUCKET_BITS)
+
+    def links(x, y):
+        both = len(np.intersect1d(x, y))
+        return 100 * both >= 75 * (len(x) + len(y) - both)
+    told = [jaccard._difference(base, s, order) for s in sets]
+    checked = 0
+    for (x, one), (y, two) in itertools.combinations(zip(sets, told), 2):
+        if one is None or two is None:
+            continue
+        by_base = [t[2] <= 25 * len(base) for t in (one, two)]
+        assert by_base == [links(base, x), links(base, y)]          # R's answers follow from the need alone
+        if links(x, y) and not all(by_base):                        # every other link shares an entry in reach
+            rest = {int(e): int(r) for e, r in zip(one[0], one[1])}
+            assert any(350 * min(rest.get(int(e), -1), int(r)) >= one[2] + two[2] for e, r in zip(two[0], two[1]))
+            checked += 1
+    assert checked
+
+
+def test_sketches_rule_out_no_link():
+    import numpy as np
+    for seed, size, most in ((4, 40, 12), (5, 300, 60), (6, 3000, 700)):
+        _, sets = near_misses(seed, 40, size, most)
+        n, words = len(sets), jaccard.SKETCH // 64
+        sketch = np.frombuffer(b"".join(map(jaccard._sketch, sets)), np.int64).reshape(n, words)
+        ids, size = np.arange(n), np.array([len(s) for s in sets])
+        cols = [ids, ids, ids, size, size, 0 * size, *sketch.T]
+        a, b = jaccard._block_pairs(cols, cols, True)
+        kept, linked = set(zip(a.tolist(), b.tolist())), set()
+        for i in range(n):
+            for j in range(i + 1, n):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                    linked.add((i, j))
+        assert linked <= kept and linked
+        if len(sets[0]) < 1000:
+            assert len(kept - linked) < n * (n - 1) / 8             # and they rule out most others
+
+
+def test_group_whose_members_nearly_link(spark, monkeypatch):
+    checked = []
+    verify = jaccard._links
+
+    def count(pairs, sets, scratch):
+        checked.append(pairs.count())
+        return verify(pairs, sets, scratch)
+    monkeypatch.setattr(jaccard, "_links", count)
+    texts = near_copies(11, 200, words=120, edits=14)
+    rows = [(k, t) for k, t in enumerate(texts + near_copies(12, 30, edits=12, base=texts[7].split()))]
+    assert found(spark, rows) == brute(rows)
+    assert checked[-1] < 8 * len(rows)              # all pairs: 26335
