@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numeric import WALK_M_PER_MIN, col, haversine_miles, planar_m2, round_even
+from ..functions.session import materialise
 from ..functions.text import first_match, literal, lookup, quote, structs
 from .clean import norm_borough
 from .spatial import knn
@@ -324,6 +325,7 @@ def map_centre(rows: DataFrame) -> DataFrame:
 
 
 GRAM = 3
+COMMON_SHARE, COMMON_PARTS = 100, 64
 
 
 def _grams(c, n) -> Column:
@@ -339,7 +341,8 @@ def name_lookup(names: DataFrame, mart: DataFrame, by="query") -> DataFrame:
     Substring search as an equi-join: each distinct text is looked up through
     its rarest three-letter piece, so only names sharing that piece are
     compared. Shorter texts are pieces themselves; an empty text is in every
-    name.
+    name. A piece of more than one in COMMON_SHARE names is dealt over COMMON_PARTS
+    parts, so that no task reads all names that share it.
     """
     texts = names.select(F.lower(by).alias("_q")).where(F.col("_q").isNotNull()).distinct()
     rows = mart.select("resource_id", "name", "resource_type", "address", F.lower("name").alias("_n"))
@@ -348,9 +351,18 @@ def name_lookup(names: DataFrame, mart: DataFrame, by="query") -> DataFrame:
     counts = by_gram.groupBy("_g").agg(F.count(F.lit(1)).alias("_c"))
     own = F.when(F.length("_q") >= GRAM, _grams("_q", GRAM)).otherwise(F.array("_q"))
     rarest = (texts.where("length(_q) > 0").withColumn("_g", F.explode(own)).join(counts, "_g")
-              .groupBy("_q").agg(F.min(F.struct("_c", "_g"))["_g"].alias("_g")))
+              .groupBy("_q").agg(F.min(F.struct("_c", "_g")).alias("_r")).select("_q", "_r._c", "_r._g"))
+    rarest = materialise(rarest, "rarest-grams")
+    # a piece is common by its share of all names, so there are few of them however many names there are
+    n = rows.agg(F.count(F.lit(1)).alias("n")).scalar()
+    common = F.col("_c") * COMMON_SHARE > n
+    listed = rarest.where(common).agg(F.collect_set("_g").alias("g")).scalar()
+    texts_by_gram = rarest.select("_q", "_g", F.explode(F.when(common, F.sequence(F.lit(0), F.lit(COMMON_PARTS - 1)))
+                                                        .otherwise(F.array(F.lit(0)))).alias("_part"))
+    part = F.when(F.array_contains(listed, F.col("_g")), F.pmod(F.xxhash64("resource_id"), F.lit(COMMON_PARTS)).cast("int"))
+    names_by_gram = by_gram.withColumn("_part", F.coalesce(part, F.lit(0)))
     row = F.struct("resource_id", "name", "resource_type", "address")
-    found = (rarest.join(by_gram, "_g").where(F.contains("_n", "_q"))
+    found = (texts_by_gram.join(names_by_gram, ["_g", "_part"]).where(F.contains("_n", "_q"))
              .groupBy("_q").agg(F.min(row).alias("m")))
     blank = rows.where("_n IS NOT NULL").groupBy().agg(F.min(row).alias("m")).select(F.lit("").alias("_q"), "m")
     first = found.unionByName(blank)
