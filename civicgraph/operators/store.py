@@ -7,6 +7,10 @@ in which the positions it fixes come first, so that Spark prunes folders and
 Parquet skips row groups whose range of numbers does not hold the one asked
 for; only the positions left open are turned back into terms.
 
+Where names of one table are paired with each other, the pairs can be far more
+than the names. ``write`` takes such triples as links, made from the numbers of
+the names: no name is looked up, shuffled or counted once per pair.
+
 Predicates stay names: they are few, name the folders, and need no join.
 Objects that many triples share are one row of the dictionary; the joins that
 encode them are split by Spark where a key is skewed.
@@ -15,10 +19,13 @@ encode them are split by Spark where a key is skewed.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import work_path
+from ..functions.indexing import sequential_index
+from ..functions.session import materialise, work_path
 
 #: Bytes of a row group: what a question reads at least.
 GROUP_BYTES = 8 << 20
+#: Triples that one task should sort, and bytes of them that it should read to sort, so that it need not spill.
+PART_ROWS, PART_BYTES = 2_000_000, 16 << 20
 #: Order of columns in each copy, and the positions it answers first.
 ORDERS = {"spo": ["s", "predicate", "o"], "pos": ["predicate", "o", "s"], "osp": ["o", "s", "predicate"]}
 
@@ -40,26 +47,52 @@ class TripleStore:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
     @classmethod
-    def write(cls, triples: DataFrame, folder=None) -> "TripleStore":
-        """Encode (subject, predicate, object_val, confidence, source); triples with a null among the first three are left out."""
+    def write(cls, triples: DataFrame, folder=None, links=()) -> "TripleStore":
+        """Encode (subject, predicate, object_val, confidence, source); triples with a null among the first three are left out.
+
+        Each of ``links`` is (table, name, make): ``make`` gets the table with numbers in place of the
+        names in column ``name``, which sort as the names do, and returns triples of such numbers.
+        All names of the table become terms.
+        """
         spark = triples.sparkSession
         store = cls(spark, folder or work_path(spark, "triple-store"))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        triples = triples.where("subject is not null and predicate is not null and object_val is not null")
-        terms = triples.select(F.explode(F.array("subject", "object_val")).alias("term")).distinct()
-        store._put(terms.repartitionByRange(parts, "term").sortWithinPartitions("term")
-                   .select(F.monotonically_increasing_id().alias("id"), "term"), "terms")
+        whole = "subject is not null and predicate is not null and object_val is not null"
+        triples = materialise(triples.where(whole), "triples")
+        terms = triples.select(F.explode(F.array("subject", "object_val")).alias("term"))
+        for table, key, _ in links:
+            terms = terms.unionByName(table.select(F.col(key).alias("term")).where("term is not null"))
+        terms = materialise(terms.distinct().repartitionByRange(parts, "term").sortWithinPartitions("term")
+                            .select(F.monotonically_increasing_id().alias("_id"), "term"), "terms")
+        # numbers without gaps are short: what is shuffled and written below is little else
+        store._put(sequential_index(terms, ["_id"], "_id", width=1 << 33, out="id").select("id", "term"), "terms")
         name = lambda term, number: store.table("terms").select(F.col("term").alias(term), F.col("id").alias(number))
         coded = triples.join(name("subject", "s"), "subject").join(name("object_val", "o"), "object_val")
         store._put(coded.select("s", "predicate", "o", "confidence", "source"), "coded")
-        for order, columns in ORDERS.items():
+        rows = store.table("coded")
+        for table, key, make in links:
+            numbered = materialise(table.join(name(key, "_number"), key).withColumn(key, F.col("_number")).drop("_number"), "numbered")
+            rows = rows.unionByName(make(numbered).where(whole).select(
+                F.col("subject").alias("s"), "predicate", F.col("object_val").alias("o"), "confidence", "source"))
+        parts = max(parts, -(-rows.count() // PART_ROWS))
+        for order in ("spo", "osp"):
+            columns = ORDERS[order]
             # confidence last, so that equal triples from many sources can be dealt apart
-            ordered = store.table("coded").repartitionByRange(parts, *columns, "confidence", "source").sortWithinPartitions(*columns)
-            store._put(ordered, order, "predicate" if order == "pos" else None)
+            ordered = rows.repartitionByRange(parts, *columns, "confidence", "source").sortWithinPartitions(*columns)
+            store._put(ordered, order)
+            rows = store.table("spo")
+        # sorted by object already: a task sorts what it reads by predicate, and nothing is shuffled
+        size = "spark.sql.files.maxPartitionBytes"
+        before = spark.conf.get(size)
+        spark.conf.set(size, str(PART_BYTES))
+        try:
+            store._put(store.table("osp").sortWithinPartitions(*ORDERS["pos"]), "pos", "predicate")
+        finally:
+            spark.conf.set(size, before)
         return store
 
     def _put(self, df, name, by=None):
-        out = df.write.option("parquet.block.size", GROUP_BYTES)
+        out = df.write.option("parquet.block.size", GROUP_BYTES).option("compression", "zstd")
         (out.partitionBy(by) if by else out).parquet(f"{self.folder}/{name}")
 
     def number(self, term) -> int:

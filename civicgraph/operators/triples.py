@@ -251,10 +251,13 @@ def triple_stats(triples: DataFrame) -> DataFrame:
     return totals.select("stat", F.lit("").alias("key"), "value").unionByName(by_source).unionByName(top)
 
 
-def build_triples(mart, incidents, complaints, lots, stations) -> DataFrame:
+def build_triples(mart, incidents, complaints, lots, stations, colocated=True) -> DataFrame:
+    """Triples of all kinds; without ``colocated`` the pairs of places are left for the caller to add."""
     parts = [resource_triples(mart), crime_triples(mart, incidents), complaint_triples(mart, complaints),
-             score_triples(mart), lot_rollup_triples(lots), lot_triples(lots), station_triples(stations),
-             colocation_triples(mart), density_triples(mart)]
+             score_triples(mart), lot_rollup_triples(lots), lot_triples(lots), station_triples(stations)]
+    if colocated:
+        parts.append(colocation_triples(mart))
+    parts.append(density_triples(mart))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

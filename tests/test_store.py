@@ -77,3 +77,26 @@ def test_terms_sort_as_their_numbers_and_nulls_are_left_out(spark):
     assert store.match().count() == 4 and store.match(subject="").first().object_val == ""
     assert [r.subject for r in store.subjects_with(("P", "b"), ("P", "b")).collect()] == ["a"]
     assert store.subjects_with(("P", "b"), ("P", "é")).count() == 0
+
+
+def test_pairs_made_from_numbers_give_the_same_store(spark, sf_dir):
+    """Pairs as links: the same triples in every copy, and no name of a pair is looked up."""
+    from civicgraph.operators import triples as T
+    from civicgraph.operators.store import ORDERS, TripleStore
+    from civicgraph.plans.registry import Views
+    from civicgraph.plans.triple_queries import store, written_store
+    v = Views(spark, sf_dir)
+    found, want = written_store(v), store(v)
+    assert sorted(map(tuple, found.match().collect())) == sorted(map(tuple, want.collect()))
+    for order in ORDERS:
+        assert found.table(order).count() == want.count()
+    assert found.table("coded").where("predicate = 'CO_LOCATED_WITH'").isEmpty()
+    assert not found.table("pos").where("predicate = 'CO_LOCATED_WITH'").isEmpty()
+    # names may repeat or be null, and some are in pairs only
+    rows = [("b", "x", 1.0, 1.0), ("a", "y", 1.0, 1.0), ("a", "y", 1.0, 1.0), ("é", "y", 1.0, 1.0), (None, "z", 1.0, 1.0), ("c", "x", 9.0, 9.0)]
+    places = spark.createDataFrame(rows, "resource_id string, resource_type string, latitude double, longitude double")
+    other = spark.createDataFrame([("a", "P", "q", .5, "s")], "subject string, predicate string, object_val string, confidence double, source string")
+    got = TripleStore.write(other, links=[(places, "resource_id", T.colocation_triples)])
+    pairs = sorted((r.subject, r.object_val) for r in got.match(predicate="CO_LOCATED_WITH").collect())
+    assert pairs == sorted((r.subject, r.object_val) for r in T.colocation_triples(places).collect()) == [("a", "b"), ("a", "b"), ("b", "é")]
+    assert [r.id for r in got.table("terms").orderBy("term").collect()] == [0, 1, 2, 3, 4]
