@@ -94,49 +94,64 @@ ALERT_SCHEMA = "case_id long, resource string, opened_at_ms long, due_at_ms long
 
 
 class SlaAlert(StatefulProcessor):
-    """One alert when a chosen place has not been settled in time.
+    """One alert for each place of a case when it was chosen and not settled in time.
 
     A row later than the deadline proves it passed even before the watermark
-    does; the timer covers keys that fall silent.
+    does; the timer covers places that fall silent. A case keeps its places
+    (place -> [opened, done]) and one timer, at the earliest deadline open.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", StructType([
-            StructField("opened", LongType()), StructField("done", IntegerType())]))
-
-    def _alert(self, key, opened):
-        self.state.update((opened, 1))
-        return pd.DataFrame([(key[0], key[1], opened, opened + SLA_MINUTES * 60_000)],
+            StructField("json", StringType()), StructField("timer", LongType())]))
+
+    def _keep(self, places, timer):
+        """Store the places, and have the timer stand at the earliest deadline; ``timer``: where it stands."""
+        due = min((opened + SLA_MINUTES * 60_000 for opened, done in places.values() if not done), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        self.state.update((dump_state(places), due))
+
+    def _alerts(self, key, places, late):
+        return pd.DataFrame([(key[0], p, places[p][0], places[p][0] + SLA_MINUTES * 60_000) for p in late],
                             columns=["case_id", "resource", "opened_at_ms", "due_at_ms"])
 
     def handleInputRows(self, key, rows, timerValues):
-        opened, done = self.state.get() if self.state.exists() else (None, 0)
-        if done:
-            return
-        before = opened
+        text, timer = self.state.get() if self.state.exists() else ("", None)
+        places, late = load_state(text), []
         for e in _in_order(rows).itertuples(index=False):
-            at = _ms(e.ts)
-            if opened is None:
-                opened = at if e.action == "choose" else None
-            elif at > opened + SLA_MINUTES * 60_000:
-                if before is not None:
-                    self.handle.deleteTimer(before + SLA_MINUTES * 60_000)
-                yield self._alert(key, opened)
-                return
+            place = places.get(e.resource)
+            if place is None:
+                if e.action == "choose":
+                    places[e.resource] = [_ms(e.ts), 0]
+            elif place[1]:
+                continue
+            elif _ms(e.ts) > place[0] + SLA_MINUTES * 60_000:
+                place[1] = 1
+                late.append(e.resource)
             elif e.action in CLOSING_ACTIONS:
-                if before is not None:
-                    self.handle.deleteTimer(before + SLA_MINUTES * 60_000)
-                self.state.update((opened, 1))
-                return
-        if opened is not None and before is None:
-            self.state.update((opened, 0))
-            self.handle.registerTimer(opened + SLA_MINUTES * 60_000)
+                place[1] = 1
+        if places:
+            self._keep(places, timer)
+        if late:
+            yield self._alerts(key, places, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        opened, done = self.state.get()
-        if not done:
-            yield self._alert(key, opened)
+        text, timer = self.state.get()
+        places, fired = load_state(text), expiredTimerInfo.getExpiryTimeInMs()
+        if timer != fired:
+            return
+        # deadlines that the watermark has passed as well would not get a timer of their own in this batch
+        last = max(fired, timerValues.getCurrentWatermarkInMs())
+        late = [p for p, (opened, done) in places.items() if not done and opened + SLA_MINUTES * 60_000 <= last]
+        for p in late:
+            places[p][1] = 1
+        self._keep(places, None)   # the timer that fired is gone
+        yield self._alerts(key, places, late)
 
     def close(self) -> None:
         pass
@@ -144,7 +159,7 @@ class SlaAlert(StatefulProcessor):
 
 def sla_alerts_stream(events: DataFrame) -> DataFrame:
     cols = events.select("case_id", "resource", "event_id", "ts", "action")
-    return cols.groupBy("case_id", "resource").transformWithStateInPandas(
+    return cols.groupBy("case_id").transformWithStateInPandas(
         SlaAlert(), outputStructType=ALERT_SCHEMA, outputMode="Append", timeMode="EventTime")
 
 

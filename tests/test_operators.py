@@ -411,6 +411,26 @@ def test_fold_streams_cases_over_batches(spark, bound):
     assert sorted(got) == sorted(want) != []
 
 
+def test_sla_alerts_of_a_case_share_one_state(spark, tmp_path):
+    """Deadlines before and at the watermark, met, passed by a later row, not yet due; a place without a name."""
+    import datetime as d
+    from civicgraph.streaming import cases as S
+    at = lambda m: d.datetime(2024, 1, 1) + d.timedelta(minutes=m)
+    rows = [(1, 0, at(0), "choose", "a"), (1, 1, at(5), "choose", "b"), (1, 2, at(6), "choose", "c"), (1, 3, at(1), "choose", None),
+            (1, 4, at(9), "checkin_yes", None), (3, 5, at(5), "choose", "z"), (4, 6, at(2), "choose", "y"), (4, 7, at(18), "resolve", "y"),
+            (4, 8, at(30), "choose", "w"), (2, 9, at(20 + 60), "view", "x")]
+    path = str(tmp_path / "log")
+    log_ = spark.createDataFrame(rows, "case_id long, event_id long, ts timestamp_ntz, action string, resource string")
+    log_.coalesce(1).write.parquet(path)
+    S.prepare_session(spark)
+    stream = S.sla_alerts_stream(S.event_stream(spark, path, log_.schema))
+    grouped = re.search(r"TransformWithStateInPySpark.*?\)#\d+, (\d+),", stream._jdf.logicalPlan().toString())
+    assert grouped.group(1) == "1"   # by case alone, not by case and place
+    got = sorted((r.case_id, r.resource, r.due_at_ms - r.opened_at_ms) for r in S.run_to_table(stream, "sla").collect())
+    assert got == [(1, "a", 900_000), (1, "b", 900_000), (3, "z", 900_000), (4, "y", 900_000)]
+    assert got == sorted((r.case_id, r.resource, r.due_at_ms - r.opened_at_ms) for r in S.sla_alerts(log_).collect())
+
+
 # ---- Sources ----
 
 
