@@ -490,3 +490,18 @@ def test_pairs_within_cost_equal_all_pairs(spark, split_over):
         <= 60.0).agg(F.sum(F.col("l.n") * F.col("r.n"))).first()[0]
     assert spatial.count_within_cost(*frames, 500.0, 60.0, split_over=split_over).first().n == expected > 1000
     assert spatial.count_within_cost(frames[0], frames[1].limit(0), 500.0, 60.0).first().n == 0
+
+
+def parts_of(df):
+    """Rows of each task that has any."""
+    return [r["count"] for r in df.groupBy(F.spark_partition_id().alias("part")).count().collect()]
+
+
+def test_edges_of_one_cell_are_the_work_of_several_tasks(spark):
+    places = spark.range(0, 3000, 1, 1).selectExpr("id AS node_id", "40.7D + id * 1e-6D AS latitude", "-73.9D AS longitude")
+    tract = spark.range(10_000, 10_001, 1, 1).selectExpr("id AS node_id", "40.7D AS latitude", "-73.9D AS longitude")
+    on_foot = lambda df: df.selectExpr("node_id", "0D AS walk_m")
+    edges = G.served_by_edges(places, tract, on_foot(places), on_foot(tract))
+    parts = parts_of(edges)
+    assert sum(parts) == 3000 and len(parts) >= 3 and max(parts) <= 1500
+    assert edges.select("dst").distinct().count() == 3000
