@@ -15,6 +15,8 @@ CONFIDENCE = {
     "computed": 0.75, "temporal_stale": 0.60, "pluto_zoning": 0.90,
 }
 RADIUS_DEGREES = 500 / 111320
+# Places of one piece of a cell, paired with all places that reach the cell.
+PLACE_ROWS = 500
 CRIME_CATEGORIES = {
     "violent": ["FELONY ASSAULT", "ASSAULT 3 & RELATED OFFENSES", "ROBBERY", "SEX CRIMES",
                 "DANGEROUS WEAPONS", "MURDER"],
@@ -202,10 +204,10 @@ def station_triples(stations: DataFrame) -> DataFrame:
 
 
 def colocation_pairs(mart: DataFrame, radius=RADIUS_DEGREES) -> DataFrame:
-    """Pairs (a < b) of different types within the radius of each other."""
+    """Pairs (a < b) of different types within the radius of each other; tasks share the places of a cell."""
     side = lambda p: mart.select(F.col("resource_id").alias(f"{p}_id"), F.col("resource_type").alias(f"{p}_type"),
                                  F.col("latitude").alias(f"{p}_lat"), F.col("longitude").alias(f"{p}_lon"))
-    pairs = radius_pairs(side("l"), side("r"), radius, radius, "degrees")
+    pairs = radius_pairs(side("l"), side("r"), radius, radius, "degrees", piece_rows=PLACE_ROWS)
     return pairs.where("l_id < r_id AND l_type <> r_type").select("l_id", "r_id")
 
 

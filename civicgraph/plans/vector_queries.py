@@ -6,7 +6,7 @@ from ..functions.numeric import round_even
 from ..operators import triples as T
 from ..operators import vectors as V
 from .registry import Views, ctes, query, r_even
-from .triple_queries import COLOCATED, COMPLAINT, CRIME, EVERY, union, whole_store
+from .triple_queries import COLOCATED, COMPLAINT, CRIME, EVERY, store, union, whole_store
 
 D = "CAST({} AS DOUBLE)".format
 
@@ -166,4 +166,4 @@ def kge_dataset_store(spark, sf_dir):
 @query("kge_dataset_short_names", ctes(*EVERY, body=kge_sql("substring({}, 1, 10)".format)))
 @query("kge_dataset_store_short_names", ctes(*EVERY, body=kge_sql("substring({}, 1, 10)".format)))
 def kge_dataset_store_short_names(spark, sf_dir):
-    return V.kge_dataset(whole_store(Views(spark, sf_dir)), name_length=10)
+    return V.kge_dataset(store(Views(spark, sf_dir)), name_length=10)   # read once

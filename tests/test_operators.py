@@ -17,6 +17,7 @@ from civicgraph.operators import rules as K
 from civicgraph.operators import spatial
 from civicgraph.operators import textrules as X
 from civicgraph.operators import travel as N
+from civicgraph.operators import triples as T
 from civicgraph.operators import vectors as V
 from civicgraph.sources import tables as S
 
@@ -505,3 +506,26 @@ def test_edges_of_one_cell_are_the_work_of_several_tasks(spark):
     parts = parts_of(edges)
     assert sum(parts) == 3000 and len(parts) >= 3 and max(parts) <= 1500
     assert edges.select("dst").distinct().count() == 3000
+
+
+def test_pairs_of_one_cell_are_the_work_of_several_tasks(spark):
+    mart = spark.range(0, 2000, 1, 1).selectExpr(
+        "concat('p', id) AS resource_id", "if(id % 2 = 0, 'shelter', 'school') AS resource_type",
+        "40.7D + id * 1e-9D AS latitude", "-73.9D - id * 1e-9D AS longitude")
+    pairs = T.colocation_pairs(mart)
+    parts = parts_of(pairs)
+    assert sum(parts) == 1000 * 1000 and len(parts) >= 3 and max(parts) <= 500_000
+    assert pairs.distinct().count() == 1000 * 1000
+
+
+def test_cut_names_that_coincide_are_the_work_of_several_tasks(spark):
+    same = spark.range(0, 45_000, 1, 1).selectExpr("concat('resource_', id + 100000) AS subject", "'NEAR' AS predicate", "concat('neighbour ', id) AS object_val")
+    other = spark.sql("SELECT 'a' AS subject, 'HAS_NAME' AS predicate, 'b' AS object_val UNION ALL SELECT 'a', 'HAS_NAME', 'b' UNION ALL "
+                      "SELECT 'a', 'HAS_NAME', CAST(NULL AS STRING)")
+    data = V.kge_dataset(same.unionByName(other).coalesce(1), name_length=10)
+    counts = sorted(r["count"] for r in data.groupBy("head_id", "relation_id", "tail_id", "split").count().collect())
+    assert counts == [2, 45_000]
+    ids = data.agg(F.max("head_id").alias("h"), F.max("tail_id").alias("t"), F.max("relation_id").alias("r")).first()
+    assert max(ids.h, ids.t) == 3 and ids.r == 1
+    parts = parts_of(data)
+    assert len(parts) >= 3 and max(parts) <= 22_000
