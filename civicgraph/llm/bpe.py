@@ -5,11 +5,12 @@ perfect hash: a first hash picks a bucket, the bucket's displacement makes a
 second hash unique, and one comparison with the stored bytes confirms the hit.
 Any other pre-token is merged from its bytes: they form a doubly linked list,
 a heap hands out the neighbours of the lowest rank (leftmost first), and each
-merge links the list anew and offers at most two new pairs.
+merge links the list anew and offers at most two new pairs. Up to ``SHORT`` bytes
+the lowest rank is looked for among all neighbours instead, with the same result.
 
 The table is built once on the driver and broadcast; it is as large as the
-vocabulary file, whatever the corpus. Tasks remember a bounded number of
-pre-tokens.
+vocabulary file, whatever the corpus. Processes remember what stands between
+blanks, a bounded number of strings of bounded length.
 
 Defined results: null and empty texts have no tokens; bytes that no merge
 covers stay single-byte tokens; ids of equal texts are equal.
@@ -31,7 +32,14 @@ from .common import id_text, ids_of
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Keys for each displacement of the perfect hash, on average.
 LOAD = 2
+#: A process remembers up to twice MEMO pre-tokens and as many strings between blanks,
+#: each of at most LONGEST characters; up to twice BESIDE where whole documents are
+#: encoded, which is done beside other operators.
 MEMO = 300_000
+BESIDE = 40_000
+LONGEST = 24
+#: Bytes up to which a scan over all neighbours costs less than a heap.
+SHORT = 32
 
 
 def read_ranks(path):
@@ -109,7 +117,25 @@ class Bpe:
         return self.ids[slot] if self.keys[slot] == token else None
 
     def merge(self, piece):
-        """Ids of a byte string that is no token itself: a heap over its linked bytes."""
+        """Ids of a byte string that is no token itself."""
+        return self._merge_short(piece) if len(piece) <= SHORT else self._merge_long(piece)
+
+    def _merge_short(self, piece):
+        """Merge the leftmost pair of the lowest rank, over and over."""
+        rank_of, none = self.ranks.get, len(self.bytes_of)
+        cuts = list(range(len(piece) + 1))
+        pairs = [rank_of(piece[k:k + 2], none) for k in cuts[:-2]]
+        while pairs and (low := min(pairs)) < none:
+            k = pairs.index(low)
+            del pairs[k], cuts[k + 1]
+            if k < len(pairs):
+                pairs[k] = rank_of(piece[cuts[k]:cuts[k + 2]], none)
+            if k:
+                pairs[k - 1] = rank_of(piece[cuts[k - 1]:cuts[k + 1]], none)
+        return [rank_of(piece[i:j]) for i, j in zip(cuts, cuts[1:])]
+
+    def _merge_long(self, piece):
+        """The same by a heap over the linked bytes."""
         n, rank_of, push, pop = len(piece), self.ranks.get, heapq.heappush, heapq.heappop
         after, before, end = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         heap = [(r, k, k + 1, k + 2) for k in range(n - 1) if (r := rank_of(piece[k:k + 2])) is not None]
@@ -150,17 +176,19 @@ class Bpe:
 
 
 class _Memo(dict):
-    """Remembers up to twice ``MEMO`` results; what is asked for again survives a turnover."""
+    """Remembers up to twice ``most`` results of short keys; what is asked for again survives a turnover."""
 
-    def __init__(self, work):
+    def __init__(self, work, most):
         super().__init__()
-        self.work, self.old = work, {}
+        self.work, self.most, self.old = work, most, {}
 
     def __missing__(self, key):
+        if len(key) > LONGEST:
+            return self.work(key)
         found = self.old.pop(key, None)
         if found is None:
             found = self.work(key)
-        if len(self) >= MEMO:
+        if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = found
@@ -179,10 +207,10 @@ class Encoder:
     pre-tokeniser sees the whole text.
     """
 
-    def __init__(self, bpe):
-        self.split = bpe.split()
-        self.pieces = _Memo(lambda token: tuple(bpe.piece(token.encode())))
-        self.chunks = _Memo(lambda chunk: self._whole(f" {chunk}"))
+    def __init__(self, bpe, most=None):
+        self.split, self.most = bpe.split(), MEMO if most is None else most
+        self.pieces = _Memo(lambda token: tuple(bpe.piece(token.encode())), self.most)
+        self.chunks = _Memo(lambda chunk: self._whole(f" {chunk}"), self.most)
 
     def forget(self):
         """Drop what is remembered; the tables stay."""
@@ -207,11 +235,13 @@ class Encoder:
 _ENCODERS = {}
 
 
-def _encoder(shared):
+def _encoder(shared, most=None):
     """This process's encoder for a broadcast table, kept from task to task."""
     if shared.value.key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[shared.value.key] = Encoder(shared.value)
+        common.REMEMBERED.pop("bpe", None)
+        common.give_back()
+        _ENCODERS[shared.value.key] = Encoder(shared.value, most)
         common.REMEMBERED["bpe"] = _ENCODERS[shared.value.key].forget
     return _ENCODERS[shared.value.key]
 
@@ -238,8 +268,8 @@ def _apply(texts, bpe, schema, digest):
     def run(batches):
         import pyarrow as pa
         bpe = shared.value
-        encode = _encoder(shared)
-        number = [str(k) for k in range(len(bpe.bytes_of))]
+        encode = _encoder(shared, None if digest else BESIDE)
+        number = [str(k) for k in range(len(bpe.bytes_of))] if digest else None
         names = [c.split()[0] for c in schema.split(", ")]
 
         def out(rows):
@@ -267,7 +297,7 @@ def _apply(texts, bpe, schema, digest):
                     rows, held = [], 0
             if rows:
                 yield out(rows)
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(common.lean(run, forget=False), schema)
 
 
 def encode_digests(docs: DataFrame, ranks=RANKS, id_col="doc_id", text_col="text") -> DataFrame:

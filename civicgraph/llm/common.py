@@ -56,6 +56,26 @@ def forget_memos():
         forget()
 
 
+def give_back():
+    """Hand freed memory back to the system: this process lives on, beside others that need it."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):     # glibc only
+        trim(0)
+
+
+def lean(run, forget=True):
+    """A task's function that first drops the memos of this process and at its end gives back what it freed."""
+    def task(batches):
+        if forget:
+            forget_memos()
+        yield from run(batches)
+        give_back()
+    return task
+
+
 class Scratch:
     """Tables that are needed only until a result has been written down."""
 

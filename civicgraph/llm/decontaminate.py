@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, ids_of
+from .common import id_text, ids_of, lean
 
 SEGMENT = 48
 HALF = 48
@@ -255,7 +255,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text
     texts = id_text(docs, id_col, text_col)
     found = None
     for index in build_shards(benchmark):
-        shard = texts.mapInArrow(_search(spark.sparkContext.broadcast(index)), LEAKS)
+        shard = texts.mapInArrow(lean(_search(spark.sparkContext.broadcast(index))), LEAKS)
         found = shard if found is None else found.unionByName(shard)
     if found is None:
         return spark.createDataFrame([], LEAKS)
@@ -277,5 +277,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.take(pa.array(keep, pa.int64()))
         return run
     for index in build_shards(benchmark):
-        docs = docs.mapInArrow(drop(spark.sparkContext.broadcast(index)), docs.schema)
+        docs = docs.mapInArrow(lean(drop(spark.sparkContext.broadcast(index))), docs.schema)
     return docs

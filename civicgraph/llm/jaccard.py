@@ -47,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import U64, Scratch, forget_memos, id_text, ids_of, materialise, mix, partitions, raw_texts
+from .common import U64, Scratch, id_text, ids_of, lean, materialise, mix, partitions, raw_texts
 from .components import components
 
 WORDS = 5
@@ -127,7 +127,6 @@ SCAN = "doc_id long, n long, cls long, alt long, chunk int, slots binary, counts
 
 def _scan(batches):
     import pyarrow as pa
-    forget_memos()
     counts, memo = np.zeros(1 << BUCKET_BITS, np.int64), _WordHash()
     names = [c.split()[0] for c in SCAN.split(", ")]
 
@@ -392,7 +391,7 @@ def _told_apart(several, sets, order, scratch):
     full = members.join(crowd, "rep").withColumn("lane", F.pmod(F.xxhash64("cls"), "lanes").cast("int")) \
         .drop("lanes").join(sets, "cls")
     both = full.join(base.drop("lanes"), ["rep", "lane"]).select("cls", "comp", "rep", "shingles", "base")
-    return scratch.write(both.mapInArrow(_differences(order), DIFFERENCES), "op1-differences")
+    return scratch.write(both.mapInArrow(lean(_differences(order)), DIFFERENCES), "op1-differences")
 
 
 # ---- candidates and exact checks -----------------------------------------
@@ -584,7 +583,7 @@ def _links(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
     left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right") \
-        .mapInArrow(_verify, "a long, b long")
+        .mapInArrow(lean(_verify), "a long, b long")
 
 
 def _crossing(lists: DataFrame) -> float:
@@ -620,22 +619,22 @@ def ngram_components(docs: DataFrame, id_col="doc_id", text_col="text") -> DataF
     spark = docs.sparkSession
     parts, scratch = partitions(spark), Scratch(spark)
     texts = id_text(docs, id_col, text_col)
-    scan = materialise(texts.mapInArrow(_scan, SCAN), "op1-scan")
+    scan = materialise(texts.mapInArrow(lean(_scan), SCAN), "op1-scan")
     order = spark.sparkContext.broadcast(_order_table(scan))
     rows = scan.where("chunk is null").select("doc_id", "n", "cls")
 
-    packed = texts.select("text").mapInArrow(_postings(order, parts), "part int, packed binary")
-    lists = scratch.write(packed.repartition(parts, "part").mapInArrow(_shared(order), LISTS), "op1-lists")
+    packed = texts.select("text").mapInArrow(lean(_postings(order, parts)), "part int, packed binary")
+    lists = scratch.write(packed.repartition(parts, "part").mapInArrow(lean(_shared(order)), LISTS), "op1-lists")
     entries = lists.groupBy("cls").agg(F.count(F.lit(1)).alias("entries"))
     lists = scratch.write(lists.join(entries, "cls"), "op1-ranked")
 
     # one document stands for each class that shares an entry
     chosen = rows.join(lists.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     stand_in = texts.join(chosen, "doc_id").select("doc_id", "cls", "text")
-    sets = stand_in.mapInArrow(_sets, "cls long, shingles binary")
+    sets = stand_in.mapInArrow(lean(_sets), "cls long, shingles binary")
     # a class of which no row has an id is spoken for by any of its rows
     nameless = texts.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("cls"), "text")
-    nameless = nameless.mapInArrow(_sets, "cls long, shingles binary") \
+    nameless = nameless.mapInArrow(lean(_sets), "cls long, shingles binary") \
         .join(chosen.where("doc_id is null").select("cls"), "cls", "left_semi").dropDuplicates(["cls"])
     sets = scratch.write_by(sets.unionByName(nameless), "op1-sets", "cls")
 
@@ -656,9 +655,9 @@ def ngram_components(docs: DataFrame, id_col="doc_id", text_col="text") -> DataF
     columns = ["sig", "cls", "comp", "rep", "size", "rest", "need", "sketch"]
     left = _of_several(direct, "rep").select(columns).unionByName(changed.select(columns))
     found = scratch.write(left.repartition(parts, "sig").sortWithinPartitions("sig", "need")
-                          .mapInArrow(_cross, "a long, b long, left binary, right binary"), "op1-cross")
+                          .mapInArrow(lean(_cross), "a long, b long, left binary, right binary"), "op1-cross")
     dealt = found.where("a is null").select("left", "right").repartition(parts, F.crc32("left"), F.crc32("right"))
-    pairs = found.where("a is not null").select("a", "b").union(dealt.mapInArrow(_blocks, "a long, b long")).distinct()
+    pairs = found.where("a is not null").select("a", "b").union(dealt.mapInArrow(lean(_blocks), "a long, b long")).distinct()
     derived = members.where("linked and cls <> rep").select(F.col("cls").alias("a"), F.col("rep").alias("b"))
     groups = _relabel(groups, _links(pairs, sets, scratch).union(derived), scratch)
     scratch.drop()

@@ -32,7 +32,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import id_text, ids_of
+from .common import id_text, ids_of, lean
 
 #: Stands in for a secret key in tests and examples; deployments pass their own.
 EXAMPLE_KEY = b"example key, not a secret"
@@ -391,7 +391,7 @@ def pseudonymise(docs: DataFrame, key=EXAMPLE_KEY, id_col="doc_id", text_col="te
                 [pa.array(ids_of(batch, "doc_id"), pa.int64()), pa.array(texts, column.type),
                  pa.array([sum(c.values()) for c in counts], pa.int64()),
                  *(pa.array([c.get(kind, 0) for c in counts], pa.int64()) for kind in _KINDS)], names=names)
-    return id_text(docs, id_col, text_col).mapInArrow(run, ROW)
+    return id_text(docs, id_col, text_col).mapInArrow(lean(run), ROW)
 
 
 def replace_in(docs: DataFrame, key=EXAMPLE_KEY) -> DataFrame:
@@ -405,4 +405,4 @@ def replace_in(docs: DataFrame, key=EXAMPLE_KEY) -> DataFrame:
             column = batch.column(at)
             texts = pa.array([change.replace(cell.as_py())[0] for cell in column], column.type)
             yield batch.set_column(at, batch.schema.field(at), texts)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

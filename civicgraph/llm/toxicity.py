@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, id_text, ids_of
+from .common import held_out, id_text, ids_of, lean
 from .labelled import labelled_sample
 
 PER_CLASS = 2000
@@ -233,7 +233,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text")
             scores = [scorer(x.as_py()) for x in column]
             yield pa.RecordBatch.from_arrays([pa.array(ids_of(batch, "doc_id"), pa.int64()),
                                               pa.array(scores, pa.float64())], names=["doc_id", "score"])
-    out = texts.mapInArrow(run, "doc_id long, score double")
+    out = texts.mapInArrow(lean(run), "doc_id long, score double")
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -250,4 +250,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             keep = [k for k, x in enumerate(batch.column(at)) if scorer(x.as_py()) < 0.5]
             yield batch.take(pa.array(keep, pa.int64()))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -157,3 +157,47 @@ def test_memos_are_dropped_where_memory_is_needed(encoder):
     assert encode.chunks and encode.pieces
     common.forget_memos()
     assert not encode.chunks and not encode.pieces and encode("some text to remember") == ids
+
+
+def test_memo_beside_other_operators_is_small(encoder, monkeypatch):
+    from types import SimpleNamespace
+    monkeypatch.setattr(bpe, "BESIDE", 50)
+    monkeypatch.setattr(bpe, "_ENCODERS", {})
+    rng = random.Random(8)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 60))) for _ in range(400)]
+    encode, want = bpe._encoder(SimpleNamespace(value=encoder), bpe.BESIDE), reference()
+    for k in range(0, 400, 20):
+        text = " ".join(words[k:k + 40])
+        assert encode(text) == want.encode_ordinary(text)
+    for memo in (encode.chunks, encode.pieces):
+        assert 0 < len(memo) <= 50 and len(memo.old) <= 50
+        assert max(map(len, [*memo, *memo.old])) <= bpe.LONGEST
+
+
+def test_whole_documents_are_encoded_beside_other_operators(encoder, monkeypatch):
+    """The pipeline's worker keeps few strings; the query on its own keeps many."""
+    from types import SimpleNamespace
+    kept = []
+
+    context = SimpleNamespace(broadcast=lambda table: SimpleNamespace(value=table))
+    texts = SimpleNamespace(sparkSession=SimpleNamespace(sparkContext=context), mapInArrow=lambda task, schema: task)
+    monkeypatch.setattr(bpe, "_encoder", lambda shared, most=None: kept.append(most))
+    for make in (bpe.encoded, bpe.digests):
+        assert list(make(texts, encoder)([])) == []
+    assert kept == [bpe.BESIDE, None] and bpe.BESIDE < bpe.MEMO
+
+
+def test_short_and_long_merges_agree(encoder):
+    rng = random.Random(9)
+    for _ in range(400):
+        piece = bytes(rng.choices(b"aeinorst \xe6\x97\xa5\xff", k=rng.randrange(1, 60)))
+        assert encoder._merge_short(piece) == encoder._merge_long(piece)
+
+
+def test_tasks_drop_memos_and_give_memory_back(monkeypatch):
+    from civicgraph.llm import common
+    done = []
+    monkeypatch.setattr(common, "REMEMBERED", {"x": lambda: done.append("forgot")})
+    monkeypatch.setattr(common, "give_back", lambda: done.append("gave"))
+    assert list(common.lean(iter)([1, 2])) == [1, 2] and done == ["forgot", "gave"]
+    assert list(common.lean(iter, forget=False)([])) == [] and done == ["forgot", "gave", "gave"]
