@@ -277,11 +277,17 @@ def whole_store(v):
     return materialise(store(v), "store")
 
 
-def written_store(v):
-    """The store in three orders. Pairs of places are by far the most triples, so they are made from numbers."""
+def parted_store(v):
+    """(triples, links): the store without pairs of places, and the pairs as a link. They are by far the most triples."""
     named = T.build_triples(v.mart, v.incidents, v.complaints, lots(v), v.stations, colocated=False)
     places = v.mart.select("resource_id", "resource_type", "latitude", "longitude")
-    return TripleStore.write(named, links=[(places, "resource_id", T.colocation_triples)])
+    return named, [(places, "resource_id", T.colocation_triples)]
+
+
+def written_store(v):
+    """The store in three orders. Pairs of places are made from numbers."""
+    named, links = parted_store(v)
+    return TripleStore.write(named, links=links)
 
 
 @query("query_triples_store", ctes(*EVERY, body="""

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from ..functions.numeric import round_even
+from ..functions.session import materialise
 from ..operators import triples as T
 from ..operators import vectors as V
 from .registry import Views, ctes, query, r_even
-from .triple_queries import COLOCATED, COMPLAINT, CRIME, EVERY, store, union, whole_store
+from .triple_queries import COLOCATED, COMPLAINT, CRIME, EVERY, parted_store, store, union
 
 D = "CAST({} AS DOUBLE)".format
 
@@ -160,7 +161,8 @@ def kge_sql(cut):
 @query("kge_dataset", ctes(*EVERY, body=kge_sql("{}".format)))
 @query("kge_dataset_store", ctes(*EVERY, body=kge_sql("{}".format)))
 def kge_dataset_store(spark, sf_dir):
-    return V.kge_dataset(whole_store(Views(spark, sf_dir)))
+    named, links = parted_store(Views(spark, sf_dir))
+    return V.kge_dataset(materialise(named, "store"), links=links)      # pairs of places are written nowhere
 
 
 @query("kge_dataset_short_names", ctes(*EVERY, body=kge_sql("substring({}, 1, 10)".format)))
