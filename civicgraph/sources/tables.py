@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.session import path_exists
 from ..operators.clean import prune_columns, trim_columns
 from ..operators.mart import CORE_COLUMNS
 
@@ -93,11 +94,6 @@ def scan_case_docs(spark: SparkSession, path: str, one_per_file=False) -> DataFr
     return df.where(F.col("_corrupt_record").isNull() & F.col("case_id").isNotNull()).drop("_corrupt_record")
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def load_stage(spark: SparkSession, folder: str, names) -> dict:
     """The stage tables that exist, by name; missing ones are left out."""
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names if path_exists(spark, f"{folder}/{n}")}

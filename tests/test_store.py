@@ -99,3 +99,73 @@ def test_pairs_made_from_numbers_give_the_same_store(spark, sf_dir):
     assert pairs == sorted((r.subject, r.object_val) for r in T.colocation_triples(places).collect()) == [("a", "b"), ("a", "b"), ("b", "é")]
     assert got.table("coded").count() == 1 and all(got.table(order).count() == 4 for order in ORDERS)
     assert [r.id for r in got.table("terms").orderBy("term").collect()] == [0, 1, 2, 3, 4]
+
+
+def test_pairs_are_written_as_lists(spark):
+    """What is written for pairs of places grows with the places, and a question reads only the lists that it needs."""
+    import glob
+
+    import pyarrow.parquet as pq
+    from civicgraph.operators import store as S
+    from civicgraph.operators import triples as T
+    places = spark.range(0, 300, 1, 2).selectExpr(
+        "concat('p', id) AS resource_id", "if(id % 2 = 0, 'shelter', 'school') AS resource_type",
+        "40.7D + id * 1e-9D AS latitude", "-73.9D AS longitude")
+    named = places.selectExpr("resource_id AS subject", "'HAS_TYPE' AS predicate", "resource_type AS object_val", "1D AS confidence", "'x' AS source")
+    made = []
+
+    def once(df):
+        pairs = T.colocation_triples(df)
+        made.append(pairs)
+        return pairs
+
+    found = S.TripleStore.write(named, links=[(places, "resource_id", once)])
+    rows = lambda part: sum(pq.ParquetFile(f).metadata.num_rows for f in glob.glob(f"{found.folder}/{part}/**/*.parquet", recursive=True))
+    assert len(made) == 1 and all(rows(order) == 300 for order in S.ORDERS) and rows("lists") < 5000
+    want = sorted(map(tuple, T.colocation_triples(places).unionByName(named).collect()))
+    assert sorted(map(tuple, found.match().collect())) == want and len(want) == 300 + 150 * 150
+    for fixed in ({"subject": "p7"}, {"object_val": "p8"}, {"subject": "p17", "object_val": "p8"}, {"predicate": "CO_LOCATED_WITH", "object_val": "p8"},
+                  {"subject": "p17", "predicate": "CO_LOCATED_WITH", "object_val": "p8"}, {"subject": "p7", "source": "x"},
+                  {"subject": "p7", "min_confidence": 0.9}):
+        keep = lambda r: all(r[k] == v for k, v in zip(("subject", "predicate", "object_val", "source"),
+                                                       map(fixed.get, ("subject", "predicate", "object_val", "source"))) if v is not None)
+        named_rows = [r for r in map(lambda r: dict(zip(T.COLUMNS, r)), want) if keep(r) and r["confidence"] >= fixed.get("min_confidence", 0)]
+        assert sorted(map(tuple, found.match(**fixed).collect())) == sorted(tuple(r.values()) for r in named_rows) != []
+    plan = found.match(object_val="p8")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(key," in plan and "PartitionFilters: [isnotnull(side" in plan
+    assert sorted(r.subject for r in found.subjects_with(("CO_LOCATED_WITH", "p8"), ("HAS_TYPE", "school")).collect()) == \
+        [r[0] for r in want if r[2] == "p8"] != []
+
+
+def test_links_of_several_kinds_and_none(spark, monkeypatch):
+    from civicgraph.operators import store as S
+    monkeypatch.setattr(S, "PACK_ROWS", 50)
+    table = spark.createDataFrame([(c,) for c in "abcdefgh"] + [(None,)], "name string")
+    other = spark.createDataFrame([("a", "P", "q", .5, "s")], "subject string, predicate string, object_val string, confidence double, source string")
+
+    def make(t):
+        pairs = t.crossJoin(t.withColumnRenamed("name", "o")).where("name <= o")
+        return pairs.selectExpr("name AS subject", "if(name = o, 'SAME', '1') AS predicate", "o AS object_val",
+                                "if(name = o, CAST(NULL AS DOUBLE), 0.5D) AS confidence", "if(name < o, 'y', CAST(NULL AS STRING)) AS source")
+
+    key = lambda df: sorted(map(str, df.collect()))
+    got = S.TripleStore.write(other, links=[(table, "name", make), (table, "name", lambda t: make(t).where("predicate = '1'"))])
+    want = other.unionByName(make(table)).unionByName(make(table).where("predicate = '1'"))
+    assert key(got.match()) == key(want)
+    assert key(got.match(predicate="1", object_val="c")) == key(want.where("predicate = '1' and object_val = 'c'"))
+    none = S.TripleStore.write(other, links=[(table, "name", lambda t: make(t).where("predicate = 'no'"))])
+    assert key(none.match()) == key(other) and none.match(predicate="SAME").count() == 0
+
+
+def test_numbers_of_lists_come_back():
+    import numpy as np
+    from civicgraph.operators import store as S
+    values = np.r_[0, 1, 127, 128, 16383, 16384, 2 ** 31, 2 ** 40, 2 ** 62 - 1]
+    assert (S._from_varints(S._varints(values)[0]) == values).all() and not len(S._from_varints(S._varints(values[:0])[0]))
+    rnd = np.random.default_rng(5)
+    for top in (40, 1 << 33):
+        s, o = rnd.integers(0, top, 500), rnd.integers(0, top, 500)
+        key, low, n, gaps = S._lists(s % 7, o)
+        got = [(k, x) for k, first, m, g in zip(key, low, n, gaps.to_pylist())
+               for x in first + np.r_[0, np.cumsum(S._from_varints(np.frombuffer(g, np.uint8)))] if len(g) >= m - 1]
+        assert got == sorted(zip(s % 7, o)) and list(key) == sorted(set(s % 7))
